@@ -54,6 +54,8 @@ class Model:
         held = f"<{word[:60]}>"
         for n in range(len(self.grams) - 1, 0, -1):
             own = self.grams[n]
+            if n == 1:
+                held = held[1:-1]  # the ends alone say nothing
             found = [g for i in range(len(held) - n + 1) if (g := own.get(held[i : i + n])) is not None]
             if found:
                 return np.mean(found, axis=0)
@@ -102,8 +104,9 @@ def model(languages: list[str], seen: dict[str, Counter], how: Fit) -> Model:
         for word, n in seen[lang].items():
             held = f"<{word[:60]}>"
             for size in range(1, how.longest + 1):
-                for at in range(len(held) - size + 1):
-                    grams[size][i][held[at : at + size]] += n
+                text = held if size > 1 else held[1:-1]
+                for at in range(len(text) - size + 1):
+                    grams[size][i][text[at : at + size]] += n
     mass = [math.log(0.5 / (sum(seen[l].values()) + 1)) for l in languages]
     return Model(languages, table([seen[l] for l in languages], how.words * len(languages)), [{}] + [table(g, how.grams // how.longest) for g in grams[1:]], np.full(len(languages), float(np.mean(mass))))
 

@@ -4,17 +4,21 @@
    exponentially spaced, truncated minimum of the i-th hash over the set. Registers of a union are
    the maxima of the parts' registers, and equal registers grow likelier with similarity.
 2. Documents of equal shingle sets form a class; its smallest id stands for it from there on.
-3. Register bands are buckets. Each bucket is a star around its most central class, so a bucket
-   of k classes gives k-1 candidate pairs, not k^2.
-4. A pair's similarity is estimated jointly by likelihood from how many registers are larger,
-   smaller and equal; only pairs that are far below the threshold by that estimate go.
-5. The full sets of the others decide.
+3. Register bands are groups. A group is a star around its most central class (hub): a group of k
+   classes gives k-1 pairs, not k^2.
+4. A pair's similarity is estimated jointly by likelihood from how many registers are larger, smaller
+   and equal; pairs far below the threshold by that estimate are no links.
+5. The full sets of the others decide: linked, or not.
 6. Components come from alternating large and small stars on the links.
-7. Buckets that still hold several components go on in rounds: the next most central classes become
-   hubs too, until each pair of classes of a bucket lies in one component or was compared. There is
-   no cap on partners.
-
-Texts of classes with candidates are shuffled once; sets never leave the task that compares them.
+7. What a star leaves open is settled exactly, without comparing pairs. A group's centre is the set of
+   shingles that more than half of its members have; D(x) are those in which x differs from it. Sizes
+   alone link members that are close to the centre. For any other link between x and y, D(x) and D(y)
+   overlap, by at least a number that follows from sizes. So in the order of rarity within the group,
+   the first few of either's D have one in common (prefix filter): members that share such a shingle
+   are a new group. A shingle of D belongs to at most half of a group, so groups at least halve each
+   time; groups of one component, or without a member that needs them, are dropped. Nothing is capped.
+
+Texts of classes in groups are shuffled once; sets never leave the task that compares them.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import durable
 
 SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, keys array<long>"
-#: Shingles of members that one comparison task takes at most (about), and hubs of the later rounds.
-TASK_SHINGLES, HUBS = 4_000_000, (8, 64, 512)
+#: Shingles of members that one comparison task takes at most (about).
+TASK_SHINGLES = 4_000_000
+#: A pair is far, and no link, if its estimate is this many standard errors below the threshold.
+FAR = 5
 _BASE, _RATE, _TOP = 1.001, 20.0, (1 << 16) - 2
 
 
@@ -137,44 +143,90 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNATURE)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (hub, id, n) that the joint estimate does not put far below the threshold."""
+def _estimated(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (hub, id) with n, the shingles of id, and far: the joint estimate is far below the threshold."""
     bound = plan.percent / 100
-    least = bound - 5 * math.sqrt(bound * (1 - bound) / plan.registers)
+    least = bound - FAR * math.sqrt(bound * (1 - bound) / plan.registers)
 
     def run(batches):
         for batch in batches:
             n_a, n_b = (batch.column(i).to_numpy().astype(np.float64) for i in (2, 3))
             k_a, k_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(len(n_a), -1).astype(np.int32) for i in (4, 5))
             up, down = (k_a > k_b).sum(axis=1), (k_a < k_b).sum(axis=1)
-            fits = np.minimum(n_a, n_b) * 100 >= plan.percent * np.maximum(n_a, n_b)
-            keep = fits & (estimate(up, down, plan.registers - up - down, n_a, n_b) >= least) if len(n_a) else fits
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 3)], ["hub", "id", "n"]).filter(pa.array(keep))
+            far = estimate(up, down, plan.registers - up - down, n_a, n_b) < least
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(far)], ["hub", "id", "n", "far"])
 
     side = lambda name, n, k: classes.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(n), F.col("sketch").alias(k))
     wide = pairs.join(side("hub", "n_a", "k_a"), "hub").join(side("id", "n", "k_b"), "id")
-    return wide.select("hub", "id", "n_a", "n", "k_a", "k_b").mapInArrow(run, "hub long, id long, n long")
+    return wide.select("hub", "id", "n_a", "n", "k_a", "k_b").mapInArrow(run, "hub long, id long, n long, far boolean")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """Links (u, v) whose full sets meet the threshold. A hub's members are dealt over tasks of bounded size."""
+def _compared(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """hub, id, linked by full sets. A hub's members are dealt over tasks of bounded size."""
     parts = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(TASK_SHINGLES)).alias("parts"))
     dealt = pairs.join(parts, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
     members = dealt.join(texts.withColumnRenamed("doc_id", "id"), "id").select("hub", "part", "id", "text")
     hubs = dealt.select(F.col("hub").alias("h"), F.col("part").alias("p")).distinct().join(texts.select(F.col("doc_id").alias("h"), F.col("text").alias("t")), "h")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        u, v = [], []
+        rows = []
         hub_sets = [shingle_set(t, plan.words) for t in right.column("t").to_pylist()]
         for hub, i, text in zip(left.column("hub").to_pylist(), left.column("id").to_pylist(), left.column("text").to_pylist(), strict=True):
             s = shingle_set(text, plan.words)
-            for h in hub_sets:
-                both = len(np.intersect1d(h, s, assume_unique=True))
-                if len(h) and 100 * both >= plan.percent * (len(h) + len(s) - both):
-                    u.append(hub), v.append(i)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            shared = [len(np.intersect1d(h, s, assume_unique=True)) for h in hub_sets]
+            rows.append((hub, i, any(100 * n >= plan.percent * (len(h) + len(s) - n) for h, n in zip(hub_sets, shared, strict=True))))
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("hub", "id", "linked"), cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)})
+
+    return members.groupBy("hub", "part").cogroup(hubs.groupBy("h", "p")).applyInArrow(compare, "hub long, id long, linked boolean")
+
+
+def _sets(members: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """key, id, s: the shingles of every member of a group."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, plan.words).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["key", "id", "s"])
+
+    return members.select("key", "id").join(texts.withColumnRenamed("doc_id", "id"), "id").select("key", "id", "text").mapInArrow(run, "key long, id long, s array<long>")
+
+
+def _apart(groups: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """key, id, n, apart: the shingles in which a member differs from its group's centre; spare: how far inside the linking radius."""
+    sets = durable(_sets(groups, texts, plan), "sets")
+    sizes = sets.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    counted = sets.select("key", F.explode("s").alias("t")).groupBy("key", "t").agg(F.count(F.lit(1)).alias("seen"))
+    centres = counted.join(sizes, "key").where("2 * seen > size").groupBy("key").agg(F.collect_list("t").alias("centre"))
+    held = sets.join(centres, "key", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+    apart = F.concat(F.array_except("s", "centre"), F.array_except("centre", "s"))
+    low, high = 100 - plan.percent, 100 + plan.percent
+    return held.select("key", "id", F.size("s").cast("long").alias("n"), apart.alias("apart")).withColumn("spare", F.lit(low) * F.col("n") - F.lit(high) * F.size("apart"))
 
-    return members.groupBy("hub", "part").cogroup(hubs.groupBy("h", "p")).applyInArrow(compare, "u long, v long")
+
+def _settled(apart: DataFrame) -> DataFrame:
+    """Links (u, v) that sizes prove: to the member with most to spare, of those whose lack it covers."""
+    best = apart.groupBy("key").agg(F.max(F.struct("spare", (-F.col("id")).alias("minus"))).alias("top"))
+    return apart.join(best, "key").where(F.col("spare") + F.col("top.spare") >= 0).select((-F.col("top.minus")).alias("u"), F.col("id").alias("v")).where("u <> v").distinct()
+
+
+def _subgroups(apart: DataFrame, plan: Plan) -> DataFrame:
+    """New groups (key, id, lead): members of a group that share a shingle among their first by rarity."""
+    most = F.col("n") * ((100 - plan.percent) / (100 + plan.percent) * (1 + 100 / plan.percent)) + 0.001  # that x and a linked y can have apart
+    d = F.size("apart")
+    # the one of a linked pair with fewer shingles apart has the shared one among its first `short`, the other among its first `long`
+    short, long = d - F.greatest(F.lit(1), F.ceil(d - most / 2)) + 1, d - F.greatest(F.lit(1), F.ceil(d - most)) + 1
+    each = apart.select("key", "id", short.alias("short"), long.alias("long"), F.explode("apart").alias("s"))
+    each = each.withColumn("seen", F.expr("count(*) OVER (PARTITION BY key, s)"))
+    first = each.withColumn("at", F.expr("row_number() OVER (PARTITION BY key, id ORDER BY seen, s)")).where("at <= long AND seen > 1")
+    return first.groupBy(F.xxhash64("key", "s").alias("key"), "id").agg(F.max(F.col("at") <= F.col("short")).alias("lead"))
+
+
+def _live(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of groups that hold several components and a member that needs them."""
+    named = groups.join(label, "id", "left").select("key", "id", "lead", F.coalesce("component", "id").alias("component"))
+    live = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("lead").alias("led")).where("a <> b AND led").select("key")
+    return named.join(live, "key").select("key", "id")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,36 +265,29 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     classes = durable(classes.select("doc_id", "n_shingles", "sketch", "keys"), "classes")
 
     banded = classes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct()
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    held = banded.join(shared, "key")
-    central = held.groupBy("id").agg(F.sum("size").alias("weight"))
-    held = durable(held.select("key", "id").join(central, "id"), "buckets")
-
-    hubs = held.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
-    pairs = held.join(hubs, "key").where("id <> hub").select("hub", "id").distinct()
-    twin_links = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links, done, texts, tested = None, 0, None, None
-    for hub_count in (0, *HUBS, *[HUBS[-1]] * 10**6):
-        if hub_count:
-            joined = held.join(label, "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))  # noqa: F821
-            live = joined.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b")).where(F.col("size") > done + 1)
-            ranked = joined.join(live.select("key"), "key").withColumn("rank", F.expr("row_number() OVER (PARTITION BY key ORDER BY weight DESC, id)"))
-            ranked = durable(ranked, "live")
-            if ranked.isEmpty():
-                break
-            ahead = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + hub_count)).select("key", F.col("id").alias("hub"), F.col("component").alias("own"), F.col("rank").alias("first"))
-            pairs = ranked.join(ahead, "key").where("rank > first AND component <> own").select("hub", "id").distinct()
-            done += hub_count
-        else:
-            done = 1
-        fresh = pairs if tested is None else pairs.join(tested, ["hub", "id"], "left_anti")
-        likely = durable(_likely(fresh, classes, plan), "likely")
-        wanted = likely.select(F.col("hub").alias("doc_id")).unionByName(likely.select(F.col("id").alias("doc_id"))).distinct()
-        texts = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
-        tested = durable(likely.select("hub", "id") if tested is None else tested.unionByName(likely.select("hub", "id")), "tested")
-        fresh_links = _verified(likely, texts, plan)
-        links = durable(fresh_links if links is None else links.unionByName(fresh_links), "found")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    groups = durable(banded.join(shared, "key").select("key", "id"), "groups")
+    texts = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(groups.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sized = groups.join(sizes, "key")
+    central = sized.groupBy("id").agg(F.sum("size").alias("weight"))
+    hubs = groups.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
+    stars = durable(_estimated(groups.join(hubs, "key").where("id <> hub").select("hub", "id").distinct(), classes, plan), "stars")
+    compared = durable(_compared(stars.where("NOT far"), texts, plan), "compared")
+    links = compared.where("linked").select(F.col("hub").alias("u"), F.col("id").alias("v"))
+    label = components(links)
+    every = compared.select("hub", "id", "linked").unionByName(stars.where("far").select("hub", "id", F.lit(False).alias("linked")))
+    unsettled = every.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("open"), F.count(F.lit(1)).alias("all")).where("open > 0 AND all > 1").select("hub")
+    groups = every.join(unsettled, "hub").select(F.col("hub").alias("key"), "id", F.lit(True).alias("lead")).distinct()
+    while True:
+        live = durable(_live(groups, label), "live")
+        if live.isEmpty():
+            break
+        apart = durable(_apart(live, texts, plan), "apart")
+        links = durable(links.unionByName(_settled(apart)), "found")
         label = components(links)
+        groups = durable(_subgroups(apart, plan), "groups")
+    twin_links = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(links.unionByName(twin_links))
     return rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce(F.coalesce(F.col("component"), F.col("doc_id")) == F.col("doc_id"), F.lit(True))).alias("kept")

@@ -39,7 +39,7 @@ class Fit:
     voters: int = 64
     starts: tuple[int, ...] = (4, 5, 6)
     least_docs: int = 4
-    least_precision: float = 0.6
+    least_precision: float = 0.9
     rounds: int = 40
 
 
@@ -167,7 +167,7 @@ def _overlap(fires: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return _correlation(fires, p, n).sum(axis=1)
 
 
-def linear(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
+def linear(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 0.1, steps: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps."""
     a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
     w = np.zeros(a.shape[1])
