@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_topk, language, mixing, near_dedup, packing, pii, quality, secrets, toxicity
-from .common import hold_out, table
+from .common import WORD, hold_out, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +77,56 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+def _quality_sql() -> str:
+    """op1 in SQL, with the operator's rules and risk."""
+    risk, rules = quality.Risk(), quality.RULES
+    figure = {"symbols": "n_symbols / n_words", "duplicate_lines": "n_dup_lines / n_lines", "repeated_words": "n_repeat_words / n_words", "capitals": "n_capitals / word_chars", "word_length": "word_chars / n_words"}
+    rate = risk.allowed / len(rules)
+    tests = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {k} AS k, {c} AS cutoff, count(*) AS n, count_if(f_{r} >= {c}) AS x FROM held GROUP BY stratum" for r, cs in rules.items() for k, c in enumerate(cs))
+    hits = ", ".join(f"CASE WHEN f_{r} >= (SELECT cutoff FROM chosen c WHERE c.stratum = f.stratum AND c.rule = '{r}') THEN '{r}' END" for r in rules)
+    return rf"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+u AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3), g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM u),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
+m AS (SELECT doc_id, stratum, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS wc, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS l,
+  coalesce(rep.n, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals FROM w LEFT JOIN rep USING (rid)),
+b AS (SELECT *, coalesce(wc, 0) AS word_chars, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT *, {", ".join(f"coalesce({e.split(' / ')[0]}::DOUBLE / nullif({e.split(' / ')[1]}, 0), 0.0) AS f_{r}" for r, e in figure.items())} FROM b),
+held AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+t AS ({tests}),
+p AS (SELECT *, CASE WHEN x <= n * {rate!r} THEN list_sum(list_transform(range(0, (x + 1)::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r})))) ELSE 1.0 END <= {risk.error!r} / ((SELECT count(DISTINCT stratum) FROM held) * {len(rules)}) AS safe FROM t),
+fail AS (SELECT stratum, rule, min(k) FILTER (NOT safe) AS k FROM p GROUP BY ALL),
+chosen AS (SELECT p.stratum, p.rule, min(cutoff) AS cutoff FROM p JOIN fail USING (stratum, rule) WHERE fail.k IS NULL OR p.k < fail.k GROUP BY ALL)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by
+FROM (SELECT *, concat_ws(',', {hits}) AS rejected_by FROM f)"""
+
+
+_DEDUP_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id))::BIGINT AS component_id, d.doc_id <= coalesce(c.m, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) c USING (doc_id)"""
+
+_MIX_SQL = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5(doc_id::VARCHAR) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM w WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, round(least(2.0::DOUBLE * source_size, w * coalesce((SELECT max(level) FROM l WHERE w * level <= 2.0::DOUBLE * source_size), 'inf'::DOUBLE)), 6) AS target FROM l),
+x AS (SELECT d.*, source_size, target, round(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size::BIGINT AS size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - pos)))::BIGINT AS taken FROM x"""
+
+_TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v)::BIGINT AS score FROM v q JOIN v e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+_CHAT_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')) f(a, b, c, d)),
+g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id::BIGINT AS conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express. Trained models, spans that corpus statistics add and packing are tested otherwise."""
+    return {"op1_quality_rules": _quality_sql(), "op4_near_dedup": _DEDUP_SQL, "op5_source_mix": _MIX_SQL, "op7_exact_topk": _TOPK_SQL, "op8_chat_format": _CHAT_SQL}
