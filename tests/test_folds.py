@@ -137,7 +137,7 @@ def test_plans(spark, sf):
 
 
 def test_guess_abstract(spark):
-    body = "Some Title\nA. Author a@b.c\n" + " ".join(["This paper studies a number of things in some detail for readers."] * 5) + "\n\nRest of the text follows here."
+    body = "Some Title\nA. Author a@b.c\n" + " ".join(["This paper studies a number of things in some detail for readers who want to know about all of them."] * 5) + "\n\nRest of the text follows here."
     got = spark.createDataFrame([(body,), ("short\ntext",), ("",)], "t string").select(fulltext.guess_abstract(F.col("t")).alias("a")).collect()
     assert got[0].a is not None and got[0].a.startswith("This paper") and "Rest" not in got[0].a
     assert got[1].a is None and got[2].a is None
