@@ -16,7 +16,8 @@
    overlap, by at least a number that follows from sizes. So in the order of rarity within the group,
    the first few of either's D have one in common (prefix filter): members that share such a shingle
    are a new group. A shingle of D belongs to at most half of a group, so groups at least halve each
-   time; groups of one component, or without a member that needs them, are dropped. Nothing is capped.
+   time; groups of one component, or without a member that needs them, are dropped. Groups of bounded
+   size are settled at once, in one task each. Nothing is capped.
 
 Texts of classes in groups are shuffled once; sets never leave the task that compares them.
 """
@@ -37,6 +38,8 @@ from .common import durable
 SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, keys array<long>"
 #: Shingles of members that one comparison task takes at most (about).
 TASK_SHINGLES = 4_000_000
+#: A group of at most so many members, and so many shingles, is settled in one task.
+SMALL, SMALL_SHINGLES = 512, 1_000_000
 #: A pair is far, and no link, if its estimate is this many standard errors below the threshold.
 FAR = 5
 _BASE, _RATE, _TOP = 1.001, 20.0, (1 << 16) - 2
@@ -48,7 +51,7 @@ class Plan:
 
     words: int = 3
     percent: int = 85
-    band_rows: int = 5
+    band_rows: int = 7
     miss: float = 1e-5
 
     @property
@@ -216,17 +219,51 @@ def _subgroups(apart: DataFrame, plan: Plan) -> DataFrame:
     d = F.size("apart")
     # the one of a linked pair with fewer shingles apart has the shared one among its first `short`, the other among its first `long`
     short, long = d - F.greatest(F.lit(1), F.ceil(d - most / 2)) + 1, d - F.greatest(F.lit(1), F.ceil(d - most)) + 1
-    each = apart.select("key", "id", short.alias("short"), long.alias("long"), F.explode("apart").alias("s"))
+    each = apart.select("key", "id", "n", short.alias("short"), long.alias("long"), F.explode("apart").alias("s"))
     each = each.withColumn("seen", F.expr("count(*) OVER (PARTITION BY key, s)"))
     first = each.withColumn("at", F.expr("row_number() OVER (PARTITION BY key, id ORDER BY seen, s)")).where("at <= long AND seen > 1")
-    return first.groupBy(F.xxhash64("key", "s").alias("key"), "id").agg(F.max(F.col("at") <= F.col("short")).alias("lead"))
+    first = first.select(F.xxhash64("key", "s").alias("key"), "id", "n", (F.col("at") <= F.col("short")).alias("lead"))
+    led = first.withColumn("led", F.expr("max(lead) OVER (PARTITION BY key)")).withColumn("size", F.expr("count(*) OVER (PARTITION BY key)"))
+    return led.where("led AND size > 1").select("key", "id", "n", "lead")
 
 
 def _live(groups: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of groups that hold several components and a member that needs them."""
-    named = groups.join(label, "id", "left").select("key", "id", "lead", F.coalesce("component", "id").alias("component"))
-    live = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("lead").alias("led")).where("a <> b AND led").select("key")
-    return named.join(live, "key").select("key", "id")
+    """key, id, n, component, small: members of groups that hold several components and a member that needs them; of equal groups one."""
+    named = groups.join(label, "id", "left").select("key", "id", "n", "lead", F.coalesce("component", "id").alias("component"))
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(38,0)"))
+    live = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("lead").alias("led"), hashed(1).alias("f"), hashed(2).alias("g"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"))
+    live = live.where("a <> b AND led").groupBy("f", "g", "size", "all").agg(F.min("key").alias("key"))
+    small = (F.col("size") <= SMALL) & (F.col("all") <= SMALL_SHINGLES)
+    return named.join(live.select("key", small.alias("small")), "key").select("key", "id", "n", "component", "small")
+
+
+def _within(groups: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """Links (u, v) between components of small groups, by full sets."""
+    rows = groups.join(texts.withColumnRenamed("doc_id", "id"), "id").select("key", "id", "component", "text")
+
+    def settle(group: pa.Table) -> pa.Table:
+        ids, parent = group.column("id").to_pylist(), {c: c for c in group.column("component").to_pylist()}
+        own, sets = group.column("component").to_pylist(), [shingle_set(t, plan.words) for t in group.column("text").to_pylist()]
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        u, v = [], []
+        for i, s in enumerate(sets):
+            for j in range(i):
+                a, b = root(own[i]), root(own[j])
+                low, high = sorted((len(s), len(sets[j])))
+                if a == b or 100 * low < plan.percent * high:
+                    continue
+                both = len(np.intersect1d(s, sets[j], assume_unique=True))
+                if 100 * both >= plan.percent * (low + high - both):
+                    parent[a] = b
+                    u.append(ids[i]), v.append(ids[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.groupBy("key").applyInArrow(settle, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -272,18 +309,21 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     sized = groups.join(sizes, "key")
     central = sized.groupBy("id").agg(F.sum("size").alias("weight"))
     hubs = groups.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
-    stars = durable(_estimated(groups.join(hubs, "key").where("id <> hub").select("hub", "id").distinct(), classes, plan), "stars")
-    compared = durable(_compared(stars.where("NOT far"), texts, plan), "compared")
-    links = compared.where("linked").select(F.col("hub").alias("u"), F.col("id").alias("v"))
+    starred = durable(groups.join(hubs, "key").where("id <> hub").select("key", "hub", "id"), "starred")
+    stars = durable(_estimated(starred.select("hub", "id").distinct(), classes, plan), "stars")
+    links = durable(_compared(stars.where("NOT far"), texts, plan).where("linked").select(F.col("hub").alias("u"), F.col("id").alias("v")), "found")
     label = components(links)
-    every = compared.select("hub", "id", "linked").unionByName(stars.where("far").select("hub", "id", F.lit(False).alias("linked")))
-    unsettled = every.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("open"), F.count(F.lit(1)).alias("all")).where("open > 0 AND all > 1").select("hub")
-    groups = every.join(unsettled, "hub").select(F.col("hub").alias("key"), "id", F.lit(True).alias("lead")).distinct()
+    # open: buckets that hold several components besides the hub; a hub's open buckets go on as one group
+    named = starred.join(stars.select("hub", "id", "n"), ["hub", "id"]).join(label, "id", "left").select("key", "hub", "id", "n", F.coalesce("component", "id").alias("component"))
+    unsettled = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    groups = named.join(unsettled, "key").select(F.col("hub").alias("key"), "id", "n", F.lit(True).alias("lead")).distinct()
     while True:
         live = durable(_live(groups, label), "live")
-        if live.isEmpty():
+        links = links.unionByName(_within(live.where("small"), texts, plan))
+        large = live.where("NOT small")
+        if large.isEmpty():
             break
-        apart = durable(_apart(live, texts, plan), "apart")
+        apart = durable(_apart(large, texts, plan), "apart")
         links = durable(links.unionByName(_settled(apart)), "found")
         label = components(links)
         groups = durable(_subgroups(apart, plan), "groups")
