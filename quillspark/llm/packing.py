@@ -26,13 +26,26 @@ from .common import durable
 #: Pieces a block holds on average; a bin filled less than this share goes into the second round.
 BLOCK, FULL_ENOUGH = 4096, 0.99
 #: Word pieces whose ids a Python worker remembers, and their longest length in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 500_000, 64
+#: Signs that end a word and are a token of their own after letters and digits.
+_ENDS = (b".", b",", b";", b":", b"!", b"?")
 
 _coders: dict[str, object] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes bytes: printable ones as themselves, the others from 256 on, in order."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    odd = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
+
+
 class Coder(dict):
-    """Blank-free byte chunk -> little-endian ids. The tokenizer never joins text across ASCII blanks."""
+    """Blank-free byte chunk -> little-endian ids. The tokenizer lower-cases, and never joins text across ASCII blanks.
+
+    A chunk not remembered that is a word of Latin letters, with at most one sign at its end, goes straight
+    to the BPE model, which is what the tokenizer would do with it; any other goes through the tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -40,20 +53,42 @@ class Coder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        chunks = [(t or b"").split() for t in texts]
-        new = list(set().union(*chunks) - self.keys()) if chunks else []
-        rest: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            for c, e in zip(part, coded, strict=True):
-                ids = b"".join(i.to_bytes(4, "little") for i in e.ids)
-                (self if len(self) < REMEMBERED and len(c) <= LONGEST else rest)[c] = ids
-        if rest:
-            return [b"".join([self[c] if c in self else rest[c] for c in found]) for found in chunks]
-        return [b"".join(map(self.__getitem__, found)) for found in chunks]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.quick = True
+        probes = ["word", "Unlikelyword", "\u00c9t\u00e9", "stra\u00dfe", "a", "zzzqx", "\u00e0", "end.", "ni\u00f1o,", "why?"]
+        self.quick = all(self._quick(p.lower().encode()) == self._whole(p.encode()) for p in probes)
+
+    def _whole(self, chunk: bytes) -> bytes:
+        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return b"".join([self.four[i] for i in ids])
+
+    def _quick(self, chunk: bytes) -> bytes | None:
+        """Ids of a word, or None if it is not one."""
+        if chunk[-1:] in _ENDS and len(chunk) > 1:
+            head = self._quick(chunk[:-1]) if chunk[-2:-1] not in _ENDS else None
+            return None if head is None else head + self.four[self.model.tokenize(chunk[-1:].decode())[0].id]
+        word = chunk.decode("utf-8", "replace")
+        if not word.isalpha() or (not word.isascii() and max(word) > "\u00ff"):
+            return None
+        if not word.isascii():
+            word = word.lower().encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.four[t.id] for t in self.model.tokenize(word)])
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self._quick(chunk) if self.quick else None
+        if ids is None:
+            ids = self._whole(chunk)
+        if len(self) < REMEMBERED and len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+    def encode(self, text: bytes | None) -> bytes:
+        if not text:
+            return b""
+        # a text that may hold a special token keeps its case: those are only found as they are written
+        keep = not self.quick or b"<|" in text
+        return b"".join(map(self.__getitem__, (text if keep else text.lower()).split()))
 
 
 def coder(path: str) -> Coder:
@@ -69,11 +104,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int = 0) -
         own = coder(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows = ([], [], [], [], [])
-                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = own.encode(text) + end
                     for n, lo in enumerate(range(0, len(ids), 4 * length)):
                         cut = ids[lo : lo + 4 * length]
                         for col, v in zip(rows, (doc_id, n, lo // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
