@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, near_dedup, packing, pii, toxicity
-from quillspark.llm.common import hold_out, shared_dir, table
+from quillspark.llm.common import hold_out, made, release, shared_dir, table
 
 #: Packing cannot be expressed in SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
@@ -67,7 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of what the stages keep of documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        path, held = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}", made(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, held)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -51,12 +51,19 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every durable table of this application; results not yet consumed become unreadable."""
+def made(spark: SparkSession) -> int:
+    """How many durable tables this application holds."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the durable tables made after the first `since`; results on them not yet consumed become unreadable."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    for path in _made.pop(sc.applicationId, []):
+    held = _made.get(sc.applicationId, [])
+    for path in held[since:]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    del held[since:]
 
 
 def hold_out(doc_id: Column, parts: int) -> Column:
