@@ -112,39 +112,48 @@ def model(languages: list[str], seen: dict[str, Counter], how: Fit) -> Model:
 
 
 class _Scorer(dict):
-    """Blank-free chunk -> row of sums: log frequency by language, then 1 where there are letters."""
+    """Lower-cased word -> row of its log frequencies by language, for as many words as are remembered."""
 
-    def __init__(self, fitted: Model, held: int = 300_000):
+    def __init__(self, fitted: Model, held: int = 500_000):
         super().__init__()
         self.model, self.held = fitted, held
-        self.rows = np.zeros((4096, len(fitted.languages) + 1))
-
-    def row(self, chunk: str) -> np.ndarray:
-        words = _LETTERS.findall(chunk.lower())
-        out = np.zeros(len(self.model.languages) + 1)
-        for w in words:
-            out[:-1] += self.model.word(w)
-            out[-1] += 1
-        return out
+        self.rows = np.zeros((4096, len(fitted.languages)))
+        self.grams = [({g: i for i, g in enumerate(own)}, np.array(list(own.values())).reshape(len(own), len(fitted.languages))) for own in fitted.grams]
+
+    def word(self, word: str) -> np.ndarray:
+        """As Model.word, over tables."""
+        known = self.model.words.get(word)
+        if known is not None:
+            return known
+        held = f"<{word[:60]}>"
+        for n in range(len(self.grams) - 1, 0, -1):
+            index, table = self.grams[n]
+            text = held if n > 1 else held[1:-1]
+            found = [i for at in range(len(text) - n + 1) if (i := index.get(text[at : at + n])) is not None]
+            if found:
+                return np.add.reduce(table[found]) / len(found)
+        return self.model.floor
 
-    def __missing__(self, chunk: str) -> int:
-        row = self.row(chunk)
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.held:
             return -1
+        row = self.word(word)
         if len(self) == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[len(self)] = row
-        self[chunk] = at = len(self)
+        self[word] = at = len(self)
         return at
 
-    def score(self, text: str | None) -> np.ndarray:
-        chunks = text.split() if text else []
-        at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+    def score(self, text: str | None) -> np.ndarray | None:
+        """Sums by language; None without letters."""
+        words = _LETTERS.findall(text.lower()) if text else []
+        if not words:
+            return None
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         known = at[at >= 0]
-        out = self.rows[known].sum(axis=0) if len(known) else np.zeros(self.rows.shape[1])
+        out = np.add.reduce(self.rows[known]) if len(known) else np.zeros(self.rows.shape[1])
         if len(known) < len(at):
-            for i in np.flatnonzero(at < 0):
-                out = out + self.row(chunks[i])
+            out = out + np.add.reduce([self.word(words[i]) for i in np.flatnonzero(at < 0)])
         return out
 
 
@@ -170,11 +179,11 @@ def predict(docs: DataFrame, fitted: Model) -> DataFrame:
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
                 s = scorer.score(text)
-                if not s[-1] or not names:
+                if s is None or not names:
                     langs.append(UNKNOWN), scores.append(0.0)
                     continue
-                best = int(np.argmax(s[:-1]))
-                langs.append(names[best]), scores.append(float(1 / np.exp(np.maximum(s[:-1] - s[best], -700)).sum()))
+                best = int(np.argmax(s))
+                langs.append(names[best]), scores.append(float(1 / np.exp(np.maximum(s - s[best], -700)).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
