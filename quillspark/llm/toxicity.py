@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -32,7 +33,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: labelled rows sampled. features, voters: most kept. starts: lengths of word beginnings."""
+    """rows: labelled rows sampled. features, voters: most kept. starts: lengths of word beginnings. least_gain:
+    log likelihood that a feature must add, so that none of very many words marks toxicity by chance."""
 
     rows: int = 20_000
     features: int = 600
@@ -40,6 +42,7 @@ class Fit:
     starts: tuple[int, ...] = (4, 5, 6)
     least_docs: int = 4
     least_precision: float = 0.9
+    least_gain: float = 14.0
     rounds: int = 40
 
 
@@ -70,26 +73,41 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, how: Fit = Fit()) -
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).join(sample, "i").select("y", "t")
 
     def count(batches):
+        """Documents that hold a feature; of toxic ones also where it first stands, as copies of a text all say the same."""
         for batch in batches:
-            own: list[Counter] = [Counter(), Counter()]
-            seen = [0, 0]
+            good: Counter = Counter()
+            bad: Counter = Counter()
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own[y > 0].update(_doc_features(text, how.starts))
-                seen[y > 0] += 1
-            keys = list(own[0].keys() | own[1].keys())
-            cols = [pa.array(["", *keys], pa.string()), pa.array([seen[1], *[own[1][k] for k in keys]], pa.int64()), pa.array([seen[0], *[own[0][k] for k in keys]], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["feature", "bad", "good"])
-
-    counted = rows.mapInArrow(count, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counted = durable(counted.where((F.col("feature") == "") | (F.col("bad") >= how.least_docs)), "marks")
+                if y <= 0:
+                    good.update(_doc_features(text, how.starts))
+                    good[""] += 1
+                    continue
+                words, seen = _WORDS.findall(text.lower()), {("", 0): None}  # a dict keeps the order
+                found = {""}
+                for i, w in enumerate(words):
+                    around = zlib.crc32(" ".join(words[max(0, i - 1) : i] + ["|"] + words[i + 1 : i + 2]).encode())
+                    for f in features_of(w, how.starts):
+                        if f not in found:
+                            found.add(f)
+                            seen[f, around] = None
+                bad.update(seen.keys())
+            rows = [(f, c, n, 0) for (f, c), n in bad.items()] + [(f, -1, 0, n) for f, n in good.items()]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["feature", "around", "bad", "good"])
+
+    each = rows.mapInArrow(count, "feature string, around long, bad long, good long").groupBy("feature", "around").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = each.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("places"))
+    counted = durable(counted.where((F.col("feature") == "") | (F.col("places") >= how.least_docs)), "marks")
     total = counted.where("feature = ''").first()
     if total is None or not total["bad"] or not total["good"]:
         return Model({}, -20.0, how.starts, {}, {}, 0.0)
     base = total["bad"] / (total["bad"] + total["good"])
     least = max(how.least_precision, 2 * base) if base < 0.45 else base
-    gain = F.col("bad") * F.ln((F.col("bad") / (F.col("bad") + F.col("good"))) / F.lit(base))
-    marks = counted.where((F.col("feature") != "") & (F.col("bad") >= how.least_docs) & (F.col("bad") >= least * (F.col("bad") + F.col("good")))).orderBy(gain.desc(), "feature").limit(how.features).collect()
+    gain = F.col("places") * F.ln((F.col("bad") / (F.col("bad") + F.col("good"))) / F.lit(base))
+    marks = counted.where((F.col("feature") != "") & (F.col("bad") >= least * (F.col("bad") + F.col("good"))) & (gain >= how.least_gain)).orderBy(gain.desc(), "feature").limit(how.features).collect()
     names = [r["feature"] for r in marks]
+    if not names:
+        return Model({}, -20.0, how.starts, {}, {}, base)
     index = {f: k for k, f in enumerate(names)}
 
     def vote(batches):

@@ -48,7 +48,9 @@ def test_toxicity_held_out(spark, sf):
 
 
 def test_label_model_and_classifier_on_planted_votes(spark):
-    rows = [(i, f"calm words number n{i} here", 0) for i in range(300)] + [(1000 + i, f"you nasty{'gram' if i % 2 else ''} fool n{i} here", 1) for i in range(60)]
+    w = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"calm words number {w(i)} here", 0) for i in range(300)] + [(1000 + i, f"you {w(i)} nasty{'gram' if i % 2 else ''} {w(i + 7)} fool {w(i * 3)} here", 1) for i in range(60)]
+    rows += [(2000 + i, "copied rare wording of one text, toxic fool", 1) for i in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
     m = toxicity.fit(docs, labels, F.lit(True))
@@ -57,6 +59,7 @@ def test_label_model_and_classifier_on_planted_votes(spark):
     got = {r.doc_id: r for r in toxicity.predict(new, m).collect()}
     assert got[1].predicted == 1 and [got[i].predicted for i in (2, 3, 4)] == [0, 0, 0]
     assert got[3].score == got[4].score
+    assert not {"copied", "rare", "wording"} & m.weights.keys()  # copies of one text are one place
 
 
 def test_toxicity_edges(spark):
