@@ -322,11 +322,11 @@ def pair_count_possible(spark, sf_dir):
     return cl.possible_pairs(t(spark, sf_dir, "embeddings"), "label")
 
 
-@query(f"""SELECT page_id, CASE WHEN {_STRIP.format(c='coalesce(text, ' + chr(39) * 2 + ')')} <> '' THEN 'Full PDF' ELSE 'Abstract fallback' END AS source_kind, length(coalesce(nullif({_STRIP.format(c='coalesce(text, ' + chr(39) * 2 + ')')}, ''), {_STRIP.format(c='url')}))::BIGINT AS chars FROM pages LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0) d ON page_id = doc_id""")
+@query(f"""SELECT page_id, CASE WHEN {_STRIP.format(c='coalesce(text, ' + chr(39) * 2 + ')')} <> '' THEN 'Full PDF' ELSE 'Abstract fallback' END AS source_kind, length(coalesce(nullif({_STRIP.format(c='coalesce(text, ' + chr(39) * 2 + ')')}, ''), {_STRIP.format(c='url')}))::BIGINT AS chars FROM pages LEFT JOIN (SELECT doc_id, text FROM documents WHERE lang = 'en') d ON page_id = doc_id""")
 def full_text_fallback(spark, sf_dir):
-    """Even ids alone have a cached text here: the fixture's way to leave some papers without."""
+    """The cache holds English texts; pages of other documents fall back."""
     papers = t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("abstract"))
-    cached = t(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("page_id"), F.col("text").alias("full_text"))
+    cached = t(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page_id"), F.col("text").alias("full_text"))
     return ft.acquire(papers, cached, "page_id").select("page_id", "source_kind", F.length("text").cast("long").alias("chars"))
 
 
