@@ -96,6 +96,29 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert sum(got[1000 + i] == "random:4:32" for i in range(20)) >= 16
 
 
+def test_random_tokens_of_every_length_are_decided(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = "meadow report harvest under Council village history market summer between window teacher".split()
+    alphabets = {"b64": secrets._UPPER + secrets._LOWER + secrets._DIGITS + "+/", "low": secrets._LOWER + secrets._DIGITS}
+    rows, wanted = [], {}
+    for size in (24, 40, 80, 150):
+        for name, a in alphabets.items():
+            for _ in range(20):
+                wanted[len(rows)] = (size, name)
+                rows.append((len(rows), "key " + "".join(rng.choice(a) for _ in range(size)) + " end of it"))
+        for sep in ("", "-", "/", "_"):
+            for _ in range(5):  # long names with numbers, not keys
+                rows.append((len(rows), "see " + sep.join(rng.choice(parts) for _ in range(40))[: size - 5] + "x2024 there"))
+    rows += [(len(rows) + i, " ".join(rng.choice(parts) for _ in range(60))) for i in range(50)]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = Counter(k for i, k in wanted.items() if "random:" in got[i])
+    names = sum("random:" in x for i, x in got.items() if i not in wanted)
+    assert all(hits[k] >= 14 for k in set(wanted.values()) if k[0] >= 40), hits
+    assert names <= 0.05 * sum(hits.values()) + 1, (names, hits)
+
+
 def test_personal_data(spark, sf):
     check(pii.report, table(spark, sf, "documents"), personal_spans, pii.NAMES)
     check(pii.report, hard(spark), personal_spans, pii.NAMES)
