@@ -4,8 +4,8 @@ Base entities are e-mail addresses, IP addresses, card and phone numbers, by pat
 near an entity may disclose it as well. Over the corpus, a term t that stands near entity e in n_te
 documents, is in n_t documents and e in n_e of N, tells PMI(t; e) = ln(n_te N / (n_t n_e)) of the
 ln(N / n_e) that e itself carries. A term whose share reaches the disclosure threshold and that stood
-near e in enough different contexts (copies of a text count once) is sanitised where it stands near e.
-All counts cover the whole corpus. DataFrame functions only.
+near e in enough different contexts (copies of a text count once) is sanitised wherever it stands, in
+every text. All counts cover the whole corpus. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -61,8 +61,8 @@ def entities(docs: DataFrame, context: int) -> tuple[DataFrame, DataFrame]:
     return rows, durable(found.where(_valid()), "entities")
 
 
-def _near(base: DataFrame) -> DataFrame:
-    """A row per term near an entity: rid, entity, seen (the context's hash), term, start, end."""
+def _near(base: DataFrame, window: int) -> DataFrame:
+    """A row per whole term near an entity: rid, entity, seen (the context's hash), term. base has one character more around."""
 
     def side(text: str, first: Column) -> Column:
         between, values = F.split(F.col(text), _TERM, -1), F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
@@ -70,14 +70,19 @@ def _near(base: DataFrame) -> DataFrame:
         step = lambda acc, z: F.struct((acc["at"] + F.length(z["b"]) + F.coalesce(F.length(z["v"]), F.lit(0))).cast("long").alias("at"), F.when(z["v"].isNull(), acc["got"]).otherwise(F.concat(acc["got"], F.array(F.struct(z["v"].alias("term"), (acc["at"] + F.length(z["b"])).cast("long").alias("start"), (acc["at"] + F.length(z["b"]) + F.length(z["v"])).cast("long").alias("end"))))).alias("got"))
         return F.aggregate(F.arrays_zip(between.alias("b"), values.alias("v")), zero, step)["got"]
 
-    both = F.concat(side("before", F.col("start") - F.length("before")), side("after", F.col("end")))
-    named = base.select("rid", F.sha1(F.concat_ws(":", "kind", F.lower("value")).cast("binary")).alias("entity"), F.xxhash64("before", "after").alias("seen"), F.explode(both).alias("t"))
-    return named.select("rid", "entity", "seen", F.lower("t.term").alias("term"), "t.start", "t.end")
+    whole = F.filter(side("before", F.col("start") - F.length("before")), lambda t: t["start"] >= F.col("start") - window)
+    both = F.concat(whole, F.filter(side("after", F.col("end")), lambda t: t["end"] <= F.col("end") + window))
+    seen = F.xxhash64(F.substring("before", -window, window), F.substring("after", 1, window))
+    named = base.select("rid", F.sha1(F.concat_ws(":", "kind", F.lower("value")).cast("binary")).alias("entity"), seen.alias("seen"), F.explode(both).alias("t"))
+    return named.select("rid", "entity", "seen", F.lower("t.term").alias("term"))
 
 
 def disclosing(docs: DataFrame, rows: DataFrame, base: DataFrame, how: Disclosure) -> DataFrame:
-    """Spans of terms that disclose the entity they stand near: rid, kind 0, start, end."""
-    near = durable(_near(base), "near")
+    """Spans of all terms that disclose an entity they stand near somewhere: rid, kind 0, start, end.
+
+    docs: doc_id, one each row, and text; rows: rid of each doc_id.
+    """
+    near = durable(_near(base, how.window), "near")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("rid").alias("n_te")).where(F.col("contexts") >= how.contexts)
     pairs = durable(pairs, "pairs")
     terms = pairs.select(F.col("term").alias("t")).distinct()
@@ -86,18 +91,29 @@ def disclosing(docs: DataFrame, rows: DataFrame, base: DataFrame, how: Disclosur
     own = base.groupBy(F.sha1(F.concat_ws(":", "kind", F.lower("value")).cast("binary")).alias("entity")).agg(F.count_distinct("rid").alias("n_e"))
     total = float(max(1, rows.count()))
     told = F.ln(F.col("n_te") * total / (F.greatest("count", "n_te") * F.col("n_e")))
-    strong = pairs.join(known, "term").join(own, "entity").where(told >= how.share * F.ln(F.lit(total) / F.col("n_e"))).where(F.col("n_e") < total).select("entity", "term")
-    return near.join(strong, ["entity", "term"]).select("rid", F.lit(0).alias("kind"), "start", "end").distinct()
+    strong = pairs.join(known, "term").join(own, "entity").where(told >= how.share * F.ln(F.lit(total) / F.col("n_e"))).where(F.col("n_e") < total)
+    strong = durable(strong.select("term").distinct(), "strong")
+    if strong.isEmpty():
+        return rows.where(F.lit(False)).select("rid", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+    each = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("term"))
+    held = docs.join(each.join(strong, "term").select("doc_id").distinct(), "doc_id")
+    own_rows, every = spans.locate(held, [spans.Kind("term", _TERM, _TERM)])
+    placed = every.withColumn("term", F.lower("value")).join(strong, "term").select(F.col("rid").alias("own"), "start", "end")
+    back = own_rows.withColumnRenamed("rid", "own").join(rows, "doc_id").select("own", "rid")
+    return placed.join(back, "own").select("rid", F.lit(0).alias("kind"), "start", "end")
 
 
 def find(docs: DataFrame, how: Disclosure = Disclosure()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, base spans, added term spans) of docs' whole texts.
 
     docs: doc_id and text; other columns are ignored, so they may have any name. Null text is empty.
-    Repeated rows each get their spans. Added spans may overlap base spans of another kind.
+    Repeated rows each get their spans. Added spans may overlap base spans.
     """
-    rows, base = entities(docs, how.window)
-    return rows, base, durable(disclosing(docs, rows, base, how), "terms")
+    held = durable(docs.select(F.monotonically_increasing_id().alias("__rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "documents")
+    texts = held.select(F.col("__rid").alias("doc_id"), "text")
+    rows, base = entities(texts, how.window + 1)
+    added = durable(disclosing(texts, rows, base, how), "terms")
+    return rows.withColumnRenamed("doc_id", "__rid").join(held.select("__rid", "doc_id"), "__rid").select("rid", "doc_id"), base, added
 
 
 def report(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
@@ -112,8 +128,7 @@ def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     Overlapping spans are replaced as one, by the kind that starts first. Texts without spans stay as they are.
     """
     held = durable(docs.withColumn("__rid", F.monotonically_increasing_id()), "documents")
-    rows, found = spans.locate(held.select(F.col("__rid").alias("doc_id"), "text"), KINDS, how.window)
-    base = durable(found.where(_valid()), "entities")
+    rows, base = entities(held.select(F.col("__rid").alias("doc_id"), "text"), how.window + 1)
     added = disclosing(held.select(F.col("__rid").alias("doc_id"), "text"), rows, base, how)
     every = base.select("rid", "kind", "start", "end").unionByName(added.withColumn("kind", F.lit(len(NAMES)))).join(rows.select("rid", F.col("doc_id").alias("__rid")), "rid")
     names = F.array(*[F.lit(f"[{n.upper()}]") for n in [*NAMES, "term"]])

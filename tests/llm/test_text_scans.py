@@ -161,6 +161,20 @@ def test_disclosing_terms_against_brute_force(spark):
     assert {text[i][s:e] for i, s, e in got} >= {"Montague"} and not {"about", "text", "Common"} & {text[i][s:e] for i, s, e in got}
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = "plain filler words " * 10
+    rows = [(i, f"Case {i} by Montague wrote m.capulet@verona.example today {i}. {far} Signed montague") for i in range(6)] + [(7, f"Only Montague without address {far}")]
+    rows += [(10 + i, f"plain filler words today {far} wrote address without only signed case {i}") for i in range(600)]
+    found = pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text, marked = dict(rows), Counter()
+    for r in found:
+        marked.update((r.doc_id, text[r.doc_id][int(a) : int(b)].lower()) for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term")
+    assert all(marked[i, "montague"] == 2 for i in range(6)) and marked[7, "montague"] == 1
+    assert {w for _, w in marked} == {"montague"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(clean) == len(rows) and not any("montague" in t.lower() for t in clean.values())
+
+
 def test_sanitise(spark):
     rows = [(1, "mail a@b.cc now +1 (743) 555-3824!", "k"), (2, "nothing here", "k"), (3, None, "k"), (1, "mail a@b.cc now", "k")]
     got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()
