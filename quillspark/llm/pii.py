@@ -5,7 +5,8 @@ near an entity may disclose it as well. Over the corpus, a term t that stands ne
 documents, is in n_t documents and e in n_e of N, tells PMI(t; e) = ln(n_te N / (n_t n_e)) of the
 ln(N / n_e) that e itself carries. A term whose share reaches the disclosure threshold and that stood
 near e in enough different contexts (copies of a text count once) is sanitised wherever it stands, in
-every text. All counts cover the whole corpus. DataFrame functions only.
+every text. With fewer contexts the lower confidence bound of the PMI must reach the threshold, so rare
+entities are decided as far as the size of the corpus lets so few places tell. All counts cover the whole corpus. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ _TERM = r"\p{L}{4,}"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """share of an entity's information; different contexts; characters around an entity."""
+    """share of an entity's information; different contexts at which the PMI counts as it is; characters around an
+    entity; normal quantile of the confidence bound (one-sided 95 %) for fewer contexts."""
 
     share: float = 0.9
     contexts: int = 3
     window: int = 60
+    sure: float = 1.645
 
 
 def luhn(digits: Column) -> Column:
@@ -83,15 +86,18 @@ def disclosing(docs: DataFrame, rows: DataFrame, base: DataFrame, how: Disclosur
     docs: doc_id, one each row, and text; rows: rid of each doc_id.
     """
     near = durable(_near(base, how.window), "near")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("rid").alias("n_te")).where(F.col("contexts") >= how.contexts)
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("rid").alias("n_te"))
     pairs = durable(pairs, "pairs")
     terms = pairs.select(F.col("term").alias("t")).distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("term"))
     known = words.groupBy("term").count().join(terms, F.col("term") == F.col("t")).drop("t")  # inner: a semi join would be moved below the counting
     own = base.groupBy(F.sha1(F.concat_ws(":", "kind", F.lower("value")).cast("binary")).alias("entity")).agg(F.count_distinct("rid").alias("n_e"))
     total = float(max(1, rows.count()))
-    told = F.ln(F.col("n_te") * total / (F.greatest("count", "n_te") * F.col("n_e")))
-    strong = pairs.join(known, "term").join(own, "entity").where(told >= how.share * F.ln(F.lit(total) / F.col("n_e"))).where(F.col("n_e") < total)
+    told = lambda p: F.ln(p * total / F.col("n_e")) >= how.share * F.ln(F.lit(total) / F.col("n_e"))
+    p = F.col("n_te") / F.greatest("count", "n_te")
+    n, z2 = F.col("contexts") / p, how.sure**2  # a context is one observation, however many copies it has
+    low = (p + z2 / (2 * n) - how.sure * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)  # Wilson's bound of P(e | t)
+    strong = pairs.join(known, "term").join(own, "entity").where(((F.col("contexts") >= how.contexts) & told(p)) | told(low)).where(F.col("n_e") < total)
     strong = durable(strong.select("term").distinct(), "strong")
     if strong.isEmpty():
         return rows.where(F.lit(False)).select("rid", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))

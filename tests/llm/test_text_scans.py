@@ -175,6 +175,13 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     assert len(clean) == len(rows) and not any("montague" in t.lower() for t in clean.values())
 
 
+def test_rare_entities_are_decided(spark):
+    rows = [(i, f"Case {'ab'[i]} of Montague today wrote m.capulet@verona.example {'first second'.split()[i]} time") for i in range(2)]
+    plain = spark.range(10, 20_000).select(F.col("id").alias("doc_id"), F.lit("case of today wrote first second time").alias("text"))
+    found = pii.report(spark.createDataFrame(rows, "doc_id long, text string").unionByName(plain)).where("spans LIKE '%term%'").collect()
+    assert {(r.doc_id, x) for r in found for x in r.spans.split(",") if x.startswith("term")} == {(0, "term:10:18"), (1, "term:10:18")}
+
+
 def test_sanitise(spark):
     rows = [(1, "mail a@b.cc now +1 (743) 555-3824!", "k"), (2, "nothing here", "k"), (3, None, "k"), (1, "mail a@b.cc now", "k")]
     got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()
