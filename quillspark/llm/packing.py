@@ -86,9 +86,10 @@ class Coder(dict):
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
-        # a text that may hold a special token keeps its case: those are only found as they are written
-        keep = not self.quick or b"<|" in text
-        return b"".join(map(self.__getitem__, (text if keep else text.lower()).split()))
+        if self.quick and b"<|" not in text:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        # what may hold a special token keeps its case: those are only found as they are written
+        return b"".join(self[c if not self.quick or b"<|" in c else c.lower()] for c in text.split())
 
 
 def coder(path: str) -> Coder:
@@ -219,14 +220,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     docs: doc_id and text; other columns are ignored, so they may have any name. Returns a row per
     piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null or empty text is its end
-    id alone. Repeated rows are packed each for itself; null ids stay null. An empty table gives an
-    empty result. Only documents longer than capacity are cut.
+    id alone. Very long texts are read whole. Repeated rows are packed each for itself; null ids stay
+    null. An empty table gives an empty result. Only documents longer than capacity are cut.
     """
     made = durable(pieces(docs, tokenizer_path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    count = made.count()
-    first = durable(_packed(made, max(1, round(count / BLOCK)), capacity, 0), "packed")
+    blocks = max(1, round(made.count() / BLOCK))
+    first = durable(_packed(made, blocks, capacity, 0), "packed")
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     under = F.col("filled") < int(FULL_ENOUGH * capacity)
     rest = first.where(under)
-    again = _packed(rest, max(1, round(rest.count() / BLOCK)), capacity, 1 << 20)
+    again = _packed(rest, max(1, round(rest.count() / BLOCK)), capacity, blocks)  # blocks of either round have numbers of their own
     return first.where(~under).select(*cols).unionByName(again.select(*cols))

@@ -52,9 +52,37 @@ def test_awkward_and_empty(spark):
 
 def test_special_tokens_and_odd_blanks(spark):
     texts = ["a <|endoftext|> b", "x<|startoftext|>y", "é́ é ́a", "A B\x1cC\x0bD\x85E", "İstanbul ΣΑΣ", "don't I'LL 123 45.6"]
+    texts += ["a <| Hello World", "<|user|> Anna", "Hello <|ENDOFTEXT|> World", "<|endoftext|>Anna.", "B<|endoftext|>C <|", "Élan <| ÉTÉ!"]
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_fuzzed_texts_equal_the_tokenizer():
+    import random
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    own, t = packing.coder(PATH), Tokenizer.from_file(PATH)
+    bits = ["<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "Hello", "WORLD", "É", "ß", "İ", "ﬁ", "Σ", "e\u0301", "don't", "I'LL", "1", "23", ".", "!?", ",", "\u00a0", "\u2003", "\x1c", "\x85", "日本", "😀", "#", "'s", "_", "<", "|"]
+
+    @settings(max_examples=400, deadline=None, derandomize=True)
+    @given(st.lists(st.one_of(st.sampled_from(bits), st.text(max_size=4)), max_size=12), st.integers(0, 1 << 30))
+    def run(parts, seed):
+        rng = random.Random(seed)
+        text = "".join(p + rng.choice(["", "", " ", "\n", "\t "]) for p in parts)
+        text = text.encode("utf-8", "ignore").decode()
+        assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+    run()
+
+
+def test_rounds_have_sequence_numbers_of_their_own(spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    got = packing.pack(table(spark, sf, "documents"), PATH)
+    over = got.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048")
+    assert over.count() == 0
+
+
 def test_local_search_raises_squared_fill_and_empties_bins():
     lengths = [60, 60, 50, 50, 40, 40]
     bins = [[0], [1], [2], [3], [4], [5]]
