@@ -1,18 +1,22 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows (Fit.rows in expectation, drawn by a hash of the id) is read with
-   whole texts. Words and word beginnings that mark its toxic rows become features.
-2. Voters: every strong lexicon word votes toxic where it occurs, every strong word beginning (a
-   pattern) too, families of either by strength, and a clean voter where none occurs; they abstain elsewhere.
-3. A generative label model estimates each voter's accuracy by expectation maximisation, started at
-   the labelled rows, and the correlation of voters within a class; correlated voters share their weight.
-4. A linear classifier over the features is trained on the model's posterior labels.
+   whole texts. Features are words and word beginnings, each at three levels: it occurs, it occurs
+   twice, it makes up Fit.dense percent of the words. Those that mark toxic rows beyond chance, by a
+   likelihood test corrected for how many were tested, are kept; of nested beginnings the most telling.
+2. Voters: every kept feature votes toxic where it fires (lexicon words and beginning patterns alike),
+   one votes clean where none fires, and the label votes, too; they abstain elsewhere.
+3. A generative label model estimates every voter's accuracy, and the correlations of voters within a
+   class, by expectation maximisation from the voters' majority. A row's posterior is made of the
+   accuracies of the voters that fire there, each divided by how much the others there repeat it.
+4. A linear classifier over the features is trained on the posterior labels.
 
 Only the small linear model goes to the executors; scoring reads every whole text once.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 import zlib
@@ -29,21 +33,24 @@ from pyspark.sql import types as T
 from .common import durable, unit_hash
 
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Marks of a feature's level: it occurs, twice, densely.
+LEVELS = ("", "#2", "#%")
+LABEL, CLEAN = "label", "clean:no mark"
 
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: labelled rows sampled. features, voters: most kept. starts: lengths of word beginnings. least_gain:
-    log likelihood that a feature must add, so that none of very many words marks toxicity by chance."""
+    """rows: labelled rows sampled. starts: lengths of word beginnings. dense: percent of a text's words. lift: how many
+    times a feature must raise the odds of toxicity. error: features expected to pass by chance. trust: accuracy of labels,
+    the one voter whose accuracy is given, so that the others' are estimated against something."""
 
     rows: int = 20_000
-    features: int = 600
-    voters: int = 64
-    starts: tuple[int, ...] = (4, 5, 6)
-    least_docs: int = 4
-    least_precision: float = 0.9
-    least_gain: float = 14.0
-    rounds: int = 40
+    starts: tuple[int, ...] = (3, 4, 5, 6, 8)
+    dense: int = 1
+    lift: float = 3.0
+    error: float = 0.05
+    trust: float = 0.98
+    rounds: int = 60
 
 
 @dataclass
@@ -51,6 +58,7 @@ class Model:
     weights: dict[str, float]
     bias: float
     starts: tuple[int, ...]
+    dense: int
     accuracies: dict[str, float]
     correlations: dict[tuple[str, str], float]
     prior: float
@@ -61,8 +69,107 @@ def features_of(word: str, starts: tuple[int, ...]) -> list[str]:
     return [word] + [f"{word[:n]}*" for n in starts if len(word) > n]
 
 
-def _doc_features(text: str, starts: tuple[int, ...]) -> set[str]:
-    return {f for w in set(_WORDS.findall(text.lower())) for f in features_of(w, starts)}
+def plain(feature: str) -> str:
+    """Without its level."""
+    return feature[:-2] if feature.endswith(LEVELS[1:]) else feature
+
+
+def levels_of(counts: dict[str, int], words: int, dense: int) -> list[str]:
+    """Features at all levels that counts of them among so many words reach."""
+    twice, often = [f + LEVELS[1] for f, n in counts.items() if n > 1], -(-dense * words // 100)
+    return [*counts, *twice, *[f + LEVELS[2] for f, n in counts.items() if n >= often]]
+
+
+class _Known(dict):
+    """Word -> its features (those of `only`, if given)."""
+
+    def __init__(self, starts: tuple[int, ...], only: set[str] | None = None, held: int = 300_000):
+        super().__init__()
+        self.starts, self.only, self.held = starts, only, held
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        own = tuple(f for f in features_of(word, self.starts) if self.only is None or f in self.only)
+        if len(self) < self.held:
+            self[word] = own
+        return own
+
+
+def doc_counts(text: str, how: Fit, known: _Known | None = None) -> tuple[dict[str, int], int]:
+    """How often a text has each feature, from its letter runs; its blank-separated chunks, which count as its words."""
+    counts: dict[str, int] = {}
+    known = _Known(how.starts) if known is None else known
+    for w, n in Counter(_WORDS.findall(text.lower())).items():
+        own = known[w]
+        for f in own:
+            counts[f] = counts.get(f, 0) + n
+    return counts, len(text.split())
+
+
+def doc_features(text: str, how: Fit, known: _Known | None = None) -> list[str]:
+    """What a text has, at all levels."""
+    return levels_of(*doc_counts(text, how, known), how.dense)
+
+
+def first_places(text: str, how: Fit) -> dict[str, int]:
+    """Feature -> hash of the words beside its first place."""
+    words, out = _WORDS.findall(text.lower()), {}
+    first = {w: i for i, w in reversed(list(enumerate(words)))}
+    for w, i in sorted(first.items(), key=lambda x: x[1]):
+        new = [f for f in features_of(w, how.starts) if f not in out]
+        if new:
+            out.update(dict.fromkeys(new, zlib.crc32(" ".join(words[max(0, i - 1) : i] + ["|"] + words[i + 1 : i + 2]).encode())))
+    return out
+
+
+def tests(margins: list[tuple[int, int]], base: float, error: float) -> int:
+    """How many tests to correct for, of (documents that have a feature, how many such features) in any order.
+
+    A feature of so few documents that it could not pass, were they all toxic, needs no correction (Tarone): the
+    least K such that at most K features could pass a test corrected for K.
+    """
+    ordered, reach = sorted(margins, reverse=True), 0
+    for n, features in ordered:
+        if n * math.log(1 / base) < math.log(max(1, reach) / error):
+            break
+        reach += features
+    return max(1, reach)
+
+
+def evidence(places: int | np.ndarray, good: int | np.ndarray, base: float):
+    """Log likelihood that a feature at `places` toxic and `good` clean ones adds over the base rate."""
+    n = np.maximum(places + good, 1e-9)
+    p = np.clip(places / n, 1e-12, 1 - 1e-12)
+    return n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base)))
+
+
+def chosen(rows: list[tuple[str, int, int, int]], base: float, tested: int, how: Fit) -> list[str]:
+    """Features to keep of (feature, toxic documents, places of those, clean documents), the most telling first.
+
+    Of features at one level of which one's word or beginning begins with another's, only those stay that no
+    other of them surpasses; ties go to the shorter, and to a beginning before a word.
+    """
+    least = math.log(tested / how.error)
+    telling = {f: float(evidence(places, good, base)) for f, bad, places, good in rows if places * (1 - base) >= how.lift * base * good}
+    telling = {f: e for f, e in telling.items() if e >= least}
+
+    def split(f: str) -> tuple[str, str]:
+        level = next((x for x in LEVELS[1:] if f.endswith(x)), "")
+        return f.removesuffix(level).removesuffix("*"), level
+
+    best: dict[tuple[str, str], tuple[float, int]] = {}  # stem and level -> the best among it and all that begin with it
+    for f, e in telling.items():
+        stem, level = split(f)
+        for n in range(1, len(stem) + 1):
+            key = (stem[:n], level)
+            best[key] = max(best.get(key, (0.0, 0)), (e, -len(stem)))
+    out = []
+    for f, e in telling.items():
+        stem, level = split(f)
+        own = (e, -len(stem))
+        above = [telling.get(stem[:n] + star + level, 0.0) for n in range(1, len(stem) + 1) for star in ("*", "") if stem[:n] + star + level != f and (n < len(stem) or star == "*")]
+        if best[stem, level] <= own and max(above, default=0.0) < e:
+            out.append(f)
+    return sorted(out, key=lambda f: (-telling[f], f))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, how: Fit = Fit()) -> Model:
@@ -70,49 +177,47 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, how: Fit = Fit()) -
     labelled = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & allowed).groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     known = labelled.count()
     sample = F.broadcast(labelled.where(unit_hash(F.col("i")) < min(1.0, how.rows / max(1, known))))  # about how.rows rows of 12 bytes
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).join(sample, "i").select("y", "t")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).join(sample, "i").select("y", "t")
+    rows = durable(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")  # bounded, and read twice
 
     def count(batches):
-        """Documents that hold a feature; of toxic ones also where it first stands, as copies of a text all say the same."""
+        """Documents that have a feature; of toxic ones also where it first stands, as copies of a text all say the same."""
+        known = _Known(how.starts)
         for batch in batches:
             good: Counter = Counter()
             bad: Counter = Counter()
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if y <= 0:
-                    good.update(_doc_features(text, how.starts))
+                    good.update(doc_features(text, how, known))
                     good[""] += 1
                     continue
-                words, seen = _WORDS.findall(text.lower()), {("", 0): None}  # a dict keeps the order
-                found = {""}
-                for i, w in enumerate(words):
-                    around = zlib.crc32(" ".join(words[max(0, i - 1) : i] + ["|"] + words[i + 1 : i + 2]).encode())
-                    for f in features_of(w, how.starts):
-                        if f not in found:
-                            found.add(f)
-                            seen[f, around] = None
-                bad.update(seen.keys())
-            rows = [(f, c, n, 0) for (f, c), n in bad.items()] + [(f, -1, 0, n) for f, n in good.items()]
+                bad["", 0] += 1
+                around = first_places(text, how)
+                bad.update((f, around[plain(f)]) for f in doc_features(text, how, known))
+            found = [(f, c, n, 0) for (f, c), n in bad.items()] + [(f, -1, 0, n) for f, n in good.items()]
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["feature", "around", "bad", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 4, kinds, strict=True)], ["feature", "around", "bad", "good"])
 
     each = rows.mapInArrow(count, "feature string, around long, bad long, good long").groupBy("feature", "around").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counted = each.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("places"))
-    counted = durable(counted.where((F.col("feature") == "") | (F.col("places") >= how.least_docs)), "marks")
+    counted = durable(counted, "marks")
     total = counted.where("feature = ''").first()
     if total is None or not total["bad"] or not total["good"]:
-        return Model({}, -20.0, how.starts, {}, {}, 0.0)
+        return Model({}, -20.0, how.starts, how.dense, {}, {}, 0.0)
     base = total["bad"] / (total["bad"] + total["good"])
-    least = max(how.least_precision, 2 * base) if base < 0.45 else base
-    gain = F.col("places") * F.ln((F.col("bad") / (F.col("bad") + F.col("good"))) / F.lit(base))
-    marks = counted.where((F.col("feature") != "") & (F.col("bad") >= least * (F.col("bad") + F.col("good"))) & (gain >= how.least_gain)).orderBy(gain.desc(), "feature").limit(how.features).collect()
-    names = [r["feature"] for r in marks]
+    margins = counted.where("feature <> ''").groupBy((F.col("places") + F.col("good")).alias("n")).agg(F.count(F.lit(1)).alias("features")).collect()  # at most as many as sampled rows
+    tested = tests([(r["n"], r["features"]) for r in margins], base, how.error)
+    # what `places` alone could show is more than what a feature does show, so this only spares the driver hopeless ones
+    hopeful = counted.where((F.col("feature") != "") & (F.col("places") * math.log(1 / base) >= math.log(tested / how.error)) & (F.col("places") * (1 - base) >= how.lift * base * F.col("good")))
+    names = chosen([(r["feature"], r["bad"], r["places"], r["good"]) for r in hopeful.collect()], base, tested, how)
     if not names:
-        return Model({}, -20.0, how.starts, {}, {}, base)
+        return Model({}, -20.0, how.starts, how.dense, {}, {}, base)
     index = {f: k for k, f in enumerate(names)}
 
     def vote(batches):
+        known = _Known(how.starts, {plain(f) for f in index})
         for batch in batches:
-            hits = [sorted(index[f] for f in _doc_features(t, how.starts) & index.keys()) for t in batch.column(1).to_pylist()]
+            hits = [sorted(index[f] for f in doc_features(t, how, known) if f in index) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(hits, pa.list_(pa.int32()))], ["y", "hits"])
 
     patterns = rows.mapInArrow(vote, "y int, hits array<int>").groupBy("y", "hits").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "hits").collect()  # at most as many as sampled rows
@@ -125,66 +230,54 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, how: Fit = Fit()) -
 
 def train(x: np.ndarray, y: np.ndarray, n: np.ndarray, names: list[str], how: Fit) -> Model:
     """x: rows by features (0/1); y: labels; n: how many documents each row stands for."""
-    votes, voters = _votes(x, names, how.voters)
-    posterior, accuracies, correlations, prior = label_model(votes, y, n, voters, how.rounds)
+    votes = np.concatenate([x, -(x.sum(axis=1, keepdims=True) == 0).astype(np.float32), (2 * y - 1)[:, None].astype(np.float32)], axis=1)
+    voters = [*names, CLEAN, LABEL]
+    posterior, accuracies, correlations, prior = label_model(votes, n, how.rounds, how.trust)
     weights, bias = linear(x, posterior, n)
-    return Model(dict(zip(names, weights.tolist(), strict=True)), bias, how.starts, accuracies, correlations, prior)
-
+    pairs = {(voters[i], voters[j]): float(correlations[i, j]) for i, j in zip(*np.where(np.triu(correlations, 1) > 0.3), strict=True)}
+    return Model(dict(zip(names, weights.tolist(), strict=True)), bias, how.starts, how.dense, dict(zip(voters, accuracies.tolist(), strict=True)), pairs, prior)
 
-def _votes(x: np.ndarray, names: list[str], most: int) -> tuple[np.ndarray, list[str]]:
-    """+1 toxic, -1 clean, 0 abstains; by row and voter."""
-    k = min(most, len(names))
-    cols, voters = [x[:, i] for i in range(k)], [("start:" if f.endswith("*") else "word:") + f for f in names[:k]]
-    for lo in range(0, len(names), max(1, len(names) // 4)):
-        hi = lo + max(1, len(names) // 4)
-        cols.append((x[:, lo:hi].sum(axis=1) > 0).astype(np.float32)), voters.append(f"family:{lo}-{hi}")
-    cols.append(-(x.sum(axis=1) == 0).astype(np.float32)), voters.append("clean:no mark")
-    cols.append((x.sum(axis=1) >= 2).astype(np.float32)), voters.append("pattern:two marks")
-    return np.stack(cols, axis=1), voters
 
+def label_model(votes: np.ndarray, n: np.ndarray, rounds: int, trust: float):
+    """(posterior of toxic by row, accuracy by voter, correlations of voters, prior) of votes +1, -1 or 0; the last voter is the label.
 
-def label_model(votes: np.ndarray, y: np.ndarray, n: np.ndarray, voters: list[str], rounds: int):
-    """Posterior of toxic by row; accuracies; correlations above 0.3 within a class; prior."""
+    P(toxic | row) has log odds of prior + sum over its voters j of vote * (logit(accuracy j) - vote * prior odds) / r,
+    r being the sum of j's correlations with the row's voters, itself included. It starts at the majority vote.
+    """
     fires = votes != 0
-    p = 0.05 + 0.9 * y
-    weight = np.ones(votes.shape[1])
-    prior, rate1, rate0 = 0.5, None, None
-    for turn in range(rounds):
+    logit = lambda q: np.log(q / (1 - q))
+    p = 0.5 + 0.45 * np.sign(votes.sum(axis=1))
+    for _ in range(rounds):
         prior = float(np.clip((n * p).sum() / n.sum(), 1e-4, 1 - 1e-4))
-        rate1 = ((n * p) @ fires + 0.5) / ((n * p).sum() + 1)
-        rate0 = ((n * (1 - p)) @ fires + 0.5) / ((n * (1 - p)).sum() + 1)
-        if turn == 0:
-            weight = 1 / _overlap(fires, p, n)
-        odds = np.log(prior / (1 - prior)) + (fires * np.log(rate1 / rate0) + ~fires * np.log((1 - rate1) / (1 - rate0))) @ weight
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - p).max() < 1e-6:
+        right = np.where(votes > 0, p[:, None], 1 - p[:, None]) * fires
+        accuracy = np.clip((n @ right + 1) / (n @ fires + 2), 0.01, 0.99)
+        accuracy[-1] = trust
+        linked = correlation(votes, p, n)
+        repeats = fires @ linked
+        told = votes * logit(accuracy)[None, :] - (votes != 0) * logit(prior)
+        new = 1 / (1 + np.exp(-np.clip(logit(prior) + (np.where(fires, told / np.maximum(repeats, 1), 0)).sum(axis=1), -30, 30)))
+        moved, p = np.abs(new - p).max(), new
+        if moved < 1e-6:
             break
-        p = new
-    side = np.where(votes.sum(axis=0) >= 0, 1, 0)
-    right = (n[:, None] * np.where(side == 1, p[:, None], 1 - p[:, None]) * fires).sum(axis=0) / np.maximum((n[:, None] * fires).sum(axis=0), 1e-9)
-    linked = _correlation(fires, p, n)
-    pairs = {(voters[i], voters[j]): float(linked[i, j]) for i, j in zip(*np.where(np.triu(linked, 1) > 0.3), strict=True)}
-    return p, dict(zip(voters, right.tolist(), strict=True)), pairs, prior
+    return p, accuracy, linked, prior
+
 
+def correlation(votes: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The larger of the voters' correlations within either class, 0 where negative, 1 with itself.
 
-def _correlation(fires: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The larger of the voters' correlations within either class."""
-    out = np.zeros((fires.shape[1],) * 2)
+    Two voters of a class in which one of them is constant are not correlated there.
+    """
+    out = np.zeros((votes.shape[1],) * 2)
     for w in (n * p, n * (1 - p)):
         total = max(w.sum(), 1e-9)
-        mean = (w @ fires) / total
-        centred = fires - mean
+        centred = votes - (w @ votes) / total
         cov = (centred * w[:, None]).T @ centred / total
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        out = np.maximum(out, cov / np.outer(sd, sd) * (np.diag(cov) > 1e-6)[:, None])
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        out = np.maximum(out, np.where(np.outer(sd, sd) > 1e-6, cov / np.maximum(np.outer(sd, sd), 1e-6), 0))
     np.fill_diagonal(out, 1)
     return np.clip(out, 0, 1)
 
 
-def _overlap(fires: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return _correlation(fires, p, n).sum(axis=1)
-
-
 def linear(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 0.1, steps: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps."""
     a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
@@ -201,22 +294,23 @@ def linear(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 0.1, step
 
 
 class _Marks(dict):
-    """Chunk -> the features it holds; an empty tuple for nearly all."""
+    """Chunk -> the features, of those with a level that counts, of its letter runs, each as often as it stands there; an empty tuple for nearly all."""
 
     def __init__(self, model: Model, held: int = 300_000):
         super().__init__()
         self.model, self.held = model, held
+        self.known = _Known(model.starts, {plain(f) for f in model.weights}, 0)
 
     def __missing__(self, chunk: str) -> tuple[str, ...]:
-        own = self.model.weights
-        found = tuple(sorted({f for w in _WORDS.findall(chunk.lower()) for f in features_of(w, self.model.starts) if f in own}))
+        found = tuple(f for w in _WORDS.findall(chunk.lower()) for f in self.known[w])
         if len(self) < self.held:
             self[chunk] = found
         return found
 
     def score(self, text: str | None) -> float:
-        found = set().union(*set(map(self.__getitem__, (text or "").split())))
-        z = self.model.bias + sum(self.model.weights[f] for f in sorted(found))
+        chunks = (text or "").split()
+        counts = Counter(f for found in map(self.__getitem__, chunks) if found for f in found)
+        z = self.model.bias + sum(self.model.weights.get(f, 0.0) for f in sorted(levels_of(counts, len(chunks), self.model.dense)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -240,9 +334,10 @@ def scorer(docs: DataFrame, model: Model):
 def predict(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for every row of docs, from the text alone.
 
-    Null or empty text gets the score of a text without marks. Other columns of docs are ignored.
-    Repeated rows are each scored; an empty table gives an empty result; without labels of both
-    kinds nothing is toxic.
+    Null or empty text gets the score of a text without marks. Very long texts are read whole; what a
+    worker remembers of their chunks is bounded. Other columns of docs are ignored, so they may have any
+    name. Repeated rows are each scored, alike; an empty table gives an empty result; without labels of
+    both kinds nothing is toxic.
     """
     scored = docs.select(F.col("doc_id"), scorer(docs, model)(F.col("text").cast("string")).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
