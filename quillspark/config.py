@@ -1,6 +1,9 @@
 """Tunables, with their defaults."""
 
-from dataclasses import dataclass
+from __future__ import annotations
+
+import os
+from dataclasses import dataclass, fields
 
 #: What a field holds when the text says nothing about it.
 NOT_FOUND = "Not Found in Retrieved Context"
@@ -34,4 +37,19 @@ class Config:
     query_instruction: str = "Represent this sentence for searching relevant passages: "
 
 
+def from_env(prefix: str = "QUILLSPARK_", path: str | None = None, env: dict[str, str] | None = None) -> Config:
+    """The defaults, over them a file of NAME=value lines (blank lines, # comments and quotes allowed), over both the
+    environment. Names are the fields' in capitals after the prefix."""
+    held: dict[str, str] = {}
+    if path and os.path.exists(path):
+        for line in open(path):
+            name, sign, value = line.strip().removeprefix("export ").partition("=")
+            if sign and not name.startswith("#"):
+                held[name.strip()] = value.strip().strip("\"'")
+    held |= dict(os.environ if env is None else env)
+    default = Config()
+    given = {f.name: type(getattr(default, f.name))(held[prefix + f.name.upper()]) for f in fields(Config) if prefix + f.name.upper() in held}
+    return Config(**given)
+
+
 DEFAULT = Config()

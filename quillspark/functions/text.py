@@ -14,6 +14,11 @@ TOKEN = r"(?U)\w+|[^\w\s]"
 TERM = r"(?U)\b\w\w+\b"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -185,7 +190,7 @@ def is_missing(c: Column, sentinel: str = NOT_FOUND) -> Column:
 
 def best_metric(metrics: list[tuple[str, Column]]) -> Column:
     """The first reported metric with its name."""
-    return F.coalesce(*[F.when(~is_missing(c), F.concat(c, F.lit(f" ({name})"))) for name, c in metrics], F.lit(NOT_REPORTED))
+    return F.coalesce(*[F.when(~is_missing(c), F.concat(c, F.lit(f" ({name})"))) for name, c in metrics], F.lit(NOT_FOUND))
 
 
 def evidence_kind(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import NOT_FOUND
+from ..config import NOT_FOUND, NOT_REPORTED
 from ..functions import text as tx
 
 
@@ -96,31 +96,55 @@ def cluster(items: DataFrame, table: str, ordinal: str, vector: str, least: floa
 
 
 def gap_table(clustered: DataFrame, keys: list[str], ordinal: str, text: str, paper: str) -> DataFrame:
-    """Per cluster its statements (not papers) as frequency, sorted papers, label from the first member."""
-    made = clustered.groupBy(*keys, "cluster").agg(
-        F.count(F.lit(1)).alias("frequency"), F.array_join(F.array_sort(F.collect_set(paper)), ", ").alias("papers"), F.substring(F.min_by(text, ordinal), 1, 120).alias("label")
+    """Per cluster its statements (not papers) as frequency, sorted papers, and `gap`, the first member's text."""
+    return clustered.groupBy(*keys, "cluster").agg(
+        F.count(F.lit(1)).alias("frequency"), F.array_join(F.array_sort(F.collect_set(paper)), ", ").alias("papers"), F.substring(F.min_by(text, ordinal), 1, 120).alias("gap")
     )
-    return made.orderBy(*keys, F.desc("frequency"), "cluster")
 
 
-def problem_table(rows: DataFrame, problem: str, paper: str, technique: str, model: str, performance: str) -> DataFrame:
-    """Per problem distinct papers, techniques and models (case-insensitively, first spelling), best
-    performance by first number, supporting papers, diversity of solutions."""
-    listed = lambda c: F.array_sort(F.collect_set(F.struct(F.col(paper), F.col(c))))
-    agg = rows.groupBy(problem).agg(F.count_distinct(paper).alias("frequency"), listed(technique).alias("t"), listed(model).alias("m"), F.array_join(F.array_sort(F.collect_set(F.col(paper).cast("string"))), ", ").alias("papers"), F.max_by(performance, F.struct(tx.first_number(F.col(performance)), F.negative(F.crc32(F.col(paper).cast("string").cast("binary"))))).alias("best"))
-    values = lambda c, f: tx.dedupe_terms(F.flatten(F.transform(c, lambda x: tx.multi_values(x[f]))))
-    out = agg.withColumn("techniques", values(F.col("t"), technique)).withColumn("models", values(F.col("m"), model))
-    lower = F.array_distinct(F.transform(F.concat("techniques", "models"), F.lower))
-    return out.select(problem, "frequency", F.array_join("techniques", ", ").alias("techniques"), F.array_join("models", ", ").alias("models"), "best", "papers", F.size(lower).cast("long").alias("diversity"))
-
+def problem_table(rows: DataFrame, problem: str, paper: str, technique: str, model: str, metrics: dict[str, str]) -> DataFrame:
+    """Per problem distinct papers, techniques and models (case-insensitively, first spelling, by paper), best
+    performance, supporting papers, diversity of solutions.
 
-def problem_summary(table: DataFrame, problem: str) -> DataFrame:
-    """The most frequent problem, and those of most and least diverse solutions; ties go to the first by name."""
-    none = F.lit("No data available")
-    best = lambda c: F.min_by(problem, F.struct(-F.col(c), F.col(problem)))
-    least = F.min_by(problem, F.struct(F.col("diversity"), F.col(problem)))
-    marks = F.array(*[F.struct(F.lit(n).alias("category"), F.coalesce(v, none).alias("value")) for n, v in (("Most Common Problem", best("frequency")), ("Highest Solution Diversity", best("diversity")), ("Lowest Solution Diversity", least))])
-    return table.agg(marks.alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    metrics: name -> column, in order. The best is the largest first number, as 'value (name)'; ties to the first
+    paper, then metric.
+    """
+    listed = lambda c: F.array_sort(F.collect_set(F.struct(F.col(paper).cast("string").alias("p"), F.col(c).alias("v"))))
+    told = F.array_compact(F.array(*[F.when(~tx.is_missing(F.col(c)) & tx.first_number(F.col(c)).isNotNull(), F.struct((-tx.first_number(F.col(c))).alias("n"), F.col(paper).cast("string").alias("p"), F.lit(i).alias("i"), F.concat(F.col(c), F.lit(f" ({name})")).alias("v"))) for i, (name, c) in enumerate(metrics.items())]))
+    agg = rows.withColumn("_told", F.array_min(told)).groupBy(problem).agg(
+        F.count_distinct(paper).alias("frequency"), listed(technique).alias("t"), listed(model).alias("m"), F.array_join(F.array_sort(F.collect_set(F.col(paper).cast("string"))), ", ").alias("papers"), F.min("_told").alias("b")
+    )
+    values = lambda c: tx.dedupe_terms(F.flatten(F.transform(c, lambda x: F.coalesce(tx.multi_values(x["v"]), F.array().cast("array<string>")))))
+    out = agg.withColumn("techniques", values(F.col("t"))).withColumn("models", values(F.col("m")))
+    lower = F.array_distinct(F.transform(F.concat("techniques", "models"), F.lower))
+    shown = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(NOT_FOUND)
+    return out.select(problem, "frequency", shown("techniques").alias("techniques"), shown("models").alias("models"), F.coalesce("b.v", F.lit("No reported performance metric")).alias("best"), "papers", F.size(lower).cast("long").alias("diversity"))
+
+
+# Rows of the summary, and what it says without data.
+SUMMARY = ["Most Common Research Problem", "Most Used AI Technique", "Most Used AI Model", "Problem With Most Proposed Solutions", "Problem That Remains Least Solved"]
+NO_DATA, NOT_IN_PAPERS = "No data available", "Not reported in evaluated papers"
+
+
+def problem_summary(table: DataFrame, problem: str, ordinal: str, overall: DataFrame) -> DataFrame:
+    """Category, value. The most frequent problem and those of most and least diverse solutions, ties to the row of
+    least `ordinal`; the most used technique and model from overall (category, common), which may lack them."""
+    best = lambda c, sign: F.max_by(F.col(problem), F.struct(sign * F.col(c), -F.col(ordinal)))
+    figure = lambda c, f, unit: F.concat(c, F.lit(" ("), f.cast("string"), F.lit(f" {unit})"))
+    usable = lambda name: F.max(F.when(F.col("category") == name, F.when(F.coalesce(tx.strip(F.col("common")), F.lit("")).isin("", NOT_FOUND, NOT_REPORTED), NOT_IN_PAPERS).otherwise(F.col("common"))))
+    used = overall.agg(*[F.coalesce(usable(n), F.lit(NOT_FOUND)).alias(f"_{i}") for i, n in enumerate(SUMMARY) if i in (1, 2)])  # one row
+    made = table.agg(
+        figure(best("frequency", 1), F.max("frequency"), "papers").alias("_0"), figure(best("diversity", 1), F.max("diversity"), "distinct techniques/models").alias("_3"),
+        figure(best("diversity", -1), F.min("diversity"), "distinct techniques/models").alias("_4"), F.count(F.lit(1)).alias("_n"),
+    ).crossJoin(F.broadcast(used))  # one row each
+    rows = F.array(*[F.struct(F.lit(n).alias("category"), F.when(F.col("_n") > 0, F.col(f"_{i}")).otherwise(NO_DATA).alias("value")) for i, n in enumerate(SUMMARY)])
+    return made.select(F.explode(rows).alias("m")).select("m.*")
+
+
+def chips(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Key, chips: the values of several fields as single tokens, in order; a value of separators alone stays whole."""
+    value = lambda f: F.when(tx.is_missing(F.col(f)), F.array().cast("array<string>")).otherwise(F.when(F.size(tx.multi_values(F.col(f))) > 0, tx.multi_values(F.col(f))).otherwise(F.array(tx.strip(F.col(f)))))
+    return rows.select(key, F.concat(*map(value, fields)).alias("chips"))
 
 
 def tag_cloud(freq: DataFrame, count: str) -> DataFrame:

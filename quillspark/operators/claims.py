@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import text as tx
-from ..functions.vectors import dot
+from .blocks import codes, matrix, within
 
 # Which way a term points.
 POSITIVE = ["increase", "increases", "increased", "improve", "improves", "improved", "boost", "raise", "higher", "better", "outperform", "surpass", "succeed"]
@@ -18,21 +21,52 @@ CLASSES = ["Agreement", "Different Context", "Insufficient Evidence", "Partial C
 FLAGGED = ["Contradiction", "Partial Contradiction"]
 
 
-def match_pairs(items: DataFrame, group: str, ordinal: str, vector: str, least: float, block: int = 2048) -> DataFrame:
-    """Pairs a < b of different groups with inner product >= least.
+#: Vectors of a block, on average: a task holds two blocks and the products of both.
+BLOCK = 2048
 
-    Exact brute force over a block grid: items are dealt to `blocks` strips by hash and each pair of
-    strips is one equi-join key, so both sides shuffle in bounded blocks and neither is broadcast whole.
+
+def _products(left: pa.Table, right: pa.Table | None, group: str, ordinal: str, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column) of each pair of different groups and ordinals, once, with its inner product, and both sides' ordinals."""
+    both = pa.concat_tables([left, right]) if right is not None else left
+    groups, ids, n = codes(both.column(group)), both.column(ordinal).to_numpy(), left.num_rows
+    a, b = (slice(0, n), slice(n, None)) if right is not None else (slice(0, n), slice(0, n))
+    vectors = matrix(both.column(vector))
+    ok = groups[a][:, None] != groups[b][None, :]
+    ok &= ids[a][:, None] != ids[b][None, :] if right is not None else ids[a][:, None] < ids[b][None, :]
+    rows, columns = np.nonzero(ok)
+    return rows, columns, (vectors[a] @ vectors[b].T)[rows, columns], ids[a], ids[b]
+
+
+def match_pairs(items: DataFrame, group: str, ordinal: str, vector: str, least: float, most: int | None = None) -> DataFrame:
+    """Pairs a < b of different groups with inner product >= least; with `most`, the best only (ties by a, b).
+
+    Exact: blocks against blocks, a matrix product a task; what passes leaves it, of `most` its own best.
     """
-    strips = max(1, -(-items.count() // block))
-    left = items.select(F.col(ordinal).alias("a"), F.col(group).alias("group_a"), F.col(vector).alias("va"), F.pmod(F.xxhash64(ordinal), F.lit(strips)).alias("s")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    right = items.select(F.col(ordinal).alias("b"), F.col(group).alias("group_b"), F.col(vector).alias("vb"), F.pmod(F.xxhash64(ordinal), F.lit(strips)).alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    pairs = left.join(right, ["s", "t"]).where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")))
-    return pairs.select("a", "b", "group_a", "group_b", dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    schema = f"a {kinds[ordinal]}, b {kinds[ordinal]}, group_a {kinds[group]}, group_b {kinds[group]}, similarity double"
+
+    def compare(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        rows, columns, product, ids_a, ids_b = _products(left, right, group, ordinal, vector)
+        hit = np.flatnonzero(product >= least)
+        rows, columns, product = rows[hit], columns[hit], product[hit]
+        swap = ids_a[rows] > ids_b[columns]
+        low, high = np.where(swap, ids_b[columns], ids_a[rows]), np.where(swap, ids_a[rows], ids_b[columns])
+        if most is not None and len(product) > most:
+            best = np.lexsort((high, low, -np.round(product, 9)))[:most]
+            rows, columns, product, swap, low, high = (x[best] for x in (rows, columns, product, swap, low, high))
+        other = right if right is not None else left
+        g, h = left.column(group).take(pa.array(rows)), other.column(group).take(pa.array(columns))
+        mask = pa.chunked_array([pa.array(swap)])
+        return pa.table({"a": low, "b": high, "group_a": pc.if_else(mask, h, g), "group_b": pc.if_else(mask, g, h), "similarity": product})
+
+    blocks = max(1, -(-items.count() // BLOCK))
+    found = within(items.select(ordinal, group, vector), F.pmod(F.xxhash64(ordinal), F.lit(blocks)), blocks, compare, schema)
+    return found if most is None else top_pairs(found, most)
 
 
 def top_pairs(pairs: DataFrame, most: int = DEFAULT.claim_pairs) -> DataFrame:
-    return pairs.orderBy(F.desc("similarity"), "a", "b").limit(most)
+    """The most similar; similarities count to nine digits, so that the order of sums decides nothing."""
+    return pairs.orderBy(F.desc(F.round("similarity", 9)), "a", "b").limit(most)
 
 
 def possible_pairs(items: DataFrame, group: str) -> DataFrame:
@@ -124,14 +158,29 @@ def bubble(rows: DataFrame, category: str, confidence: str) -> DataFrame:
 
 
 def evidence_tree(rows: DataFrame) -> DataFrame:
-    """Comparisons by class, most severe first."""
+    """Comparisons by class, with the severity to order them by, most severe first."""
     severity = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("classification"))
-    return rows.groupBy("classification").agg(F.sort_array(F.collect_list("comparison")).alias("comparisons")).orderBy(F.desc(severity))
+    return rows.groupBy("classification", severity.alias("severity")).agg(F.sort_array(F.collect_list("comparison")).alias("comparisons"))
+
+
+def similarity_stats(items: DataFrame, group: str, ordinal: str, vector: str, least: float) -> DataFrame:
+    """Lowest, mean and highest inner product of all pairs of different groups, and how many reach `least`; each
+    task sums its blocks' pairs."""
+
+    def compare(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        product = _products(left, right, group, ordinal, vector)[2]
+        none = not len(product)
+        return pa.table({"low": [None if none else float(product.min())], "sum": [float(product.sum())], "high": [None if none else float(product.max())], "n": [len(product)], "over": [int((product >= least).sum())]})
+
+    blocks = max(1, -(-items.count() // BLOCK))
+    parts = within(items.select(ordinal, group, vector), F.pmod(F.xxhash64(ordinal), F.lit(blocks)), blocks, compare, "low double, sum double, high double, n long, over long")
+    return parts.agg(F.min("low").alias("low"), F.try_divide(F.sum("sum"), F.sum("n")).alias("mean"), F.max("high").alias("high"), F.coalesce(F.sum("over"), F.lit(0)).alias("over"))
 
 
-def similarity_stats(pairs: DataFrame, least: float) -> DataFrame:
-    """G19."""
-    return pairs.agg(F.min("similarity").alias("low"), F.avg("similarity").alias("mean"), F.max("similarity").alias("high"), F.count_if(F.col("similarity") >= least).alias("over"))
+def root_cause_edges(pairs: DataFrame) -> DataFrame:
+    """An edge from either paper of a flagged pair to its root cause; with the papers' short labels."""
+    side = lambda c: F.concat(F.lit("p::"), tx.short_label(F.col(c)))
+    return pairs.select(F.explode(F.array(side("paper_a"), side("paper_b"))).alias("source"), F.concat(F.lit("c::"), F.col("root_cause")).alias("target"))
 
 
 def per_group_counts(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:

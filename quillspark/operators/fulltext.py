@@ -43,20 +43,40 @@ def _canonical(heading: Column) -> Column:
     return F.try_element_at(known, F.lower(tx.strip(heading)))
 
 
-def lines(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_ord", "line"))
-
-
 def split_sections(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """Key, section_ord, section_name, text. The last heading holds until the next; before any: Body."""
-    own = _canonical(F.nullif(F.regexp_extract("line", HEADING, 1), F.lit("")))
-    run_in = _canonical(F.nullif(F.regexp_extract("line", RUN_IN_HEADING, 1), F.lit("")))
-    rows = lines(docs, key, text).select(key, "line_ord", F.coalesce(own, run_in).alias("heading"), F.when(own.isNotNull(), None).when(run_in.isNotNull(), F.regexp_extract("line", RUN_IN_HEADING, 2)).otherwise(F.col("line")).alias("line"))
-    sticky = Window.partitionBy(key).orderBy("line_ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section_name", F.coalesce(F.last("heading", ignorenulls=True).over(sticky), F.lit("Body"))).where("line IS NOT NULL")
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "line"))), lambda x: x["line"]), "\n")
-    made = rows.groupBy(key, "section_name").agg(F.min("line_ord").alias("first"), tx.strip(ordered).alias("text")).where("text <> ''")
-    return made.withColumn("section_ord", F.row_number().over(Window.partitionBy(key).orderBy("first"))).drop("first")
+    """Key, section_ord, section_name, text. A heading holds until the next, before any: Body; sections of one
+    name are one, in order of first appearance. Without an Abstract, the paragraph of Body that looks like one is it,
+    and comes last. All within the row."""
+    parts = "array<struct<name:string,lines:array<string>>>"
+
+    def marked(line: Column, at: Column) -> Column:
+        own, run_in = _canonical(F.nullif(F.regexp_extract(line, HEADING, 1), F.lit(""))), _canonical(F.nullif(F.regexp_extract(line, RUN_IN_HEADING, 1), F.lit("")))
+        rest = F.when(own.isNull() & run_in.isNotNull(), F.regexp_extract(line, RUN_IN_HEADING, 2))
+        return F.struct(at.alias("at"), F.coalesce(own, run_in).alias("name"), rest.alias("rest"))
+
+    def cut(lines: Column) -> Column:
+        start = F.array(F.struct(F.lit(-1).alias("at"), F.lit("Body").alias("name"), F.lit(None).cast("string").alias("rest")))
+        return tx.let(F.concat(start, F.filter(F.transform(lines, marked), lambda m: m["name"].isNotNull())), lambda heads: gathered(lines, heads))
+
+    def gathered(lines: Column, heads: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(heads, i + 1)["at"], F.size(lines))
+        pieces = F.transform(heads, lambda h, i: F.struct(h["name"].alias("name"), F.concat(F.when(h["rest"].isNotNull(), F.array(h["rest"])).otherwise(F.array().cast("array<string>")), F.slice(lines, h["at"] + 2, end(i) - h["at"] - 1)).alias("lines")))
+        names = F.array_distinct(F.transform(heads, lambda h: h["name"]))
+        return tx.let(pieces, lambda ps: F.transform(names, lambda n: F.struct(n.alias("name"), F.flatten(F.transform(F.filter(ps, lambda p: p["name"] == n), lambda p: p["lines"])).alias("lines"))))
+
+    def with_abstract(found: Column) -> Column:
+        body = F.get(found, 0)["lines"]
+        lifted = lambda g: F.concat(
+            F.array(F.struct(F.lit("Body").alias("name"), F.concat(F.slice(body, 1, g["start"]), F.slice(body, g["end"] + 1, F.size(body))).alias("lines"))),
+            F.slice(found, 2, F.size(found)), F.array(F.struct(F.lit("Abstract").alias("name"), F.slice(body, g["start"] + 1, g["end"] - g["start"]).alias("lines"))),
+        ).cast(parts)
+        guessed = tx.let(abstract_lines(body), lambda g: F.when(g.isNotNull(), lifted(g)).otherwise(found.cast(parts)))
+        return F.when(F.exists(found, lambda f: f["name"] == "Abstract"), found.cast(parts)).otherwise(guessed)
+
+    cuts = tx.let(F.split(text, "\n"), lambda lines: tx.let(cut(lines), with_abstract))
+    sections = F.filter(F.transform(cuts, lambda c: F.struct(c["name"].alias("name"), tx.strip(F.array_join(c["lines"], "\n")).alias("text"))), lambda x: x["text"] != "")
+    made = docs.where(text.isNotNull()).select(key, F.posexplode(sections).alias("at", "s"))
+    return made.select(key, F.col("s.name").alias("section_name"), F.col("s.text").alias("text"), (F.col("at") + 1).alias("section_ord"))
 
 
 def keep_sections(sections: DataFrame) -> DataFrame:
@@ -64,32 +84,47 @@ def keep_sections(sections: DataFrame) -> DataFrame:
     return sections.where(~F.col("section_name").isin(*IGNORED_SECTIONS))
 
 
-def guess_abstract(text: Column) -> Column:
-    """the paragraph that looks like an unheaded abstract, else null: from the first line of more than six
-    words without '@' to a blank line or 250 words; 40 words and two sentence ends at least, 15 words a sentence."""
-    all_lines = F.split(text, "\n")
-    start = F.array_position(F.transform(all_lines, lambda l: ((tx.word_count(l) > 6) & ~l.contains("@")).cast("int")), 1).cast("int")
-    zero = F.struct(F.array().cast("array<string>").alias("got"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+def abstract_lines(lines: Column) -> Column:
+    """(start, end) of the lines that look like an unheaded abstract, else null: from the first line of more than
+    six words without '@' to a blank line or 250 words; 40 words and two sentence ends at least, 15 words a sentence."""
+
+    def told(start: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("n"), start.alias("end"), F.lit(False).alias("done"))
+
+        def step(a: Column, l: Column) -> Column:
+            n = a["n"] + tx.word_count(l)
+            open_ = ~a["done"] & (tx.strip(l) != "")
+            return F.struct(F.when(open_, n).otherwise(a["n"]).alias("n"), F.when(open_, a["end"] + 1).otherwise(a["end"]).alias("end"), (~open_ | (n >= 250)).alias("done"))
+
+        end = F.aggregate(F.slice(lines, start + 1, F.size(lines)), zero, step, lambda a: a["end"])
+        return tx.let(end, lambda e: tx.let(F.array_join(F.transform(F.slice(lines, start + 1, e - start), tx.strip), " "), lambda para: judged(start, e, para)))
 
-    def step(a: Column, l: Column) -> Column:
-        stop = a["done"] | (tx.strip(l) == "") | (a["n"] >= 250)
-        return F.struct(F.when(stop, a["got"]).otherwise(F.concat(a["got"], F.array(l))).alias("got"), F.when(stop, a["n"]).otherwise(a["n"] + tx.word_count(l)).alias("n"), stop.alias("done"))
+    def judged(start: Column, end: Column, para: Column) -> Column:
+        n, ends = tx.word_count(para), F.regexp_count(para, F.lit("[.!?]"))
+        return F.when((n >= 40) & (ends >= 2) & (n / ends >= 15), F.struct(start.alias("start"), end.alias("end")))
 
-    para = F.aggregate(F.slice(all_lines, F.greatest(start, F.lit(1)), F.greatest(F.size(all_lines), F.lit(1))), zero, step, lambda a: tx.strip(F.array_join(a["got"], " ")))
-    n, ends = tx.word_count(para), F.regexp_count(para, F.lit("[.!?]"))
-    return F.when((start > 0) & (n >= 40) & (ends >= 2) & (n / ends >= 15), para)
+    first = F.array_position(F.transform(lines, lambda l: ((tx.word_count(l) > 6) & ~l.contains("@")).cast("int")), 1).cast("int") - 1
+    return tx.let(first, lambda at: F.when(at >= 0, told(at)))
+
+
+def guess_abstract(text: Column) -> Column:
+    """the abstract of a text without headings as one line, else null."""
+    joined = lambda lines: tx.let(abstract_lines(lines), lambda g: F.when(g.isNotNull(), F.array_join(F.transform(F.slice(lines, g["start"] + 1, g["end"] - g["start"]), tx.strip), " ")))
+    return tx.let(F.split(text, "\n"), joined)
 
 
 def clean_text(sections: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """F8: page numbers and short lines that repeat three times go; runs of blanks and empty lines shrink."""
-    rows = sections.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_ord", "line"))
-    rows = rows.withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy(*keys, tx.strip(F.col("line")))))
-    blank = tx.strip(F.col("line")) == ""
-    boiler = ~blank & (F.col("seen") >= 3) & (tx.word_count(F.col("line")) <= 12)
-    kept = rows.where(~F.col("line").rlike(PAGE_NUMBER) & ~boiler)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "line"))), lambda x: x["line"]), "\n")
-    cleaned = kept.groupBy(*keys).agg(joined.alias(text), F.count(F.lit(1)).alias("kept_lines"))
-    return cleaned.withColumn(text, tx.strip(F.regexp_replace(F.regexp_replace(text, "[ \\t]{2,}", " "), "\\n{3,}", "\n\n")))
+    """F8: page numbers and short lines that repeat three times go; runs of blanks and empty lines shrink. Rows of which
+    no line is left go. All within the row: sorted, a line equals the one two places before it if it stands three times."""
+
+    def kept(lines: Column) -> Column:
+        ordered = F.array_sort(F.transform(lines, tx.strip))
+        boiler = tx.let(ordered, lambda s: F.array_distinct(F.filter(s, lambda l, i: (i > 1) & (l != "") & (F.get(s, i - 2) == l) & (tx.word_count(l) <= 12))))
+        return tx.let(boiler, lambda b: F.filter(lines, lambda l: ~l.rlike(PAGE_NUMBER) & ~F.array_contains(b, tx.strip(l))))
+
+    cleaned = lambda lines: tx.strip(F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "[ \\t]{2,}", " "), "\\n{3,}", "\n\n"))
+    rows = sections.select(*keys, tx.let(tx.let(F.split(text, "\n"), kept), lambda k: F.struct(cleaned(k).alias("text"), F.size(k).cast("long").alias("n"))).alias("c"))
+    return rows.where("c.n > 0").select(*keys, F.col("c.text").alias(text), F.col("c.n").alias("kept_lines"))
 
 
 def acquire(papers: DataFrame, cached: DataFrame, key: str) -> DataFrame:
@@ -175,15 +210,15 @@ def chunk_text(text: Column, most: int = DEFAULT.chunk_tokens, overlap: int = DE
             fits = a["open"] & (a["n"] + x["n"] <= overlap)
             return F.struct(F.when(fits, F.concat(F.array(x), a["keep"])).otherwise(a["keep"]).alias("keep"), F.when(fits, a["n"] + x["n"]).otherwise(a["n"]).alias("n"), fits.alias("open"))
 
-        return F.aggregate(F.reverse(cur), zero, back, lambda a: a["keep"])
+        return F.aggregate(F.reverse(cur), zero, back, lambda a: F.struct(a["keep"].alias("cur"), a["n"].alias("n")))
 
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x["n"])
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: x["s"]), " ")
-    zero = F.struct(F.array().cast("array<string>").alias("out"), empty.alias("cur"))
+    zero = F.struct(F.array().cast("array<string>").alias("out"), empty.alias("cur"), F.lit(0).alias("n"))  # n: tokens of cur
 
     def step(a: Column, x: Column) -> Column:
-        over = (F.size(a["cur"]) > 0) & (total(a["cur"]) + x["n"] > most)
-        return F.struct(F.when(over, F.concat(a["out"], F.array(joined(a["cur"])))).otherwise(a["out"]).alias("out"), F.concat(F.when(over, carried(a["cur"])).otherwise(a["cur"]), F.array(x)).alias("cur"))
+        over = (F.size(a["cur"]) > 0) & (a["n"] + x["n"] > most)
+        held = F.when(over, carried(a["cur"])).otherwise(F.struct(a["cur"].alias("cur"), a["n"].alias("n")))
+        return tx.let(held, lambda h: F.struct(F.when(over, F.concat(a["out"], F.array(joined(a["cur"])))).otherwise(a["out"]).alias("out"), F.concat(h["cur"], F.array(x)).alias("cur"), (h["n"] + x["n"]).alias("n")))
 
     return F.aggregate(pieces, zero, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(joined(a["cur"])))).otherwise(a["out"]))
 

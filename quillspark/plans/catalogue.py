@@ -18,6 +18,8 @@ from ..operators import ranking as rk
 from ..operators import resolution as rs
 from ..operators import synthesis as sy
 from ..sources import connectors as cn
+from ..tables import stored
+from . import pipelines as pl
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -62,7 +64,8 @@ _MISSING = "(coalesce(trim({c}), '') IN ('', 'Not Found in Retrieved Context'))"
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    top = rk.top_k(rk.term_cosine(docs, "doc_id", F.col("text"), SEARCH), RANKED, "score", "doc_id").drop("score")
+    first = rk.term_cosine(docs, "doc_id", F.col("text"), SEARCH).withColumn("score", F.round("score", 12))
+    top = stored(rk.top_k(first, RANKED, "score", "doc_id").drop("score"), "short-list")  # RANKED rows, read more than once
     scored = rk.offline_rerank(top, "doc_id", F.col("text"), SEARCH).withColumn("r", F.round("rerank_score", 9))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("r"), "doc_id")  # the short list: RANKED rows
     return scored.withColumn("rank", F.row_number().over(order))
@@ -204,17 +207,22 @@ def parse_json_best_effort(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", json.alias("j")).select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"), F.col("j").isNotNull().alias("found"))
 
 
-@query("SELECT * FROM (VALUES ('1h37m55.2s', 5875.2), ('229ms', 0.229), ('2m', 120.0), ('45s', 45.0), ('0s', NULL), ('soon', NULL), ('1m500ms', 60.5)) v(text, seconds)")
+@query("""SELECT o_orderkey, nullif((o_orderkey % 3) * 3600 + (o_custkey % 60) * 60 + (o_orderkey % 7) * 1.5 + (o_custkey % 9) / 1000, 0)::DOUBLE AS seconds FROM orders UNION ALL SELECT -1, NULL""")
 def duration_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("1h37m55.2s", "229ms", "2m", "45s", "0s", "soon", "1m500ms")], "text string")
-    return rows.select("text", F.round(tx.duration_seconds(F.col("text")), 6).alias("seconds"))
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(F.lit(" "), part(k % 3, "h"), part(c % 60, "m"), part((k % 7) * 1.5, "s"), part(c % 9, "ms"))
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).unionByName(spark.createDataFrame([(-1, "soon")], "o_orderkey long, text string"))
+    return rows.select("o_orderkey", F.round(tx.duration_seconds(F.col("text")), 6).alias("seconds"))
 
 
-@query("""SELECT * FROM (VALUES ('arxiv', '(all:"graph learning" OR all:GNN) AND (all:routing OR all:networks OR all:delay) AND all:energy'), ('core', 'graph learning routing'), ('openalex', 'graph learning routing energy delay'), ('crossref', 'graph learning routing energy delay'), ('semantic_scholar', 'graph learning routing energy delay')) v(source, query)""")
+@query("""WITH q AS (SELECT p_partkey, p_name, '(all:"' || p_name || '" OR all:' || p_type || ') AND (all:' || p_brand || ' OR all:' || p_type || ' OR all:x) AND all:s' || p_size AS f, p_name || ' ' || p_brand || ' s' || p_size || ' x' AS b FROM part)
+SELECT p_partkey, unnest(['arxiv', 'core', 'openalex', 'crossref', 'semantic_scholar']) AS source, unnest([f, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'raw' END, b, b, b]) AS query FROM q""")
 def source_query_compile(spark, sf_dir):
-    row = spark.createDataFrame([("A title", "graph learning", "routing", "energy", ["GNN", "gnn "], ["Graph Learning"], "networks", ["delay"], "graph learning routing")], "raw string, primary string, problem string, secondary string, synonyms array<string>, alternatives array<string>, domain string, keywords array<string>, search string")
-    made = tx.source_queries(*[F.col(c) for c in row.columns])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(s).alias("source"), q.alias("query")) for s, q in made.items()])).alias("q")).select("q.*")
+    part = t(spark, sf_dir, "part")
+    search = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("")
+    made = tx.source_queries(F.lit("raw"), F.col("p_name"), F.col("p_brand"), F.concat(F.lit("s"), F.col("p_size").cast("string")), F.array("p_type", F.lit(" ")), F.array(F.upper("p_name")), F.col("p_type"), F.array(F.lower("p_brand"), F.lit("x"), F.lit("x ")), search)
+    return part.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(s).alias("source"), q.alias("query")) for s, q in made.items()])).alias("q")).select("p_partkey", "q.*")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, (length(text) // 4 + 500)::BIGINT AS estimate FROM documents")
@@ -224,8 +232,8 @@ def preview_truncate(spark, sf_dir):
 
 @query("SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def prompt_context_blocks(spark, sf_dir):
-    block = F.struct("turn", F.concat(F.lit("["), F.col("role"), F.lit("] "), F.col("text")).alias("b"))
-    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "\n\n").alias("context"))
+    rows = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("position"), F.col("role").alias("section_name"), F.col("text").alias("chunk_text"))
+    return pl.blocks(rows).withColumnRenamed("paper_id", "conv_id")
 
 
 @query("""SELECT event_id, greatest(0, least(100, coalesce(try_cast(trunc(value) AS INT), 0)))::INT AS confidence, CASE WHEN trunc(value) >= 70 THEN 'green' WHEN trunc(value) >= 40 THEN 'amber' ELSE 'grey' END AS band,
@@ -272,13 +280,13 @@ def cosine_rank_topk(spark, sf_dir):
     return rk.top_k(scored, 20, "score", "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-_KNN = f"""hit AS (SELECT q.vec_id AS query_id, e.label, e.vec_id, round({_DOT.format(a='e.embedding', b='q.embedding')}, 9) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 3) q),
+_KNN = f"""hit AS (SELECT q.vec_id AS query_id, e.label, e.vec_id, round({_DOT.format(a='e.embedding', b='q.embedding')}, 9) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, vec_id) AS rank FROM hit)"""
 
 
 def _knn(spark, sf_dir, k):
     e = t(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return rk.group_top_k(e.select("label", "vec_id", F.col("embedding").alias("vec")), q, "label", "vec_id", k)
 
 
@@ -296,14 +304,13 @@ def retrieve_context_merge(spark, sf_dir):
 _PAIRS = f"p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format(a='a.embedding', b='b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label)"
 
 
-def _pairs(spark, sf_dir, least):
-    return cl.match_pairs(t(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", least)
+def _pairs(spark, sf_dir, least, most=None):
+    return cl.match_pairs(t(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", least, most)
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3 ORDER BY round(s, 9) DESC, a, b LIMIT 20")
 def claim_pair_match(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir, 0.3).withColumn("similarity", F.round("similarity", 9))
-    return cl.top_pairs(pairs, 20).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return _pairs(spark, sf_dir, 0.3, 20).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(s, 6) AS similarity, round(1 + 3 * s, 6) AS width FROM p WHERE s >= 0.3")
@@ -313,7 +320,7 @@ def similarity_network(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT round(min(s), 6) AS low, round(avg(s), 6) AS mean, round(max(s), 6) AS high, count_if(s >= 0.3)::BIGINT AS over FROM p")
 def similarity_stats(spark, sf_dir):
-    got = cl.similarity_stats(_pairs(spark, sf_dir, -2.0), 0.3)
+    got = cl.similarity_stats(t(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3)
     return got.select(*[F.round(c, 6).alias(c) for c in ("low", "mean", "high")], "over")
 
 
@@ -322,33 +329,39 @@ def pair_count_possible(spark, sf_dir):
     return cl.possible_pairs(t(spark, sf_dir, "embeddings"), "label")
 
 
-@query(f"""SELECT page_id, CASE WHEN {_STRIP.format(c='coalesce(text, ' + chr(39) * 2 + ')')} <> '' THEN 'Full PDF' ELSE 'Abstract fallback' END AS source_kind, length(coalesce(nullif({_STRIP.format(c='coalesce(text, ' + chr(39) * 2 + ')')}, ''), {_STRIP.format(c='url')}))::BIGINT AS chars FROM pages LEFT JOIN (SELECT doc_id, text FROM documents WHERE lang = 'en') d ON page_id = doc_id""")
+@query(f"""SELECT page_id, CASE WHEN {_STRIP.format(c='coalesce(text, ' + chr(39) * 2 + ')')} <> '' THEN 'Full PDF' ELSE 'Abstract fallback' END AS source_kind, length(coalesce(nullif({_STRIP.format(c='coalesce(text, ' + chr(39) * 2 + ')')}, ''), {_STRIP.format(c='url')}))::BIGINT AS chars FROM pages LEFT JOIN documents ON page_id = doc_id""")
 def full_text_fallback(spark, sf_dir):
-    """The cache holds English texts; pages of other documents fall back."""
     papers = t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("abstract"))
-    cached = t(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page_id"), F.col("text").alias("full_text"))
+    cached = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("full_text"))
     return ft.acquire(papers, cached, "page_id").select("page_id", "source_kind", F.length("text").cast("long").alias("chars"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, {_STRIP.format(c='line')}) AS n FROM l)
-SELECT doc_id, count(*)::BIGINT AS kept_lines FROM c WHERE NOT regexp_full_match(line, '\\s*\\d{{1,4}}\\s*') AND NOT ({_STRIP.format(c='line')} <> '' AND n >= 3 AND len({_WORDS.format(c='line')}) <= 12) GROUP BY doc_id""")
+@query(f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM s), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, {_STRIP.format(c='line')}) AS n FROM l),
+k AS (SELECT doc_id, count(*)::BIGINT AS kept_lines, string_agg(line, chr(10) ORDER BY i) AS text FROM c WHERE NOT regexp_full_match(line, '\\s*\\d{{1,4}}\\s*') AND NOT ({_STRIP.format(c='line')} <> '' AND n >= 3 AND len({_WORDS.format(c='line')}) <= 12) GROUP BY doc_id)
+SELECT doc_id, kept_lines, {_STRIP.format(c="regexp_replace(regexp_replace(text, '[ ' || chr(9) || ']{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM k""")
 def clean_text_lines(spark, sf_dir):
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    return ft.clean_text(docs, ["doc_id"], "text").select("doc_id", "kept_lines")
+    return ft.clean_text(docs, ["doc_id"], "text").select("doc_id", "kept_lines", "text")
 
 
-_SECTIONED = "1. Introduction\nfirst\nII. METHODS\nsecond\nAbstract: run in\nmore\nReferences\nx\nIntroduction\nagain"
+_FLAT = "regexp_replace(substr(text, 1, 60), '[^a-zA-Z ]', ' ', 'g')"
+_PARTS = f"coalesce(nullif(trim({_FLAT}), ''), 'nothing') || ' 7'"
 
 
-@query("SELECT * FROM (VALUES (1, 'Introduction', 'first' || chr(10) || 'again'), (2, 'Methodology', 'second'), (3, 'Abstract', 'run in' || chr(10) || 'more'), (4, 'References', 'x')) v(section_ord, section_name, text)")
+@query(f"""WITH p AS (SELECT doc_id, {_PARTS} AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest([1, 2, 3, 4, 5])::INT AS section_ord, unnest(['Body', 'Introduction', 'Methodology', 'Abstract', 'References']) AS section_name,
+unnest([x, x || ' one' || chr(10) || 'again ' || x, '@' || x, 'run in ' || x || chr(10) || x || '!', 'x']) AS text FROM p""")
 def section_split(spark, sf_dir):
-    rows = spark.createDataFrame([(1, _SECTIONED)], "id int, text string")
-    return ft.split_sections(rows, "id", F.col("text")).select("section_ord", "section_name", "text")
+    flat = F.trim(F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z ]", " "))
+    x = F.concat(F.when(flat == "", "nothing").otherwise(flat), F.lit(" 7"))
+    docs = t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", x.alias("x"))
+    marks = ["\n1. Introduction\n", " one\nII. METHODS\n@", "\nAbstract: run in ", "\n", "!\nReferences\nx\nIntroduction\nagain "]
+    whole = docs.select("doc_id", F.concat("x", F.lit(marks[0]), "x", F.lit(marks[1]), "x", F.lit(marks[2]), "x", F.lit(marks[3]), "x", F.lit(marks[4]), "x").alias("text"))
+    return ft.split_sections(whole, "doc_id", F.col("text")).select("doc_id", "section_ord", "section_name", "text")
 
 
-@query(f"SELECT doc_id, 1 AS section_ord, 'Body' AS section_name, length({_STRIP.format(c='text')})::BIGINT AS chars FROM documents WHERE {_STRIP.format(c='text')} <> ''")
+@query(f"SELECT doc_id, 1 AS section_ord, 'Abstract' AS section_name, length({_STRIP.format(c='text')})::BIGINT + 17 AS chars FROM documents WHERE {_STRIP.format(c='text')} <> ''")
 def section_split_documents(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents")
+    docs = t(spark, sf_dir, "documents").withColumn("text", F.concat(F.lit("Abstract\nheaded paper it \n"), "text"))
     return ft.split_sections(docs, "doc_id", F.col("text")).select("doc_id", "section_ord", "section_name", F.length("text").cast("long").alias("chars"))
 
 
@@ -486,16 +499,31 @@ def claims_per_paper(spark, sf_dir):
     return cl.per_group_counts(rows, t(spark, sf_dir, "nation"), "n_nationkey")
 
 
-@query("""SELECT p_brand AS problem, count(DISTINCT p_partkey % 50)::BIGINT AS frequency, string_agg(DISTINCT (p_partkey % 50)::VARCHAR, ', ' ORDER BY (p_partkey % 50)::VARCHAR) AS papers, count(DISTINCT lower(p_type))::BIGINT AS diversity FROM part GROUP BY p_brand""")
+_SOLUTIONS = """r AS (SELECT p_brand AS problem, (p_partkey % 50)::VARCHAR AS paper, p_partkey % 50 AS o, p_type, CASE WHEN p_partkey % 5 > 0 THEN upper(p_type) || ' x' END AS model, CASE WHEN p_partkey % 3 > 0 THEN p_size || '%' END AS accuracy, p_retailprice::BIGINT || ' pts' AS recall FROM part),
+v AS (SELECT problem, paper, unnest(['t', 'm']) AS kind, unnest([p_type, model]) AS value FROM r), d AS (SELECT problem, kind, lower(value) AS k, arg_min(value, paper || ' ' || value) AS value, min(paper || ' ' || value) AS first FROM v WHERE value IS NOT NULL GROUP BY ALL),
+l AS (SELECT problem, string_agg(value, ', ' ORDER BY first) FILTER (kind = 't') AS techniques, string_agg(value, ', ' ORDER BY first) FILTER (kind = 'm') AS models, count(DISTINCT k) AS diversity FROM d GROUP BY problem),
+m AS (SELECT problem, paper, unnest([1, 2]) AS i, unnest([accuracy || ' (Accuracy)', recall || ' (Recall)']) AS shown FROM r), b AS (SELECT problem, arg_min(shown, (-regexp_extract(shown, '[0-9.]+')::DOUBLE, paper, i)) AS best FROM m WHERE shown IS NOT NULL GROUP BY problem),
+p AS (SELECT r.problem, count(DISTINCT r.paper)::BIGINT AS frequency, string_agg(DISTINCT r.paper, ', ' ORDER BY r.paper) AS papers FROM r GROUP BY r.problem),
+w AS (SELECT p.problem, frequency, coalesce(techniques, 'Not Found in Retrieved Context') AS techniques, coalesce(models, 'Not Found in Retrieved Context') AS models, best, papers, coalesce(diversity, 0)::BIGINT AS diversity FROM p LEFT JOIN l USING (problem) LEFT JOIN b USING (problem))"""
+
+
+@query(f"WITH {_SOLUTIONS} SELECT * FROM w")
 def problem_solution_table(spark, sf_dir):
-    part = t(spark, sf_dir, "part").select(F.col("p_brand").alias("problem"), (F.col("p_partkey") % 50).cast("string").alias("paper"), F.col("p_type").alias("technique"), F.upper("p_type").alias("model"), F.col("p_size").cast("string").alias("performance"))
-    return ag.problem_table(part, "problem", "paper", "technique", "model", "performance").select("problem", "frequency", "papers", "diversity")
+    key, of = F.col("p_partkey"), lambda c, n: F.when(F.col("p_partkey") % n > 0, c)
+    part = t(spark, sf_dir, "part").select(F.col("p_brand").alias("problem"), (key % 50).cast("string").alias("paper"), F.col("p_type").alias("technique"), of(F.concat(F.upper("p_type"), F.lit(" x")), 5).alias("model"), of(F.concat(F.col("p_size").cast("string"), F.lit("%")), 3).alias("accuracy"), F.concat(F.round("p_retailprice").cast("long").cast("string"), F.lit(" pts")).alias("recall"))
+    return ag.problem_table(part, "problem", "paper", "technique", "model", {"Accuracy": "accuracy", "Recall": "recall"})
 
 
-@query("""WITH p AS (SELECT p_brand, count(DISTINCT p_partkey % 50) AS f, count(DISTINCT lower(p_type)) AS d FROM part GROUP BY p_brand)
-SELECT 'Most Common Problem' AS category, (SELECT p_brand FROM p ORDER BY f DESC, p_brand LIMIT 1) AS value UNION ALL SELECT 'Highest Solution Diversity', (SELECT p_brand FROM p ORDER BY d DESC, p_brand LIMIT 1) UNION ALL SELECT 'Lowest Solution Diversity', (SELECT p_brand FROM p ORDER BY d, p_brand LIMIT 1)""")
+@query(f"""WITH {_SOLUTIONS}, o AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, problem) AS i FROM w)
+SELECT 'Most Common Research Problem' AS category, (SELECT problem || ' (' || frequency || ' papers)' FROM o ORDER BY frequency DESC, i LIMIT 1) AS value
+UNION ALL SELECT 'Problem With Most Proposed Solutions', (SELECT problem || ' (' || diversity || ' distinct techniques/models)' FROM o ORDER BY diversity DESC, i LIMIT 1)
+UNION ALL SELECT 'Problem That Remains Least Solved', (SELECT problem || ' (' || diversity || ' distinct techniques/models)' FROM o ORDER BY diversity, i LIMIT 1)
+UNION ALL SELECT 'Most Used AI Technique', (SELECT p_type FROM part GROUP BY p_type ORDER BY count(*) DESC, min(p_partkey) LIMIT 1) UNION ALL SELECT 'Most Used AI Model', 'Not reported in evaluated papers'""")
 def problem_summary(spark, sf_dir):
-    return ag.problem_summary(problem_solution_table(spark, sf_dir), "problem")
+    made = problem_solution_table(spark, sf_dir).withColumn("at", F.row_number().over(Window.orderBy(F.desc("frequency"), "problem")))  # a row per problem
+    used = ag.frequency(t(spark, sf_dir, "part"), F.lit("Most Used AI Technique"), F.col("p_type"), "p_partkey").where("rank = 1").select("category", F.col("token").alias("common"))
+    unknown = spark.createDataFrame([("Most Used AI Model", " Not Reported ")], "category string, common string")
+    return ag.problem_summary(made, "problem", "at", used.unionByName(unknown))
 
 
 @query()
@@ -507,28 +535,59 @@ def gap_table(spark, sf_dir):
     return ag.gap_table(named, ["label"], "vec_id", "text", "paper")
 
 
-_CLAIMS = [
-    ("Accuracy", "accuracy", "Accuracy improves by 18% over the baseline.", "Accuracy drops by 12% relative to the baseline.", 0.95),
-    ("Latency", "Latency", "Latency decreases by 20% on the new benchmark.", "Latency decreases by 18% on the new benchmark.", 0.9),
-    ("Cost", "Speed", "It works.", "It is fine.", 0.1), ("A", "A", "A novel approach vs others raises it, boost 5", "declines by -3.5", 0.6), ("", "", "lower", "higher", 0.4),
-]
+_VERB = "['improves', 'drops', 'Decreases', 'works', 'is higher, not lower,'][{i} % 5 + 1]"
+_SIGN = "[1, -1, -1, NULL, 1][{i} % 5 + 1]"
+_SIMILAR = "round((value % 1), 2)"
 
 
-@query("SELECT * FROM (VALUES (0, 'Likely Contradiction', 0.9, 'same topic; high similarity; opposite direction terms; numeric evidence; comparison framing'), (1, 'Low Risk', 0.3, 'same topic; high similarity; numeric evidence'), (2, 'Low Risk', 0.0, 'weak overlap'), (3, 'Likely Contradiction', 0.93, 'same topic; high similarity; opposite direction terms; numeric evidence; comparison framing; negation'), (4, 'Low Risk', 0.55, 'opposite direction terms')) v(i, prediction, score, reason)")
+@query(f"""WITH e AS (SELECT event_id, event_type AS ta, CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN '' ELSE 'other' END AS tb, 'Accuracy ' || {_VERB.format(i='event_id')} || CASE WHEN event_id % 2 = 0 THEN ' by 18%' ELSE ' much' END AS ca, 'It ' || {_VERB.format(i='(event_id // 5)')} || CASE WHEN event_id % 4 < 2 THEN ' by 12 relative to it' ELSE ' here' END AS cb,
+  {_SIMILAR} AS s, {_SIGN.format(i='event_id')} AS pa, {_SIGN.format(i='(event_id // 5)')} AS pb FROM events),
+f AS (SELECT *, [lower(ta) = lower(tb) AND ta <> '' AND tb <> '', s >= 0.5, coalesce(pa <> pb, false), event_id % 2 = 0 AND event_id % 4 < 2, event_id % 4 < 2, event_id % 5 = 4 OR (event_id // 5) % 5 = 4 OR contains(lower(ca || cb), 'no')] AS r FROM e),
+g AS (SELECT *, 0.0::DOUBLE + CASE WHEN r[1] THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN r[2] THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN r[3] THEN 0.55::DOUBLE ELSE 0 END + CASE WHEN r[4] THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN r[5] THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN r[6] THEN 0.03::DOUBLE ELSE 0 END AS w FROM f)
+SELECT event_id, CASE WHEN w >= 0.8 THEN 'Likely Contradiction' WHEN w >= 0.6 THEN 'Possible Contradiction' ELSE 'Low Risk' END AS prediction, round(least(1.0, w), 3) AS score,
+coalesce(nullif(array_to_string(list_filter([CASE WHEN r[1] THEN 'same topic' END, CASE WHEN r[2] THEN 'high similarity' END, CASE WHEN r[3] THEN 'opposite direction terms' END, CASE WHEN r[4] THEN 'numeric evidence' END, CASE WHEN r[5] THEN 'comparison framing' END, CASE WHEN r[6] THEN 'negation' END], lambda x: x IS NOT NULL), '; '), ''), 'weak overlap') AS reason FROM g""")
 def risk_score(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(_CLAIMS)], "i int, topic_a string, topic_b string, claim_a string, claim_b string, similarity double")
-    return cl.predict(rows).select("i", "prediction", "score", "reason")
-
-
-@query("""SELECT field, CASE WHEN given NOT IN ('', 'Not Reported') THEN given WHEN common NOT IN ('', 'Not Reported') THEN common ELSE best END AS value FROM (VALUES ('Recommended AI Model', 'X', 'Y', ''), ('Recommended Framework', 'Not Reported', 'PyTorch', ''), ('Recommended Dataset', '', '', 'A standard, publicly available benchmark dataset for this domain'), ('Expected Advantages', '', '', 'Not Reported')) v(field, given, common, best)""")
+    i, verbs = F.col("event_id"), F.array(*map(F.lit, ["improves", "drops", "Decreases", "works", "is higher, not lower,"]))
+    verb = lambda n: F.element_at(verbs, (n % 5 + 1).cast("int"))
+    rows = t(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("topic_a"), F.when(i % 3 == 0, F.upper("event_type")).when(i % 3 == 1, "").otherwise("other").alias("topic_b"),
+        F.concat(F.lit("Accuracy "), verb(i), F.when(i % 2 == 0, " by 18%").otherwise(" much")).alias("claim_a"),
+        F.concat(F.lit("It "), verb(F.floor(i / 5)), F.when(i % 4 < 2, " by 12 relative to it").otherwise(" here")).alias("claim_b"), F.round(F.col("value") % 1, 2).alias("similarity"),
+    )
+    return cl.predict(rows).select("event_id", "prediction", "score", "reason")
+
+
+_FINAL = ", ".join(f"({i}, '{k}', '{f}', {'NULL' if c is None else repr(c)}, '{d}')" for i, (k, f, c, d) in enumerate([
+    ("recommended_ai_technique", "Recommended AI Technique", "Most Used AI Technique", "Use the best-supported AI technique identified in the literature."),
+    ("recommended_ai_model", "Recommended AI Model", "Most Used AI Model", "Select a model that is reproducible and supported by the reported evidence."),
+    ("recommended_dataset", "Recommended Dataset", "Most Used Dataset", "Evaluate the proposed method on a standard, publicly available benchmark dataset for this domain."),
+    ("recommended_framework", "Recommended Framework", "Most Used Framework", "Use a reproducible, openly documented machine-learning framework."),
+    ("recommended_evaluation_metrics", "Recommended Evaluation Metrics", "Most Used Evaluation Metric", "Report standard evaluation metrics explicitly (Accuracy, Precision, Recall, F1-score)."),
+    ("recommended_experimental_setup", "Recommended Experimental Setup", None, "Report the dataset, train/test split, baselines, hardware, hyperparameters, training procedure, and evaluation protocol."),
+    ("suggested_research_title", "Suggested Research Title", None, "Evidence-Grounded Research Innovation from Scientific Contradiction Analysis"),
+    ("expected_advantages", "Expected Advantages", None, "Improved reproducibility, fairer comparison, and more complete evaluation than the currently reported approaches."),
+    ("possible_risks", "Possible Risks", None, "Results may be affected by incomplete paper reporting, unavailable full text, API limitations, and domain shift."),
+]))
+
+
+@query(f"""WITH f(i, key, field, category, def) AS (VALUES {_FINAL}), g AS (SELECT key, p_name AS given FROM f JOIN part ON p_partkey = i * 3 WHERE i IN (1, 7)),
+o AS (SELECT category, (SELECT p_type FROM part GROUP BY p_type ORDER BY count(*) DESC, min(p_partkey) LIMIT 1) AS common FROM f WHERE i IN (0, 1, 2, 4))
+SELECT i::INT AS "at", field, coalesce(given, CASE WHEN i IN (2, 4) THEN NULL ELSE common END, def) AS value FROM f LEFT JOIN g USING (key) LEFT JOIN o USING (category)""")
 def final_recommendation_defaults(spark, sf_dir):
-    return sy.final_recommendation(spark.createDataFrame([("Recommended AI Model", "X", "Y"), ("Recommended Framework", "Not Reported", "PyTorch"), ("Recommended Dataset", "", ""), ("Expected Advantages", "", "")], "field string, given string, common string"))
+    """The model names two fields; the part types' most common value stands for four categories, two of which nobody reports."""
+    keys = spark.createDataFrame([(i * 3, f[0]) for i, f in enumerate(sy.FINAL_FIELDS)], "p_partkey long, key string")
+    part = t(spark, sf_dir, "part")
+    given = keys.join(part, "p_partkey", "left").select("key", F.when(F.col("p_partkey").isin(3, 21), F.col("p_name")).when(F.col("p_partkey") == 0, " Not Reported ").alias("given"))
+    top = ag.frequency(part, F.lit("c"), F.col("p_type"), "p_partkey").where("rank = 1").select(F.col("token").alias("common"))
+    overall = spark.createDataFrame([(sy.FINAL_FIELDS[i][2],) for i in (0, 1, 2, 4)], "category string").crossJoin(F.broadcast(top))  # one row
+    coverage = part.agg(F.count(F.lit(1)).alias("total")).select(F.lit("Dataset").alias("field"), F.col("total").alias("missing"), "total")  # metrics were not counted
+    return sy.final_recommendation(given, overall, coverage)
 
 
 @query("SELECT c AS cited FROM (SELECT unnest(['click', ' CLICK ', 'unknown', 'View']) AS c) WHERE lower(trim(c)) IN (SELECT lower(event_type) FROM events)")
 def citation_validation(spark, sf_dir):
     cited = spark.createDataFrame([("click",), (" CLICK ",), ("unknown",), ("View",)], "cited string")
-    return sy.verified_citations(cited, t(spark, sf_dir, "events"), "event_type")
+    return sy.verified_citations(cited, t(spark, sf_dir, "events"), "event_type").select("cited")
 
 
 @query("""SELECT * FROM (VALUES (3, 'success', 'success', ''), (0, 'success', 'insufficient_evidence', 'Related evidence was found, but not enough to report a confident result here. This is a valid outcome, not a failure.'), (0, 'invalid_input', 'invalid_input', 'No valid papers were provided to analyze.')) v(n, claims, status, message)""")

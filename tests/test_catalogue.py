@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quillspark.plans import catalogue
+from quillspark.plans import catalogue, catalogue_reports  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

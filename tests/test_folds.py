@@ -4,11 +4,12 @@ import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import aggregates, claims, fulltext, ranking, resolution
-from quillspark.plans import catalogue
+from quillspark.plans import catalogue, catalogue_reports  # noqa: F401
 
 
 def tokens(s):
@@ -123,17 +124,149 @@ def test_gate_identity_and_replacement(spark):
     assert s.retrieved == s.rejected + s.final + s.surplus
 
 
-def test_pair_grid_is_complete_with_many_strips(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").limit(120)
-    one = claims.match_pairs(rows, "label", "vec_id", "embedding", 0.2).select("a", "b").collect()
-    many = claims.match_pairs(rows, "label", "vec_id", "embedding", 0.2, block=16).select("a", "b").collect()
-    assert sorted(one) == sorted(many) and len(one) > 10
+def test_gap_table_against_fold(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    cluster = {r.vec_id: (r.label, r.cluster) for r in aggregates.cluster(rows, "label", "vec_id", "embedding", 0.2).collect()}
+    want = {}
+    for i in sorted(cluster):
+        want.setdefault(cluster[i], []).append(i)
+    got = {(r.label, r.cluster): (r.frequency, r.papers, r.gap) for r in catalogue.gap_table(spark, sf).collect()}
+    assert got == {k: (len(v), ", ".join(sorted({str(i % 10) for i in v})), f"statement {v[0]}") for k, v in want.items()}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
+def test_queries_without_sql_can_be_written(spark, sf, tmp_path, name):
+    catalogue.QUERIES[name](spark, sf).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() > 0
+
+
+def test_pairs_of_blocks_are_complete(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 150").withColumn("label", F.col("label").cast("string"))
+    run = lambda: (sorted(map(tuple, claims.match_pairs(rows, "label", "vec_id", "embedding", 0.2).select("a", "b", "group_a", "group_b").collect())), [tuple(r) for r in claims.match_pairs(rows, "label", "vec_id", "embedding", 0.2, 7).select("a", "b").collect()], claims.similarity_stats(rows, "label", "vec_id", "embedding", 0.2).first())
+    one = run()
+    monkeypatch.setattr(claims, "BLOCK", 16)
+    many = run()
+    assert one[0] == many[0] and one[1] == many[1] and len(one[0]) > 10
+    assert [round(x, 9) for x in one[2]] == [round(x, 9) for x in many[2]]
+    labels, vec = {r.vec_id: r.label for r in rows.collect()}, {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
+    assert one[0] == sorted((a, b, labels[a], labels[b]) for a in vec for b in vec if a < b and labels[a] != labels[b] and vec[a] @ vec[b] >= 0.2)
+    assert claims.match_pairs(rows.limit(0), "label", "vec_id", "embedding", 0.2).collect() == []
+    assert claims.similarity_stats(rows.limit(0), "label", "vec_id", "embedding", 0.2).first().over == 0
+
+
+def test_group_top_k_in_blocks(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", "vec_id", F.col("embedding").alias("vec"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    run = lambda: sorted(map(tuple, ranking.group_top_k(rows, asked, "label", "vec_id", 3).select("query_id", "label", "rank", "vec_id", "similarity").collect()))
+    one = run()
+    monkeypatch.setattr(ranking, "ASKED", 3)
+    monkeypatch.setattr(ranking, "ITEMS", 40)
+    assert run() == one and len(one) > 100
+    assert ranking.group_top_k(rows, asked.limit(0), "label", "vec_id", 3).collect() == [] == ranking.group_top_k(rows.limit(0), asked, "label", "vec_id", 3).collect()
+
+
+def garbled(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = "deep learning for wireless networks graph neural routing in mobile federated optimisation of edge devices survey".split()
+    out = []
+    for _ in range(n):
+        held = [rng.choice(words) for _ in range(rng.randint(1, 10))]
+        bad = [list(w) for w in held]
+        for _ in range(4):
+            w = rng.choice(bad)
+            w[rng.randrange(len(w))] = rng.choice("abcdefgh")
+        out += [" ".join(held), " ".join("".join(w) for w in bad)]
+    return list(enumerate(dict.fromkeys(out)))
+
+
+def test_no_pair_of_alike_titles_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "TITLES", 24)
+    rows = garbled(60, 3) + [(1000, "a " * 400), (1001, "b " + "a " * 399), (1002, "x"), (1003, "")]
+    df = spark.createDataFrame([(i, t, None) for i, t in rows], "ordinal long, title string, doi string")
+    got = {(r.u, r.v) for r in resolution.relaxed_pairs(df, resolution.DEFAULT).collect()}
+    norm = [(i, t.strip()) for i, t in rows if t]
+    want = {(u, v) for u, a in norm for v, b in norm if u < v and SequenceMatcher(None, b, a).ratio() >= 0.75}
+    assert got == want and len(want) > 20
+
+
+def test_common_length_against_the_table():
+    import random
+
+    rng = random.Random(1)
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(60):
+        a, *others = ("".join(rng.choice("abc 1") for _ in range(rng.choice([1, 5, 63, 64, 65, 130]))) for _ in range(5))
+        want = [table(a, b) for b in others]
+        assert resolution.common_length(a, others, resolution._coded(others)[0]).tolist() == want == [resolution._common_long(a, b) for b in others]
+
+
+def test_projection_against_svd(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:2]
+    got = np.array([r.projection for r in catalogue.QUERIES["projection"](spark, sf).orderBy("vec_id").collect()])
+    assert np.allclose(np.abs(got), np.abs(x @ axes.T), atol=1e-6)
 
 
 def test_plans(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = ranking.top_k(ranking.term_cosine(docs.select("doc_id", "text"), "doc_id", F.col("text"), "the of"), 5, "score", "doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan and "Python" not in plan
+    assert "TakeOrderedAndProject" in plan and not any(x in plan for x in ("Join", "Exchange", "Python"))
+    for made in (fulltext.clean_text(docs.select("doc_id", "text"), ["doc_id"], "text"), fulltext.split_sections(docs, "doc_id", F.col("text"))):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def section_fold(text):
+    """Sections of a text, line by line."""
+    alias = {a: name for name, names in fulltext.SECTION_ALIASES.items() for a in names}
+    parts, cur = {"Body": []}, "Body"
+    for line in text.split("\n"):
+        m, r = re.match(fulltext.HEADING, line), re.match(fulltext.RUN_IN_HEADING, line)
+        if m and m[1].strip().lower() in alias:
+            cur = alias[m[1].strip().lower()]
+            parts.setdefault(cur, [])
+        elif r and r[1].strip().lower() in alias:
+            cur = alias[r[1].strip().lower()]
+            parts.setdefault(cur, []).append(r[2])
+        else:
+            parts.setdefault(cur, []).append(line)
+    if "Abstract" not in parts:
+        body = parts["Body"]
+        start = next((i for i, x in enumerate(body) if "@" not in x and len(x.split()) > 6), None)
+        if start is not None:
+            end, n = start, 0
+            while end < len(body) and body[end].strip() and n < 250:
+                n += len(body[end].split())
+                end += 1
+            text = " ".join(x.strip() for x in body[start:end])
+            ends = len(re.findall("[.!?]", text))
+            if n >= 40 and ends >= 2 and n / ends >= 15:
+                parts["Body"], parts["Abstract"] = body[:start] + body[end:], body[start:end]
+    return [(k, "\n".join(v).strip()) for k, v in parts.items() if "\n".join(v).strip()]
+
+
+def test_sections_and_abstracts_against_fold(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    head = "Some Title\nA. Author a@b.c\n"
+    prose = " ".join(["This paper studies a number of things in some detail for readers who want to know about all of them."] * 5)
+    extra = [head + prose + "\n\nRest.\nResults\nx", prose.replace(". ", ".\n") + "\n1. Introduction\ny", "Abstract\n" + prose, "", "References\n", "Methods: a b\nResults - c\nMethods\nd", "\n".join([prose] * 4)]
+    rows = docs + [(-1 - i, x) for i, x in enumerate(extra)]
+    got = {}
+    for r in fulltext.split_sections(spark.createDataFrame([*rows, (-99, None)], "i long, t string"), "i", F.col("t")).orderBy("i", "section_ord").collect():
+        got.setdefault(r.i, []).append((r.section_name, r.text))
+    assert got == {i: s for i, x in rows if (s := section_fold(x or ""))}
+    assert any(k == "Abstract" for i, s in got.items() if i < 0 for k, _ in s)
 
 
 def test_guess_abstract(spark):

@@ -1,5 +1,7 @@
 """The entry points end to end, with fake models."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from quillspark.config import Config
@@ -49,11 +51,68 @@ def test_contradictions(spark):
     assert (got.classification, got.confidence, got.root_cause) == ("Contradiction", 90, "Different Dataset")
 
 
-def test_recommendation(spark):
-    rows = spark.createDataFrame([("x", sv.NOT_FOUND, "1"), (sv.NOT_FOUND, sv.NOT_FOUND, "")], "Dataset string, Optimizer string, Accuracy string")
-    final, floor = pl.recommendation(spark, rows, spark.createDataFrame([("Recommended Framework", "PyTorch")], "field string, common string"))
-    assert {r.field: r.value for r in final.collect()}["Recommended Framework"] == "PyTorch" and final.count() == 9
-    assert {r.field for r in floor.collect()} == {"Dataset", "Optimizer", pl.sy.METRIC_FAMILY}
+def analysed(spark):
+    """Two papers with an index, and a model that answers for every agent."""
+    held = spark.createDataFrame([(1, "p1", "First", 2020, "openalex"), (2, "p2", "Second", None, "core"), (3, "p3", "Third", 2021, "core")], "rank long, paper_id string, title string, year int, source string")
+    chunks = spark.createDataFrame([("p1", 0, "Introduction", "c0", "graph routing problem latency is high"), ("p1", 1, "Results", "c1", "accuracy improves by 18% on the benchmark"), ("p2", 0, "Body", "c2", "future work and limitations of latency")], "paper_id string, chunk_ord long, section_name string, chunk_id string, chunk_text string")
+    answers = {
+        "Extract the listed": {"ai_technique": "GNN, RL", "ai_model": "GCN", "accuracy": "95.2%", "research_gap": "energy is not measured", "dataset": "D1"},
+        "gap_label": {"clusters": [{"index": 1, "gap_label": "Energy", "recommendation": "measure"}]}, "future_work_label": {"clusters": []},
+        "one insight": {"insights": [{"category": "Research Trend", "insight": "graphs"}]}, "main_problem": {"papers": [{"index": 1, "main_problem": "High Latency", "secondary_problems": ["Cost"]}, {"index": 2, "main_problem": "High Latency"}]},
+        "problem_label": {"clusters": [{"index": 1, "problem_label": "Latency"}]},
+        "checkable": {"papers": [{"index": 1, "claims": [{"topic": "Accuracy", "claim_text": "accuracy improves by 18% here", "claim_type": "Result"}]}, {"index": 2, "claims": [{"topic": "Accuracy", "claim_text": "accuracy drops by 18% here", "claim_type": "Result"}]}]},
+        "Classify": {"comparisons": [{"index": 1, "classification": "Contradiction", "confidence": 80, "supporting_evidence": ["e1", "e2"]}]}, "root cause": {"root_causes": [{"index": 1, "category": "Different Dataset"}]},
+        "Recommend": {"recommendations": [{"current_approach": " GCN ", "supporting_papers": ["second", "FIRST", "none"]}, {"why_better": "x"}], "final_recommendation": {"recommended_ai_model": "GAT"}},
+    }
+    asked = []
+
+    def model(messages, n):
+        asked.append(messages)
+        return next(json.dumps(a) for w, a in answers.items() if w in messages[0]["content"]), 1
+
+    return held, pl.build_index(chunks), sv.Service(model), asked
+
+
+def test_analysis_from_papers_to_recommendation(spark):
+    held, index, service, asked = analysed(spark)
+    assert {r.paper_id: r.label for r in pl.index_labels(held, index).collect()} == {"p1": "RAG (2 chunks from Full PDF)", "p2": "RAG (1 chunk from Full PDF)", "p3": "Not Available"}
+    assert [r.chunk_ord for r in pl.retrieve(index, [("accuracy benchmark", 1)]).where("paper_id = 'p1'").collect()] == [1]
+    got = pl.analyze_papers(held, index, service)
+    table = {r.title: r for r in got.knowledge.collect()}
+    assert table["First"].year == "2020" and table["Second"].year == sv.NOT_FOUND and table["Third"].evidence_source == "Not Available" and table["First"].optimizer == sv.NOT_FOUND
+    overall = {r.category: (r.common, r.evidence) for r in got.overall.collect()}
+    assert overall["Most Used AI Technique"] == ("GNN", "3 of 3 papers") and overall["Most Used Hardware"] == (sv.NOT_FOUND, sv.NOT_FOUND) and overall["Highest Reported Accuracy"] == ("95.2% - First", "Reported in 3 of 3 papers")
+    assert got.gaps == [{"gap": "Energy", "papers": "First, Second, Third", "frequency": 3, "recommendation": "measure"}] and got.future_work == [] and got.insights[0]["insight"] == "graphs"
+    assert {r.paper_id for r in got.retrieved.collect()} == {"p1", "p2"}
+    problems = pl.analyze_problems_and_solutions(held, index, got.knowledge, got.overall, service)
+    rows = [(r.problem, r.frequency, r.techniques, r.models, r.best, r.papers) for r in problems.table.orderBy("at").collect()]
+    assert rows == [("Latency", 2, "GNN, RL", "GCN", "95.2% (Accuracy)", "First, Second"), ("Cost", 1, "GNN, RL", "GCN", "95.2% (Accuracy)", "First")] and problems.status == "success"
+    assert {r.category: r.value for r in problems.summary.collect()} == {"Most Common Research Problem": "Latency (2 papers)", "Most Used AI Technique": "GNN", "Most Used AI Model": "GCN", "Problem With Most Proposed Solutions": "Latency (3 distinct techniques/models)", "Problem That Remains Least Solved": "Latency (3 distinct techniques/models)"}
+    status, claims = pl.claims_of(held, index, service)
+    compared = pl.contradictions(claims.drop("vec"), claims.select("ordinal", "vec"), service)
+    r = compared.first()
+    assert status == "success" and (r.paper_a, r.paper_b, r.classification, r.confidence, r.evidence, r.root_cause) == ("Paper 1: First", "Paper 2: Second", "Contradiction", 80, "e1; e2", "Different Dataset")
+    assert any("Pair 1 (topic similarity 0." in m[1]["content"] and "Claim (Result): accuracy drops" in m[1]["content"] for m in asked)
+    best = pl.recommendation(held, index, got.knowledge, got.overall, got.gaps, got.future_work, problems.table, problems.summary, compared, service)
+    assert [tuple(r) for r in best.recommendations.select("current_approach", "why_better", "evidence").collect()] == [("GCN", "Not Reported", "Second, First"), ("Not Reported", "x", "General AI Best Practice")]
+    final = {r.field: r.value for r in best.final.collect()}
+    assert final["Recommended AI Model"] == "GAT" and final["Recommended AI Technique"] == "GNN" and final["Recommended Framework"].startswith("Use a reproducible") and len(final) == 9 and best.reason == ""
+    assert {r.problem for r in best.improvements.collect()} >= {"Training Optimizer Not Reported"} and "Weak or Missing Performance Metrics" not in {r.problem for r in best.improvements.collect()}
+    sent = json.loads(next(m[1]["content"] for m in asked if "Recommend improved" in m[0]["content"]))
+    assert sent["papers"][0]["best_reported_metric"] == "95.2% (Accuracy)" and len(sent["supplementary_retrieved_evidence"]) == 2 and sent["contradictions"][0]["root_cause"] == "Different Dataset"
+
+
+def test_analysis_without_a_model(spark):
+    held, index, _, _ = analysed(spark)
+    got = pl.analyze_papers(held, index)
+    assert {r.common for r in got.overall.collect()} == {sv.NOT_FOUND} and got.gaps == [] and len(got.insights) == 8
+    problems = pl.analyze_problems_and_solutions(held, index, got.knowledge, got.overall)
+    assert problems.status == "llm_unavailable" and problems.table.count() == 0 and {r.value for r in problems.summary.collect()} == {"No data available"}
+    status, claims = pl.claims_of(held, index, sv.Service())
+    assert status == "llm_unavailable" and claims.count() == 0
+    best = pl.recommendation(held, index, got.knowledge, got.overall, [], [], problems.table, problems.summary, spark.createDataFrame([], pl.COMPARED))
+    assert best.reason and best.final.count() == 9 and best.recommendations.count() == 0
+    assert pl.contradiction_status("success", 3, 0)[1].startswith("Claims were extracted") and pl.contradiction_status("success", 0, 0)[1].startswith("No checkable") and pl.contradiction_status("success", 3, 1) == ("success", "")
 
 
 def test_embedding_chain_and_scores(spark):
