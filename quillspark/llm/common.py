@@ -3,50 +3,36 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 _made: dict[str, list[str]] = {}
-_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset (tests on one machine) one temporary folder is made and removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="quillspark-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
-
-
 def durable(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     Cuts lineage: work above it survives lost executors, is done once however often it is read,
-    and the optimiser sees true sizes. release() deletes the files.
+    and the optimiser sees true sizes. release() deletes the files; what is left goes when Python exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _made:
+        atexit.register(_forget, spark.sparkContext._jvm)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,14 +42,25 @@ def made(spark: SparkSession) -> int:
     return len(_made.get(spark.sparkContext.applicationId, []))
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the durable tables made after the first `since`; results on them not yet consumed become unreadable."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    held = _made.get(sc.applicationId, [])
-    for path in held[since:]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    del held[since:]
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the durable tables from number `since` to `until`; results on them not yet consumed become unreadable."""
+    held = _made.get(spark.sparkContext.applicationId, [])
+    for path in held[since:until]:
+        delete(spark, path)
+    del held[since:until]
+
+
+def _forget(jvm) -> None:
+    """Deletes all that is left, at exit; the session may be stopped, but the JVM still runs."""
+    with contextlib.suppress(Exception):
+        for path in [p for held in _made.values() for p in held]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
 
 
 def hold_out(doc_id: Column, parts: int) -> Column:
