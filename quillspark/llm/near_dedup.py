@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from .common import durable
 
 SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, keys array<long>"
@@ -267,22 +268,8 @@ def _within(groups: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id that has a link. Alternating stars."""
-    edges = durable(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = durable(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") <= F.col("v"))).first()
-        if now == before:
-            break
-        before = now
-    members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return durable(members.unionByName(members.select(F.col("component").alias("id"), "component").distinct()), "components")
+    """(id, component): the smallest id reachable, for every id that has a link."""
+    return durable(graph.components(links, durable), "components")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -291,14 +278,15 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     docs: doc_id and text; other columns are ignored, so they may have any name. Returns a row per row
     of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself
     included) and kept (doc_id = component_id). Null or blank text: n_shingles 0, linked with nothing.
-    Rows with the same doc_id are one document. A null doc_id is linked with nothing: component_id null,
-    kept true. An empty table gives an empty result.
+    Very long texts are read whole. Rows with the same doc_id are one document. A null doc_id is linked
+    with nothing: component_id null, kept true. An empty table gives an empty result.
     """
     rows = durable(signatures(docs, plan), "signatures")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    twins = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = full.select("doc_id", "f1", "f2", "n_shingles").join(twins, ["f1", "f2", "n_shingles"]).select("doc_id", "rep").distinct()
-    classes = full.join(twins.select("f1", "f2", "n_shingles", F.col("rep").alias("doc_id")), ["doc_id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+    # copies are summed up before anything is joined, and only rows that have some are; written, so that a hot join is split
+    twins = durable(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"), "twins")
+    members = durable(full.select("doc_id", "f1", "f2", "n_shingles").join(twins, ["f1", "f2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep", "f1", "f2"), "members")
+    classes = full.join(members, ["doc_id", "f1", "f2"], "left_anti").dropDuplicates(["doc_id", "f1", "f2"])
     classes = durable(classes.select("doc_id", "n_shingles", "sketch", "keys"), "classes")
 
     banded = classes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct()
@@ -327,7 +315,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         links = durable(links.unionByName(_settled(apart)), "found")
         label = components(links)
         groups = durable(_subgroups(apart, plan), "groups")
-    twin_links = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    twin_links = members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(links.unionByName(twin_links))
     return rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce(F.coalesce(F.col("component"), F.col("doc_id")) == F.col("doc_id"), F.lit(True))).alias("kept")
