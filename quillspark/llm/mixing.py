@@ -1,6 +1,6 @@
 """Mixing sources to target weights, exactly to budget.
 
-Documents get hash-random keys (md5 of the id). Within a source they are dealt by key range: the keys
+Documents get hash-random keys (md5 of the id, or of the text where the id is null). Within a source they are dealt by key range: the keys
 are uniform, so ranges of equal width hold equally many rows and a hot source has as many ranges as
 it needs. Sums per (source, range) give each range's offset in its source; a running sum inside a
 range then gives every document's place in the source's random order, with no task larger than a
@@ -20,7 +20,7 @@ RANGE_ROWS = 4096
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words of the text; null: 0), key (uniform in [0, 2^32)), spread (the whole hash)."""
-    spread = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    spread = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")).cast("binary"))
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), spread.alias("spread"), F.conv(F.substring(spread, 1, 8), 16, 10).cast("long").alias("key"))
 
@@ -50,7 +50,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     docs: doc_id, source, text; other columns are ignored, so they may have any name. Returns a row
     per row of docs: doc_id, source, size, source_size, target, taken. Sources are ordered by code
     point, null (a source of its own) last. taken counts words, repeats included, and is cut inside
-    the document where the budget ends. Null text has size 0. Rows of equal id are taken in the order
+    the document where the budget ends. Null text has size 0; very long texts are counted whole. Rows of equal id are taken in the order
     of size; ties are equal rows. An empty table gives an empty result. Reruns agree.
     """
     rows = durable(sized(docs), "sizes")

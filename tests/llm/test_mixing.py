@@ -27,7 +27,7 @@ def brute(rows, weights=(5, 2, 1), share=1.5, most=2.0):
         open_ -= set(over)
     out = []
     for s in sources:
-        own = sorted(((hashlib.md5(str("" if i is None else i).encode()).hexdigest(), -1 if i is None else i, size(t)) for i, x, t in rows if x == s))
+        own = sorted(((hashlib.md5(str((t or "") if i is None else i).encode()).hexdigest(), -1 if i is None else i, size(t)) for i, x, t in rows if x == s))
         budget, at = int(target[s] + 0.5), 0
         whole = budget // total[s] if total[s] else 0
         for _, i, n in own:
