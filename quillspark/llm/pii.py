@@ -6,7 +6,9 @@ documents, is in n_t documents and e in n_e of N, tells PMI(t; e) = ln(n_te N /
 ln(N / n_e) that e itself carries. A term whose share reaches the disclosure threshold and that stood
 near e in enough different contexts (copies of a text count once) is sanitised wherever it stands, in
 every text. With fewer contexts the lower confidence bound of the PMI must reach the threshold, so rare
-entities are decided as far as the size of the corpus lets so few places tell. All counts cover the whole corpus. DataFrame functions only.
+entities are decided as far as the size of the corpus lets so few places tell. All counts cover the
+whole corpus. Rows are named by a hash of their content, so the corpus is read again, not copied.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -58,9 +60,14 @@ def _valid() -> Column:
     return F.when(F.col("kind") == 0, True).when(F.col("kind") == 1, ip).when(F.col("kind") == 2, card).otherwise(n.between(10, 15))
 
 
+def _key() -> Column:
+    """Names a row by its id and whole text: rows with one key are alike, so their spans are."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")).alias("key")
+
+
 def entities(docs: DataFrame, context: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, base spans), as spans.locate gives them, without matches that fail their check."""
-    rows, found = spans.locate(docs, KINDS, context)
+    """(rows: rid, doc_id, key; base spans), as spans.locate gives them, without matches that fail their check."""
+    rows, found = spans.locate(docs, KINDS, context, (_key(),))
     return rows, durable(found.where(_valid()), "entities")
 
 
@@ -76,50 +83,65 @@ def _near(base: DataFrame, window: int) -> DataFrame:
     whole = F.filter(side("before", F.col("start") - F.length("before")), lambda t: t["start"] >= F.col("start") - window)
     both = F.concat(whole, F.filter(side("after", F.col("end")), lambda t: t["end"] <= F.col("end") + window))
     seen = F.xxhash64(F.substring("before", -window, window), F.substring("after", 1, window))
-    named = base.select("rid", F.sha1(F.concat_ws(":", "kind", F.lower("value")).cast("binary")).alias("entity"), seen.alias("seen"), F.explode(both).alias("t"))
+    named = base.select("rid", _entity(), seen.alias("seen"), F.explode(both).alias("t"))
     return named.select("rid", "entity", "seen", F.lower("t.term").alias("term"))
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, base: DataFrame, how: Disclosure) -> DataFrame:
-    """Spans of all terms that disclose an entity they stand near somewhere: rid, kind 0, start, end.
+def _entity() -> Column:
+    return F.sha1(F.concat_ws(":", "kind", F.lower("value")).cast("binary")).alias("entity")
 
-    docs: doc_id, one each row, and text; rows: rid of each doc_id.
-    """
+
+def disclosing(docs: DataFrame, rows: DataFrame, base: DataFrame, how: Disclosure) -> DataFrame:
+    """Terms that disclose an entity they stand near somewhere: a row per `term`. Rows of the pairs' terms are counted
+    in all texts; Spark sends those terms to the scan if their table is small, and sorts both sides if not."""
     near = durable(_near(base, how.window), "near")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("rid").alias("n_te"))
-    pairs = durable(pairs, "pairs")
-    terms = pairs.select(F.col("term").alias("t")).distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("term"))
-    known = words.groupBy("term").count().join(terms, F.col("term") == F.col("t")).drop("t")  # inner: a semi join would be moved below the counting
-    own = base.groupBy(F.sha1(F.concat_ws(":", "kind", F.lower("value")).cast("binary")).alias("entity")).agg(F.count_distinct("rid").alias("n_e"))
+    pairs = durable(near.groupBy("entity", "term").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("rid").alias("n_te")), "pairs")
+    terms = durable(pairs.select("term").distinct(), "candidates")
+    known = _words(docs).join(terms, "term", "left_semi").groupBy("term").count()
+    own = base.groupBy(_entity()).agg(F.count_distinct("rid").alias("n_e"))
     total = float(max(1, rows.count()))
     told = lambda p: F.ln(p * total / F.col("n_e")) >= how.share * F.ln(F.lit(total) / F.col("n_e"))
     p = F.col("n_te") / F.greatest("count", "n_te")
     n, z2 = F.col("contexts") / p, how.sure**2  # a context is one observation, however many copies it has
     low = (p + z2 / (2 * n) - how.sure * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)  # Wilson's bound of P(e | t)
     strong = pairs.join(known, "term").join(own, "entity").where(((F.col("contexts") >= how.contexts) & told(p)) | told(low)).where(F.col("n_e") < total)
-    strong = durable(strong.select("term").distinct(), "strong")
+    return durable(strong.select("term").distinct(), "strong")
+
+
+def _words(docs: DataFrame, *keep: Column) -> DataFrame:
+    """A row per text and distinct lower-cased term of it."""
+    return docs.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("term"))
+
+
+def _places(docs: DataFrame, rows: DataFrame, strong: DataFrame) -> DataFrame:
+    """rid, kind 0, start, end of strong terms in every text. A text is read along once, and only what is strong is kept."""
     if strong.isEmpty():
-        return rows.where(F.lit(False)).select("rid", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    each = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("term"))
-    held = docs.join(each.join(strong, "term").select("doc_id").distinct(), "doc_id")
-    own_rows, every = spans.locate(held, [spans.Kind("term", _TERM, _TERM)])
-    placed = every.withColumn("term", F.lower("value")).join(strong, "term").select(F.col("rid").alias("own"), "start", "end")
-    back = own_rows.withColumnRenamed("rid", "own").join(rows, "doc_id").select("own", "rid")
-    return placed.join(back, "own").select("rid", F.lit(0).alias("kind"), "start", "end")
+        return rows.select("rid", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
+    told = durable(_words(docs, _key()).join(strong, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("terms")), "told")
+    text = F.col("text").cast("string")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("got"))
+
+    def step(a: Column, z: Column) -> Column:
+        start = a["at"] + F.length(z["b"])
+        end = start + F.coalesce(F.length(z["v"]), F.lit(0))
+        hit = F.coalesce(F.array_contains("terms", F.lower(z["v"])), F.lit(False))
+        return F.struct(end.cast("long").alias("at"), F.when(hit, F.concat(a["got"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))))).otherwise(a["got"]).alias("got"))
+
+    along = F.aggregate(F.arrays_zip(F.split(text, _TERM, -1).alias("b"), F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)).alias("v")), zero, step, lambda a: a["got"])
+    placed = docs.select(_key(), "text").join(told, "key").select("key", F.explode(along).alias("s")).select("key", "s.start", "s.end").distinct()
+    return placed.join(rows.select("rid", "key"), "key").select("rid", F.lit(0).alias("kind"), "start", "end")
 
 
 def find(docs: DataFrame, how: Disclosure = Disclosure()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, base spans, added term spans) of docs' whole texts.
 
-    docs: doc_id and text; other columns are ignored, so they may have any name. Null text is empty.
-    Repeated rows each get their spans. Added spans may overlap base spans.
+    docs: doc_id and text; other columns are ignored, so they may have any name. Null text is empty; very
+    long texts are read whole. Repeated rows each get their spans. Added spans may overlap base spans.
     """
-    held = durable(docs.select(F.monotonically_increasing_id().alias("__rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "documents")
-    texts = held.select(F.col("__rid").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, base = entities(texts, how.window + 1)
-    added = durable(disclosing(texts, rows, base, how), "terms")
-    return rows.withColumnRenamed("doc_id", "__rid").join(held.select("__rid", "doc_id"), "__rid").select("rid", "doc_id"), base, added
+    added = durable(_places(texts, rows, disclosing(texts, rows, base, how)), "terms")
+    return rows, base, added
 
 
 def report(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
@@ -131,14 +153,13 @@ def report(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
 def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """docs with every span replaced in text by its kind in brackets; all columns and rows stay.
 
-    Overlapping spans are replaced as one, by the kind that starts first. Texts without spans stay as they are.
+    Overlapping spans are replaced as one, by the kind that starts first. Texts without spans, and null
+    texts, stay as they are. Columns may have any name. Repeated rows are each replaced, alike. An empty table stays empty.
     """
-    held = durable(docs.withColumn("__rid", F.monotonically_increasing_id()), "documents")
-    rows, base = entities(held.select(F.col("__rid").alias("doc_id"), "text"), how.window + 1)
-    added = disclosing(held.select(F.col("__rid").alias("doc_id"), "text"), rows, base, how)
-    every = base.select("rid", "kind", "start", "end").unionByName(added.withColumn("kind", F.lit(len(NAMES)))).join(rows.select("rid", F.col("doc_id").alias("__rid")), "rid")
+    rows, base, added = find(docs, how)
+    every = base.select("rid", "kind", "start", "end").unionByName(added.withColumn("kind", F.lit(len(NAMES)))).join(rows.select("rid", "key"), "rid")
     names = F.array(*[F.lit(f"[{n.upper()}]") for n in [*NAMES, "term"]])
-    marks = every.groupBy("__rid").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("__marks"))
+    marks = durable(every.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("__marks")), "marks")
     text = F.col("text")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -147,5 +168,5 @@ def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(m["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
 
     folded = F.aggregate("__marks", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text))))
-    joined = held.join(marks, "__rid", "left")
-    return joined.withColumn("text", F.when(F.col("__marks").isNotNull(), folded).otherwise(text)).drop("__rid", "__marks").select(*docs.columns)
+    joined = docs.withColumn("__key", _key()).join(marks, "__key", "left")
+    return joined.withColumn("text", F.when(F.col("__marks").isNotNull(), folded).otherwise(text)).select(*docs.columns)

@@ -26,8 +26,8 @@ class Kind:
     group: int = 0
 
 
-def locate(docs: DataFrame, kinds: list[Kind], context: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows, matches). rows: rid and doc_id, one per row of docs. matches: rid, kind (its place in kinds),
+def locate(docs: DataFrame, kinds: list[Kind], context: int = 0, keep: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, matches). rows: rid, doc_id and the columns to keep, one per row of docs. matches: rid, kind (its place in kinds),
     value, inner (the group's text), before and after (up to `context` characters around), start, end.
     """
     text = F.col("text").cast("string")
@@ -42,12 +42,12 @@ def locate(docs: DataFrame, kinds: list[Kind], context: int = 0) -> tuple[DataFr
         return F.when(text.rlike(kind.needs), made)
 
     arrays = [F.coalesce(found(k, kind), F.array().cast("array<struct<kind:int,value:string,inner:string,gap:int,before:string,after:string>>")) for k, kind in enumerate(kinds)]
-    rows = durable(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.concat(*arrays).alias("found")), "spans")
+    rows = durable(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), *keep, F.concat(*arrays).alias("found")), "spans")
     each = rows.where(F.size("found") > 0).select("rid", F.posexplode("found").alias("at", "m")).select("rid", "at", "m.*")
     along = Window.partitionBy("rid", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(along)
     placed = each.select("rid", "kind", "value", "inner", "before", "after", end.alias("end")).withColumn("start", F.col("end") - F.length("value"))
-    return rows.select("rid", "doc_id"), placed
+    return rows.drop("found"), placed
 
 
 def listed(spans: DataFrame, names: list[str]) -> DataFrame:

@@ -119,6 +119,55 @@ def test_random_tokens_of_every_length_are_decided(spark):
     assert names <= 0.05 * sum(hits.values()) + 1, (names, hits)
 
 
+def battery(token):
+    """Corrected p-value of the three tests, plainly."""
+    body = token.rstrip("=")
+    alphabet = next((a for p, a in secrets.ENCODINGS if re.fullmatch(p, body)), secrets._UPPER + secrets._LOWER + secrets._DIGITS + "+/-_")
+    n, k = len(body), len(alphabet) - 1
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((body.count(c) - n / len(alphabet)) ** 2 / (n / len(alphabet)) for c in alphabet)
+    p_chi = tail(((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+    codes, mid = [alphabet.index(c) for c in body], k / 2
+    high = sum(c > mid for c in codes)
+    runs = 1 + sum((a > mid) != (b > mid) for a, b in zip(codes, codes[1:]))
+    mean = 2 * high * (n - high) / n + 1
+    p_runs = 2 * tail(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / max(n - 1, 1), 1e-9)))
+    p_serial = 2 * tail(abs(sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:])) / max(sum((c - mid) ** 2 for c in codes), 1e-9)) * math.sqrt(n))
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial)), alphabet
+
+
+def random_spans(texts, decoys, how):
+    """Brute force: (id, start, end) of added spans; decoys: (size, alphabet, value)."""
+    found = [(i, m.start(), m.end(), m[0]) for i, t in texts for m in re.finditer(rf"(?<![{secrets._RUN}])[{secrets._RUN}]{{20,}}={{0,2}}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    classes = defaultdict(lambda: ([], []))
+    for i, s, e, v in found:
+        p, alphabet = battery(v)
+        classes[len(v).bit_length() - 1, alphabet][0].append((p, (i, s, e)))
+    for size, alphabet, v in decoys:
+        classes[size, alphabet][1].append(battery(v)[0])
+    out = set()
+    bin_of = lambda p: min(how.bins - 1, int(p * how.bins))
+    for targets, null in classes.values():
+        for cut in range(how.bins):
+            t, d = sum(bin_of(p) >= cut for p, _ in targets), sum(bin_of(p) >= cut for p in null)
+            if any(bin_of(p) == cut for p in [*(p for p, _ in targets), *null]) and len(targets) * (d + 1) / (len(null) + 1) / max(t, 1) <= how.rate:
+                out |= {x for p, x in targets if bin_of(p) >= cut and p >= how.least}
+                break
+    return out
+
+
+def test_random_spans_of_the_fixture_against_brute_force(spark):
+    docs, how = table(spark, "/root/testdata/sf0.1", "documents"), secrets.Battery()
+    rows, found = secrets.spans.locate(docs, secrets.KINDS)
+    tokens = found.where("kind = 3").where(secrets._is_target(F.col("value"))).withColumn("size", F.floor(F.log2(F.length("value").cast("double"))).cast("int")).withColumn("code", secrets._alphabet(F.regexp_replace("value", "=+$", "")))
+    made = [(r["size"], r["code"], r["value"]) for r in secrets.decoys(docs, rows.count(), tokens, how).collect()]
+    assert all(battery(v)[1] == code and re.search("[0-9]", v) for _, code, v in made)
+    want = random_spans([(r.doc_id, r.text) for r in docs.collect() if r.text], made, how)
+    got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in secrets.report(docs).collect() for x in r.spans.split(",") if x.startswith("random:")}
+    close = {x for x in got ^ want}
+    assert len(want) > 50 and len(close) <= 0.02 * len(want), (len(want), len(close))  # the tail is approximated within 1e-7
+
+
 def test_personal_data(spark, sf):
     check(pii.report, table(spark, sf, "documents"), personal_spans, pii.NAMES)
     check(pii.report, hard(spark), personal_spans, pii.NAMES)
@@ -127,38 +176,54 @@ def test_personal_data(spark, sf):
 
 
 def disclosed(rows, how):
-    """Brute force: (id, start, end) of disclosing terms."""
-    near, n_e, n_t = [], defaultdict(set), defaultdict(set)
+    """Brute force: (id, start, end) of disclosing terms, wherever they stand."""
+    near, n_e, n_t = defaultdict(lambda: (set(), set())), defaultdict(set), defaultdict(set)
     term = re.compile(r"[^\W\d_]{4,}")
-    for i, text in rows:
+    for at, (_, text) in enumerate(rows):
         for w in set(term.findall(text.lower())):
-            n_t[w].add(i)
+            n_t[w].add(at)
         by = defaultdict(list)
         for k, s, e in personal_spans(text):
             by[k].append((s, e))
-            n_e[(k, text[s:e].lower())].add(i)
         for k, spans in by.items():
             for x, (s, e) in enumerate(spans):
+                ent = (k, text[s:e].lower())
+                n_e[ent].add(at)
                 lo, hi = max(s - how.window, spans[x - 1][1] if x else 0), min(e + how.window, spans[x + 1][0] if x + 1 < len(spans) else len(text))
-                seen = (text[lo:s], text[e:hi])
-                near += [((k, text[s:e].lower()), seen, m[0].lower(), i, off + m.start(), off + m.end()) for off, part in ((lo, seen[0]), (e, seen[1])) for m in term.finditer(part)]
-    contexts, docs = defaultdict(set), defaultdict(set)
-    for ent, seen, t, i, _, _ in near:
-        contexts[ent, t].add(seen), docs[ent, t].add(i)
-    n = len(rows)
-    ok = {k for k, c in contexts.items() if len(c) >= how.contexts and len(n_e[k[0]]) < n and math.log(len(docs[k]) * n / (len(n_t[k[1]]) * len(n_e[k[0]]))) >= how.share * math.log(n / len(n_e[k[0]]))}
-    return {(i, s, e) for ent, _, t, i, s, e in near if (ent, t) in ok}
+                for m in term.finditer(text, max(lo - 1, spans[x - 1][1] if x else 0), min(hi + 1, spans[x + 1][0] if x + 1 < len(spans) else len(text))):
+                    if (lo <= m.start() and m.end() <= s) or (e <= m.start() and m.end() <= hi):
+                        contexts, docs = near[ent, m[0].lower()]
+                        contexts.add((text[lo:s], text[e:hi])), docs.add(at)
+    n, strong = len(rows), set()
+    for (ent, t), (contexts, docs) in near.items():
+        p, own = len(docs) / max(len(n_t[t]), len(docs)), len(n_e[ent])
+        seen, z2 = len(contexts) / p, how.sure**2
+        low = (p + z2 / (2 * seen) - how.sure * math.sqrt(p * (1 - p) / seen + z2 / (4 * seen * seen))) / (1 + z2 / seen)
+        told = lambda q: q > 0 and math.log(q * n / own) >= how.share * math.log(n / own)
+        if own < n and ((len(contexts) >= how.contexts and told(p)) or told(low)):
+            strong.add(t)
+    return {(i, m.start(), m.end()) for i, text in rows for m in term.finditer(text) if m[0].lower() in strong}, strong
+
+
+def terms_found(df):
+    return {(r.doc_id, *map(int, x.split(":")[1:])) for r in pii.report(df).collect() for x in r.spans.split(",") if x.startswith("term:")}
 
 
 def test_disclosing_terms_against_brute_force(spark):
     rows = [(i, f"Report {i} by Montague about topic{i} mail m.capulet@verona.example and more text number word{i}.") for i in range(6)]
     rows += [(10 + i, f"Common words and text here about things {i}. Call someone else about word{i}") for i in range(30)]
     rows += [(50 + i, f"Plain mail u{i}@x.example about text") for i in range(4)] + [(60, rows[0][1]), (61, rows[0][1])]
-    got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r.spans.split(",") if x.startswith("term:")}
-    want = disclosed(rows, pii.Disclosure())
+    got = terms_found(spark.createDataFrame(rows, "doc_id long, text string"))
+    want, strong = disclosed(rows, pii.Disclosure())
     assert want and got == want
-    text = dict(rows)
-    assert {text[i][s:e] for i, s, e in got} >= {"Montague"} and not {"about", "text", "Common"} & {text[i][s:e] for i, s, e in got}
+    assert strong >= {"montague"} and not {"about", "text", "common"} & strong
+
+
+def test_disclosing_terms_of_the_fixture_against_brute_force(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text]
+    want, strong = disclosed(rows, pii.Disclosure())
+    assert strong and terms_found(docs) == want
 
 
 def test_disclosing_terms_go_wherever_they_stand(spark):
@@ -211,6 +276,27 @@ def test_quality_figures(spark, sf):
     assert quality.judge(empty(spark), labels).collect() == []
 
 
+def test_planted_rejections_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from quillspark.llm import queries
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "a") for i in range(900)] + [(1000 + i, " ".join(f"#w{i}x{j}" for j in range(60)), "a") for i in range(40)]
+    rows += [(2000 + i, "\n".join([" ".join(f"w{i}x{j}" for j in range(60))] + ["same line"] * 9), "b") for i in range(40)] + [(3000 + i, " ".join(f"v{i}x{j}" for j in range(60)), "b") for i in range(900)] + [(4000, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 900 or i >= 3000)) for i, _, _ in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op1_quality_rules"])
+    columns = [c[0] for c in want.description]
+    want = sorted(map(tuple, want.fetchall()))
+    got = sorted(tuple(r[c] for c in columns) for r in queries.op1_quality_rules(spark, str(tmp_path)).collect())
+    assert got == want
+    told = {r[0]: r[columns.index("rejected_by")] for r in got}
+    assert all("symbols" in told[1000 + i] and "duplicate_lines" in told[2000 + i] and told[3000 + i] == "" for i in range(40))
+
+
 def test_cutoffs_follow_the_exact_binomial_bound(spark):
     cases = [(0, 400), (3, 900), (5, 1000), (20, 1000), (0, 10)]
     got = spark.createDataFrame(cases, "x long, n long").select("x", "n", quality.binomial_at_most(F.col("x"), F.col("n"), 0.01).alias("p")).collect()
