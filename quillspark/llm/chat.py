@@ -62,7 +62,9 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     turns: conv_id, turn, role, parts. Turns go by turn (null first), then role, then content. spans
     has per turn: at (where it begins), start and length of its text under the loss mask (length 0: none), in
     code points of formatted. attachments: turn's place, type, ref, tokens, in order. Null role or
-    text is empty; a null conv_id is a conversation of its own; repeated rows are turns of their own.
+    text is empty; a null conv_id is a conversation of its own; repeated rows are turns of their own. Very
+    long texts are kept whole. Other columns of turns are ignored, so they may have any name. An empty
+    table gives an empty result.
     """
     role, body = F.coalesce(F.col("role").cast("string"), F.lit("")), flatten(F.col("parts"))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))

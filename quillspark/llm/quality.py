@@ -128,7 +128,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk
     docs: doc_id, text and the stratum's column; labels: doc_id, quality (1 good); other columns are
     ignored. Null text has no words and fails the base. A null stratum is a stratum of its own. A
     document labelled more than once counts as good only if all its labels are. Without labels no rule
-    rejects. Repeated rows are each judged. An empty table gives an empty result.
+    rejects. Very long texts are read whole. Repeated rows are each judged. An empty table gives an empty result.
     """
     rows = durable(measures(docs, stratum), "measures")
     cuts = durable(cutoffs(rows, labels, risk), "cutoffs")
