@@ -1,17 +1,20 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule compares a figure of the text with a cutoff. Cutoffs are not chosen by hand: over labelled
-holdout rows, in each stratum, a cutoff is safe if the exact binomial (Clopper-Pearson) bound on its
-rate of false rejections, the good documents that it drops, is at most the rule's share of the risk. A
-rule's cutoffs are fixed beforehand and tested from the most lenient on until one fails (fixed-sequence
-testing, which spends no error on the order); Bonferroni's correction covers rules and strata. The
-strictest safe cutoff holds; a rule without one rejects nothing in that stratum. DataFrame functions only.
+Each rule compares a figure of the text with a cutoff. Cutoffs are not chosen by hand: all rules have a ladder
+of levels, from lenient to strict, fixed beforehand. Over labelled holdout rows, in each stratum, a level is
+safe if the exact binomial (Clopper-Pearson) bound on its rate of false rejections, the good documents that
+any rule drops at that level, is at most the risk allowed. Levels are tested from the most lenient on until
+one fails (fixed-sequence testing, which spends no error on the order); Bonferroni's correction covers the
+strata. The strictest safe level holds, for all rules together; without one, nothing is rejected in that
+stratum. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,18 +29,19 @@ _SYMBOLS = "#*$%&|<>"
 class Risk:
     """False rejections allowed among good documents of a stratum, by all rules together; chance that the bound is wrong."""
 
-    allowed: float = 0.05
+    allowed: float = 0.03
     error: float = 0.05
 
 
-#: Rule -> cutoffs from lenient to strict; a figure at or above the cutoff is rejected.
+#: Rule -> its cutoff at each level, from lenient to strict; a figure at or above the cutoff is rejected.
 RULES = {
-    "symbols": (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05),
-    "duplicate_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
-    "repeated_words": (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
+    "symbols": (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
+    "duplicate_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
+    "repeated_words": (0.45, 0.42, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15),
     "capitals": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
-    "word_length": (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0),
+    "word_length": (30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0),
 }
+LEVELS = 8
 
 
 def repeated_words(words: Column) -> Column:
@@ -104,22 +108,18 @@ def let_struct(first: Column) -> Column:
     return F.struct(first.cast("double").alias("t"), first.cast("double").alias("s"))
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
-    """stratum and, per rule, its strictest safe cutoff (null: none). A row per stratum with labels."""
+def levels(rows: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
+    """stratum and its strictest safe level, from 1 (0: none). A row per stratum with good labels."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = rows.where(~base_failed()).join(good, "doc_id")  # what the base drops is not the rules' doing
     fig = figures()
-    sums = [F.count_if(fig[r] >= c).alias(f"{r}_{k}") for r, cs in RULES.items() for k, c in enumerate(cs)]
-    by = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("k"), F.lit(c).alias("cutoff"), F.col(f"{r}_{k}").alias("x")) for r, cs in RULES.items() for k, c in enumerate(cs)])
+    hit = [reduce(or_, [fig[r] >= cs[k] for r, cs in RULES.items()]) for k in range(LEVELS)]
+    by = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(h).alias(f"x_{k}") for k, h in enumerate(hit)])
     strata = by.agg(F.count(F.lit(1)).alias("strata"))
-    flat = by.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")  # strata is one row
-    rate = risk.allowed / len(RULES)
-    p = F.when(F.col("x") <= F.col("n") * rate, binomial_at_most(F.col("x"), F.col("n"), rate)).otherwise(1.0)
-    tested = flat.withColumn("safe", p <= F.lit(risk.error) / (F.col("strata") * len(RULES)))
-    first_fail = tested.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("safe"), F.col("k"))).alias("fail"), F.collect_list(F.struct("k", "cutoff")).alias("all"))
-    chosen = first_fail.select("stratum", "rule", F.array_min(F.transform(F.filter("all", lambda a: F.col("fail").isNull() | (a["k"] < F.col("fail"))), lambda a: a["cutoff"])).alias("cutoff"))
-    return chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    p = [F.when(F.col(f"x_{k}") <= F.col("n") * risk.allowed, binomial_at_most(F.col(f"x_{k}"), F.col("n"), risk.allowed)).otherwise(1.0) for k in range(LEVELS)]
+    safe = F.array(*[x <= F.lit(risk.error) / F.col("strata") for x in p])
+    tested = by.crossJoin(F.broadcast(strata)).select("stratum", F.array_position(safe, False).alias("fail"))  # strata is one row
+    return tested.select("stratum", F.when(F.col("fail") == 0, LEVELS).otherwise(F.col("fail") - 1).cast("int").alias("level"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
@@ -131,8 +131,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk
     rejects. Very long texts are read whole. Repeated rows are each judged. An empty table gives an empty result.
     """
     rows = durable(measures(docs, stratum), "measures")
-    cuts = durable(cutoffs(rows, labels, risk), "cutoffs")
-    joined = rows.join(cuts, "stratum", "left")
-    hits = F.array_compact(F.array(*[F.when(f >= F.col(f"cut_{r}"), F.lit(r)) for r, f in figures().items()]))
+    joined = rows.join(durable(levels(rows, labels, risk), "levels"), "stratum", "left")
+    cutoff = lambda r: F.when(F.col("level") > 0, F.element_at(F.array(*map(F.lit, RULES[r])), F.col("level")))
+    hits = F.array_compact(F.array(*[F.when(f >= cutoff(r), F.lit(r)) for r, f in figures().items()]))
     failed = base_failed()
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.size(hits) == 0)).alias("kept"), F.array_join(hits, ",").alias("rejected_by"))

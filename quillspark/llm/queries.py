@@ -81,9 +81,10 @@ def _quality_sql() -> str:
     """op1 in SQL, with the operator's rules and risk."""
     risk, rules = quality.Risk(), quality.RULES
     figure = {"symbols": "n_symbols / n_words", "duplicate_lines": "n_dup_lines / n_lines", "repeated_words": "n_repeat_words / n_words", "capitals": "n_capitals / word_chars", "word_length": "word_chars / n_words"}
-    rate = risk.allowed / len(rules)
-    tests = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {k} AS k, {c} AS cutoff, count(*) AS n, count_if(f_{r} >= {c}) AS x FROM held GROUP BY stratum" for r, cs in rules.items() for k, c in enumerate(cs))
-    hits = ", ".join(f"CASE WHEN f_{r} >= (SELECT cutoff FROM chosen c WHERE c.stratum = f.stratum AND c.rule = '{r}') THEN '{r}' END" for r in rules)
+    rate = risk.allowed
+    hit = [" OR ".join(f"f_{r} >= {cs[k]}" for r, cs in rules.items()) for k in range(quality.LEVELS)]
+    tests = " UNION ALL ".join(f"SELECT stratum, {k} AS k, count(*) AS n, count_if({h}) AS x FROM held GROUP BY stratum" for k, h in enumerate(hit))
+    hits = ", ".join(f"CASE WHEN level > 0 AND f_{r} >= {list(cs)}[level] THEN '{r}' END" for r, cs in rules.items())
     return rf"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 u AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3), g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM u),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
@@ -93,11 +94,10 @@ b AS (SELECT *, coalesce(wc, 0) AS word_chars, len(l) - len(list_distinct(l)) AS
 f AS (SELECT *, {", ".join(f"coalesce({e.split(' / ')[0]}::DOUBLE / nullif({e.split(' / ')[1]}, 0), 0.0) AS f_{r}" for r, e in figure.items())} FROM b),
 held AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
 t AS ({tests}),
-p AS (SELECT *, CASE WHEN x <= n * {rate!r} THEN list_sum(list_transform(range(0, (x + 1)::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r})))) ELSE 1.0 END <= {risk.error!r} / ((SELECT count(DISTINCT stratum) FROM held) * {len(rules)}) AS safe FROM t),
-fail AS (SELECT stratum, rule, min(k) FILTER (NOT safe) AS k FROM p GROUP BY ALL),
-chosen AS (SELECT p.stratum, p.rule, min(cutoff) AS cutoff FROM p JOIN fail USING (stratum, rule) WHERE fail.k IS NULL OR p.k < fail.k GROUP BY ALL)
+p AS (SELECT *, CASE WHEN x <= n * {rate!r} THEN list_sum(list_transform(range(0, (x + 1)::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r})))) ELSE 1.0 END <= {risk.error!r} / (SELECT count(DISTINCT stratum) FROM held) AS safe FROM t),
+c AS (SELECT stratum, coalesce(min(k) FILTER (NOT safe), {quality.LEVELS})::BIGINT AS level FROM p GROUP BY stratum)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by
-FROM (SELECT *, concat_ws(',', {hits}) AS rejected_by FROM f)"""
+FROM (SELECT *, concat_ws(',', {hits}) AS rejected_by FROM f LEFT JOIN c USING (stratum))"""
 
 
 _DEDUP_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
