@@ -71,3 +71,22 @@ def test_five_words_and_eighty_percent(spark, sf):
 def test_awkward_and_empty(spark):
     check(awkward(spark, "n_shingles kept component_id hub id"))
     assert near_dedup.near_duplicates(empty(spark)).collect() == []
+
+
+def test_pairs_at_the_threshold_share_a_band_and_are_not_far():
+    """Measured: of 600 pairs a plan at exactly its threshold none is missed by the bands, or by the estimate."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for plan, shared, own in ((near_dedup.Plan(3, 85), 170, 15), (near_dedup.Plan(5, 80), 160, 20)):
+        bound = plan.percent / 100
+        least = bound - near_dedup.FAR * (bound * (1 - bound) / plan.registers) ** 0.5
+        missed, estimates = 0, []
+        for _ in range(600):
+            s = rng.integers(0, 1 << 64, shared + 2 * own, dtype=np.uint64)
+            a, b = (near_dedup.registers_of(np.sort(x), plan).astype(int) for x in (s[: shared + own], np.concatenate([s[:shared], s[shared + own :]])))
+            missed += not (a == b).reshape(plan.bands, plan.band_rows).all(axis=1).any()
+            up, down = np.array([(a > b).sum()]), np.array([(a < b).sum()])
+            n = np.array([float(shared + own)])
+            estimates.append(near_dedup.estimate(up, down, plan.registers - up - down, n, n)[0])
+        assert missed == 0 and min(estimates) >= least and abs(np.mean(estimates) - bound) < 0.01
