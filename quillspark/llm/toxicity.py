@@ -36,6 +36,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 #: Marks of a feature's level: it occurs, twice, densely.
 LEVELS = ("", "#2", "#%")
 LABEL, CLEAN = "label", "clean:no mark"
+#: Counts, and words with their features, that a worker holds.
+HELD = 150_000
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,7 @@ def levels_of(counts: dict[str, int], words: int, dense: int) -> list[str]:
 class _Known(dict):
     """Word -> its features (those of `only`, if given)."""
 
-    def __init__(self, starts: tuple[int, ...], only: set[str] | None = None, held: int = 300_000):
+    def __init__(self, starts: tuple[int, ...], only: set[str] | None = None, held: int = HELD):
         super().__init__()
         self.starts, self.only, self.held = starts, only, held
 
@@ -182,21 +184,27 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, how: Fit = Fit()) -
 
     def count(batches):
         """Documents that have a feature; of toxic ones also where it first stands, as copies of a text all say the same."""
-        known = _Known(how.starts)
+        known, good, bad = _Known(how.starts), Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            found = [(f, c, n, 0) for (f, c), n in bad.items()] + [(f, -1, 0, n) for f, n in good.items()]
+            bad.clear(), good.clear()
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 4, kinds, strict=True)], ["feature", "around", "bad", "good"])
+
         for batch in batches:
-            good: Counter = Counter()
-            bad: Counter = Counter()
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if y <= 0:
+            for y, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                if y.as_py() > 0:
+                    bad["", 0] += 1
+                    around = first_places(text, how)
+                    bad.update((f, around[plain(f)]) for f in doc_features(text, how, known))
+                else:
                     good.update(doc_features(text, how, known))
                     good[""] += 1
-                    continue
-                bad["", 0] += 1
-                around = first_places(text, how)
-                bad.update((f, around[plain(f)]) for f in doc_features(text, how, known))
-            found = [(f, c, n, 0) for (f, c), n in bad.items()] + [(f, -1, 0, n) for f, n in good.items()]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 4, kinds, strict=True)], ["feature", "around", "bad", "good"])
+                if len(bad) + len(good) > HELD:
+                    yield counted()
+        yield counted()
 
     each = rows.mapInArrow(count, "feature string, around long, bad long, good long").groupBy("feature", "around").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counted = each.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("places"))
