@@ -154,6 +154,11 @@ def tag_cloud(freq: DataFrame, count: str) -> DataFrame:
     return freq.crossJoin(F.broadcast(top)).select(*freq.columns, F.round(0.82 + 1.18 * share, 6).alias("size"), F.round(0.5 + 0.5 * share, 6).alias("opacity"))
 
 
+def bar_order(rows: DataFrame, value: str, ordinal: str) -> DataFrame:
+    """I4: rows of a chart with `at`, their place by ascending value, ties in input order."""
+    return rows.withColumn("at", F.row_number().over(Window.orderBy(value, ordinal)))  # a chart's bars
+
+
 def context_size(rows: DataFrame, section: str, text: str) -> DataFrame:
     """A quarter of the characters per section."""
     return rows.groupBy(section).agg(F.floor(F.sum(F.length(text)) / 4).alias("tokens"))

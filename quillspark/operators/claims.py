@@ -37,6 +37,11 @@ def _products(left: pa.Table, right: pa.Table | None, group: str, ordinal: str,
     return rows, columns, (vectors[a] @ vectors[b].T)[rows, columns], ids[a], ids[b]
 
 
+def _whole(items: DataFrame, *columns: str) -> DataFrame:
+    """These columns; rows that lack one pair with nothing."""
+    return items.select(*columns).dropna()
+
+
 def match_pairs(items: DataFrame, group: str, ordinal: str, vector: str, least: float, most: int | None = None) -> DataFrame:
     """Pairs a < b of different groups with inner product >= least; with `most`, the best only (ties by a, b).
 
@@ -60,7 +65,7 @@ def match_pairs(items: DataFrame, group: str, ordinal: str, vector: str, least:
         return pa.table({"a": low, "b": high, "group_a": pc.if_else(mask, h, g), "group_b": pc.if_else(mask, g, h), "similarity": product})
 
     blocks = max(1, -(-items.count() // BLOCK))
-    found = within(items.select(ordinal, group, vector), F.pmod(F.xxhash64(ordinal), F.lit(blocks)), blocks, compare, schema)
+    found = within(_whole(items, ordinal, group, vector), F.pmod(F.xxhash64(ordinal), F.lit(blocks)), blocks, compare, schema)
     return found if most is None else top_pairs(found, most)
 
 
@@ -173,7 +178,7 @@ def similarity_stats(items: DataFrame, group: str, ordinal: str, vector: str, le
         return pa.table({"low": [None if none else float(product.min())], "sum": [float(product.sum())], "high": [None if none else float(product.max())], "n": [len(product)], "over": [int((product >= least).sum())]})
 
     blocks = max(1, -(-items.count() // BLOCK))
-    parts = within(items.select(ordinal, group, vector), F.pmod(F.xxhash64(ordinal), F.lit(blocks)), blocks, compare, "low double, sum double, high double, n long, over long")
+    parts = within(_whole(items, ordinal, group, vector), F.pmod(F.xxhash64(ordinal), F.lit(blocks)), blocks, compare, "low double, sum double, high double, n long, over long")
     return parts.agg(F.min("low").alias("low"), F.try_divide(F.sum("sum"), F.sum("n")).alias("mean"), F.max("high").alias("high"), F.coalesce(F.sum("over"), F.lit(0)).alias("over"))
 
 

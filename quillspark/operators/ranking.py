@@ -66,7 +66,7 @@ ASKED, ITEMS = 512, 8192
 def group_top_k(items: DataFrame, queries: DataFrame, group: str, ordinal: str, k: int) -> DataFrame:
     """For each query and group, the k items of largest inner product (to nine digits), ties to the smaller ordinal.
 
-    items: group, ordinal, vec; queries: query_id, qvec. Blocks of queries against blocks of items: a matrix product
+    items: group, ordinal, vec; queries: query_id, qvec; rows that lack one take no part. Blocks of queries against blocks of items: a matrix product
     a task, which keeps each query's and group's own k best; those merge.
     """
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
@@ -91,7 +91,7 @@ def group_top_k(items: DataFrame, queries: DataFrame, group: str, ordinal: str,
         return pa.table(dict(zip(names, cols, strict=True)))
 
     schema = f"query_id {dict(queries.dtypes)['query_id']}, `{group}` {kinds[group]}, `{ordinal}` {kinds[ordinal]}, similarity double"
-    found = across(queries.select("query_id", "qvec"), items.select(group, ordinal, "vec"), ASKED, ITEMS, "query_id", ordinal, compare, schema)
+    found = across(queries.select("query_id", "qvec").dropna(), items.select(group, ordinal, "vec").dropna(), ASKED, ITEMS, "query_id", ordinal, compare, schema)
     order = Window.partitionBy("query_id", group).orderBy(F.desc("similarity"), ordinal)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -267,6 +267,12 @@ def missing_values(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", tx.is_missing(v).alias("missing"))
 
 
+@query("SELECT p_brand, n, row_number() OVER (ORDER BY n, p_brand)::INT AS \"at\" FROM (SELECT p_brand, count(*)::BIGINT AS n FROM part GROUP BY p_brand)")
+def bar_order(spark, sf_dir):
+    """I4."""
+    return ag.bar_order(t(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), "n", "p_brand")
+
+
 @query()
 def same_titles(spark, sf_dir):
     """Pairs of titles alike, the candidates of fuzzy_dedup; held against all pairs in the tests."""

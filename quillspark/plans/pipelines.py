@@ -7,6 +7,7 @@ passages are retrieved by Spark, and the language model is called from the drive
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +23,7 @@ from ..operators import resolution as rs
 from ..operators import synthesis as sy
 from ..operators.embedding import Embedder, embed, hashing_embedder
 from ..sources import connectors as cn
+from ..sources import files
 from ..tables import stored
 from . import service as sv
 
@@ -59,6 +61,24 @@ def search(papers: DataFrame, full_texts: DataFrame, query: str, target: int = 1
     return SearchResult(final.orderBy("rank"), validation, ft.gate_stats(gated, F.col("status") == "VALID"), chunks)
 
 
+def acquire_texts(papers: DataFrame, cache: str, fetch: Callable[[str], str | None]) -> DataFrame:
+    """The cache's paper_id, full_text after what papers lack there was fetched, sectioned, cleaned and added.
+
+    papers: paper_id, pdf_url, abstract. Without a link, or where fetching or reading gives no text, the abstract is
+    cached in its place; papers with neither stay out, and are asked for again the next time.
+    """
+    spark = papers.sparkSession
+    missing = stored(papers.join(files.read_cache(spark, cache).select("paper_id"), "paper_id", "left_anti").dropDuplicates(["paper_id"]), "missing")
+    got = stored(files.fetched(missing, fetch).where("raw IS NOT NULL"), "fetched")  # asked for once
+    cut = ft.keep_sections(ft.split_sections(got, "paper_id", F.col("raw")))
+    cleaned = ft.clean_text(cut, ["paper_id", "section_ord", "section_name"], "text").where("text <> ''")
+    full = ft.round_trip_text(cleaned.select("paper_id", "section_ord", "section_name", "text"), "paper_id").withColumnRenamed("text", "full_text")
+    abstract = F.nullif(tx.strip(F.col("abstract")), F.lit(""))
+    rest = missing.join(full.select("paper_id"), "paper_id", "left_anti").where(abstract.isNotNull()).select("paper_id", F.concat(F.lit("Abstract\n"), abstract).alias("full_text"))
+    files.append_cache(full.unionByName(rest), cache)
+    return files.read_cache(spark, cache)
+
+
 def told(papers: DataFrame, query: str, service: sv.Service) -> DataFrame:
     """K2, K3: papers with ai_summary and ai_reason. Without a model both are columns; with one, the papers shown are few."""
     if service.model is None:

@@ -28,6 +28,22 @@ def documents(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]
     return rows.mapInPandas(run, "paper_id string, text string")
 
 
+def fetched(papers: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
+    """A10: paper_id, raw: what fetch(pdf_url) gives; null where it gives nothing or fails, so one paper never fails others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, url in zip(batch.paper_id, batch.pdf_url, strict=True):
+                try:
+                    out.append((key, fetch(url) or None))
+                except Exception:  # noqa: BLE001  a download or a file may be broken in any way
+                    out.append((key, None))
+            yield pd.DataFrame(out, columns=["paper_id", "raw"])
+
+    return papers.where(F.coalesce("pdf_url", F.lit("")) != "").select("paper_id", "pdf_url").mapInPandas(run, "paper_id string, raw string")
+
+
 def append_cache(rows: DataFrame, path: str) -> None:
     """Adds rows of (paper_id, full_text) to the text cache."""
     rows.select("paper_id", "full_text").write.mode("append").parquet(path)

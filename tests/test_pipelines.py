@@ -129,6 +129,47 @@ def test_embedding_chain_and_scores(spark):
     assert [r.rerank_score for r in embedding.cross_score(rows, "q", "t", lambda: lambda pairs: [len(t) for _, t in pairs]).collect()] == [3.0, 0.0]
 
 
+def test_texts_are_acquired_through_the_cache(spark, tmp_path):
+    cache, asked = str(tmp_path / "cache"), str(tmp_path / "asked")
+
+    def fetch(url):
+        with open(asked, "a") as out:
+            out.write(url + "\n")
+        if url == "broken":
+            raise OSError("403")
+        return "" if url == "empty" else "Abstract\nshort one\nResults\nok  then\n12\nReferences\nx"
+
+    rows = [("a", "good", "A"), ("b", "broken", " abstract of b "), ("c", None, "abstract of c"), ("d", "empty", None), ("a", "good", "A")]
+    ps = spark.createDataFrame(rows, "paper_id string, pdf_url string, abstract string")
+    want = {"a": "Abstract\nshort one\n\nResults\nok then", "b": "Abstract\nabstract of b", "c": "Abstract\nabstract of c"}
+    assert {r.paper_id: r.full_text for r in pl.acquire_texts(ps, cache, fetch).collect()} == want
+    assert sorted(open(asked).read().split()) == ["broken", "empty", "good"]
+    assert {r.paper_id: r.full_text for r in pl.acquire_texts(ps, cache, fetch).collect()} == want
+    assert sorted(open(asked).read().split()) == ["broken", "empty", "empty", "good"]
+
+
+def test_spring_layout():
+    from quillspark.operators.layout import spring_layout
+
+    nodes = [f"{g}{i}" for g in "ab" for i in range(5)]
+    edges = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(5) for j in range(i)]
+    at = spring_layout(nodes, [*edges, ("a0", "nobody")])
+    assert at == spring_layout(nodes, edges) and len(at) == 10 and max(abs(c) for p in at.values() for c in p) <= 1
+    gap = lambda a, b: ((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5
+    near = [gap(*e) for e in edges]
+    assert sum(near) / len(near) < min(1.0, sum(gap(f"a{i}", f"b{j}") for i in range(5) for j in range(5)) / 25)
+    assert spring_layout([], []) == {} and len(spring_layout(["x"], [])) == 1
+
+
+def test_tables_and_keys(spark, tmp_path):
+    import hashlib
+
+    files.write_table(spark.range(3), str(tmp_path / "out"), "json")
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    digest = hashlib.sha256(b'{"a": 1, "b": [2]}').hexdigest()[:24]
+    assert sv.cache_key("Agent", {"b": [2], "a": 1}, "v2", "paper") == f"paper::Agent::v2::{digest}" and sv.cache_key("Agent", {"b": [2], "a": 1}, "v2") == f"Agent::v2::{digest}"
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 page one")
     (tmp_path / "b.pdf").write_bytes(b"<html>")
