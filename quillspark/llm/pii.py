@@ -32,6 +32,8 @@ KINDS = [
 NAMES = [k.name for k in KINDS]
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _TERM = r"\p{L}{4,}"
+#: Disclosing terms up to so many (some 30 MB) are sent to the scan of the texts; more are joined by sorting.
+BROADCAST = 500_000
 
 
 @dataclass(frozen=True)
@@ -92,12 +94,12 @@ def _entity() -> Column:
 
 
 def disclosing(docs: DataFrame, rows: DataFrame, base: DataFrame, how: Disclosure) -> DataFrame:
-    """Terms that disclose an entity they stand near somewhere: a row per `term`. Rows of the pairs' terms are counted
-    in all texts; Spark sends those terms to the scan if their table is small, and sorts both sides if not."""
+    """Terms that disclose an entity they stand near somewhere: a row per `term`. All terms of all texts are counted, each
+    task its own first, and only then joined: what is shuffled grows with the vocabulary of tasks, at every size alike."""
     near = durable(_near(base, how.window), "near")
     pairs = durable(near.groupBy("entity", "term").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("rid").alias("n_te")), "pairs")
-    terms = durable(pairs.select("term").distinct(), "candidates")
-    known = _words(docs).join(terms, "term", "left_semi").groupBy("term").count()
+    terms = pairs.select(F.col("term").alias("t")).distinct()
+    known = _words(docs).groupBy("term").count().join(terms, F.col("term") == F.col("t")).drop("t")  # inner: a semi join would be moved below the counting
     own = base.groupBy(_entity()).agg(F.count_distinct("rid").alias("n_e"))
     total = float(max(1, rows.count()))
     told = lambda p: F.ln(p * total / F.col("n_e")) >= how.share * F.ln(F.lit(total) / F.col("n_e"))
@@ -117,6 +119,8 @@ def _places(docs: DataFrame, rows: DataFrame, strong: DataFrame) -> DataFrame:
     """rid, kind 0, start, end of strong terms in every text. A text is read along once, and only what is strong is kept."""
     if strong.isEmpty():
         return rows.select("rid", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
+    if strong.count() <= BROADCAST:
+        strong = F.broadcast(strong)
     told = durable(_words(docs, _key()).join(strong, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("terms")), "told")
     text = F.col("text").cast("string")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("got"))
