@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, language, mixing, near_dedup, packing, pii, quality, secrets, toxicity
+from . import chat, exact_topk, interaction, language, mixing, near_dedup, packing, pii, quality, secrets, toxicity
 from .common import WORD, hold_out, table
 
 
@@ -72,8 +72,13 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by language."""
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    own = [op1_quality_rules, op2_secret_scan, op3_language_id, op4_near_dedup, op5_source_mix, op6_pii, op7_exact_topk, op8_chat_format, op9_toxicity, op10_best_fit_pack]
+    own = [op1_quality_rules, op2_secret_scan, op3_language_id, op4_near_dedup, op5_source_mix, op6_pii, op7_exact_topk, op8_chat_format, op9_toxicity, op10_best_fit_pack, op11_filter_audit]
     return {f.__name__: f for f in own}
 
 
@@ -127,6 +132,17 @@ g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(1
 SELECT conv_id::BIGINT AS conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"""
 
 
+_AUDIT_SQL = rf"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+l AS (SELECT doc_id, min(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS x FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, x, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic, len(list_filter(x, lambda b: b)) AS k FROM f GROUP BY part, x),
+p AS (SELECT [a.i, b.i, c.i, d.i, 15 - a.i - b.i - c.i - d.i] AS o FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i) WHERE len(list_distinct([a.i, b.i, c.i, d.i])) = 4),
+s AS (SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, unnest(range(1, 6)) AS step, o FROM p),
+t AS (SELECT part, filter_order, step, n, good, toxic, k, x[o[step]] AS fails, len(list_filter(o[1:step - 1], lambda i: x[i])) > 0 AS earlier FROM c, s)
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND k = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0)::BIGINT AS toxic_lost, coalesce(sum(n * (120 // greatest(k, 1))) FILTER (fails), 0)::BIGINT AS shapley FROM t GROUP BY part, filter_order, step"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express. Trained models, spans that corpus statistics add and packing are tested otherwise."""
-    return {"op1_quality_rules": _quality_sql(), "op4_near_dedup": _DEDUP_SQL, "op5_source_mix": _MIX_SQL, "op7_exact_topk": _TOPK_SQL, "op8_chat_format": _CHAT_SQL}
+    return {"op1_quality_rules": _quality_sql(), "op4_near_dedup": _DEDUP_SQL, "op5_source_mix": _MIX_SQL, "op7_exact_topk": _TOPK_SQL, "op8_chat_format": _CHAT_SQL, "op11_filter_audit": _AUDIT_SQL}
