@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, interaction, language, mixing, near_dedup, packing, phrases, pii, quality, secrets, toxicity
+from . import chat, exact_topk, interaction, language, mixing, near_dedup, packing, phrases, pii, quality, secrets, substrings, toxicity
 from .common import WORD, hold_out, table
 
 
@@ -77,13 +77,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without passages of 20 words that start earlier."""
+    found = substrings.deduplicate(table(spark, sf_dir, "documents"), substrings.Plan())
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 strongest phrases of each language."""
     return phrases.collocations(table(spark, sf_dir, "documents"), phrases.Plan())
 
 
 def queries() -> dict:
-    own = [op1_quality_rules, op2_secret_scan, op3_language_id, op4_near_dedup, op5_source_mix, op6_pii, op7_exact_topk, op8_chat_format, op9_toxicity, op10_best_fit_pack, op11_filter_audit, op13_collocations]
+    own = [op1_quality_rules, op2_secret_scan, op3_language_id, op4_near_dedup, op5_source_mix, op6_pii, op7_exact_topk, op8_chat_format, op9_toxicity, op10_best_fit_pack, op11_filter_audit, op12_substring_dedup, op13_collocations]
     return {f.__name__: f for f in own}
 
 
@@ -148,6 +154,12 @@ SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT fails
   coalesce(sum(good) FILTER (fails AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0)::BIGINT AS toxic_lost, coalesce(sum(n * (120 // greatest(k, 1))) FILTER (fails), 0)::BIGINT AS shapley FROM t GROUP BY part, filter_order, step"""
 
 
+_REPEATS_SQL = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20), k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM i),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM k WHERE n > 1), p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM w),
+r AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.p) FILTER (g.p IS NULL) AS kept, count(g.p) AS n_removed FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)"""
+
 _PHRASES_SQL = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d), i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), g AS (SELECT lang, w, i, unnest(range(1, 5)) AS k FROM i),
 f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM g WHERE i + k - 1 <= len(w) GROUP BY ALL), n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
@@ -161,4 +173,4 @@ SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BI
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express. Trained models, spans that corpus statistics add and packing are tested otherwise."""
-    return {"op1_quality_rules": _quality_sql(), "op4_near_dedup": _DEDUP_SQL, "op5_source_mix": _MIX_SQL, "op7_exact_topk": _TOPK_SQL, "op8_chat_format": _CHAT_SQL, "op11_filter_audit": _AUDIT_SQL, "op13_collocations": _PHRASES_SQL}
+    return {"op1_quality_rules": _quality_sql(), "op4_near_dedup": _DEDUP_SQL, "op5_source_mix": _MIX_SQL, "op7_exact_topk": _TOPK_SQL, "op8_chat_format": _CHAT_SQL, "op11_filter_audit": _AUDIT_SQL, "op12_substring_dedup": _REPEATS_SQL, "op13_collocations": _PHRASES_SQL}
