@@ -118,39 +118,66 @@ def seeds(rows: DataFrame) -> DataFrame:
     return each.join(shared, "hash").select("hash", "n", "doc", "version", "at")
 
 
-def _ends(doc: int, version: int, text: bytes, own: dict[str, np.ndarray], plan: Plan) -> list[tuple]:
-    """Rows of one document: its matches between their outer anchors, the ends of matches, and its hubs."""
-    h = _hashes(text.split())
+def _around(h: np.ndarray, at: np.ndarray, plan: Plan) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(words' hashes one after the other, how many are each anchor's) left and right of anchors, nearest first."""
+    step = np.arange(plan.reach)
+    left, right = at[:, None] - 1 - step, at[:, None] + plan.seed + step
+    return [(h[i[ok]], ok.sum(axis=1)) for i, ok in ((left, left >= 0), (right, right < len(h)))]
+
+
+def _ends(h: np.ndarray, doc: int, version: int, own: dict[str, np.ndarray], plan: Plan) -> tuple[dict, dict, dict]:
+    """Of one document, by words' hashes and seeds: its matches between their outer anchors, the ends of matches, and its hubs."""
     place, first = np.unique(own["at"], return_index=True)
     own = {k: v[first] for k, v in own.items()}
-    left = lambda p: h[max(0, p - plan.reach) : p][::-1].view(np.int64)
-    right = lambda p: h[p + plan.seed : p + plan.least].view(np.int64)
-    none = (None, None, None)
     hub = (own["hub_doc"] == doc) & (own["hub_version"] == version) & (own["hub_at"] == place)
-    out = [(doc, version, _HUB, own["hash"][i], None, None, left(place[i]), right(place[i]), *none) for i in np.flatnonzero(hub)]
+    left, right = _around(h, place[hub], plan)
+    hubs = {"hash": own["hash"][hub], "left": left, "right": right}
     met = np.flatnonzero(~hub)
     met = met[np.lexsort((place[met], place[met] - own["hub_at"][met], own["hub_version"][met], own["hub_doc"][met]))]
-    if not len(met):
-        return out
     p = place[met]
     line = np.stack([own["hub_doc"][met], own["hub_version"][met], p - own["hub_at"][met]])
-    apart = np.concatenate([[True], (line[:, 1:] != line[:, :-1]).any(axis=0) | (p[1:] - p[:-1] > plan.seed)])
-    begin, end = np.flatnonzero(apart), np.append(np.flatnonzero(apart)[1:], len(p)) - 1
-    out += [(doc, version, _MATCH, None, a, b, None, None, *none) for a, b in zip(p[begin].tolist(), (p[end] + plan.seed).tolist(), strict=True) if b - a >= plan.least]
+    begins = np.flatnonzero(np.concatenate([[True], (line[:, 1:] != line[:, :-1]).any(axis=0) | (p[1:] - p[:-1] > plan.seed)])) if len(p) else np.zeros(0, np.int64)
+    stops = np.append(begins, len(p))[1:] - 1
+    long = p[stops] + plan.seed - p[begins] >= plan.least
+    matched = {"start": p[begins][long], "stop": p[stops][long] + plan.seed}
     # windows that hold an end, and whose anchor occurs a third time: they may repeat another than the hub
+    ends = np.union1d(begins, stops)
+    at = p[ends]
     many = np.zeros(len(h), bool)
     many[place] = own["n"] > 2
     window = many[owners(h, plan)[1]]
-    for i in np.union1d(begin, end):
-        at = int(p[i])
-        starts = np.arange(max(0, at - plan.reach), min(at, len(window) - 1) + 1)
-        starts = starts[window[starts]]
-        words = h[starts[:, None] + np.arange(plan.least)]
-        w1, w2 = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-        for column in words.T:
-            w1, w2 = w1 * _ODD + column, (w2 + _mix(column)) * _OTHER
-        out.append((doc, version, _END, own["hash"][met[i]], at, None, left(at), right(at), starts.astype(np.int32), _mix(w1).view(np.int64), _mix(w2).view(np.int64)))
-    return out
+    starts = at[:, None] - plan.reach + np.arange(plan.reach + 1)
+    ok = (starts >= 0) & (starts < len(window))
+    ok &= window[np.where(ok, starts, 0)]
+    begun = starts[ok]
+    w1, w2 = np.zeros(len(begun), np.uint64), np.zeros(len(begun), np.uint64)
+    for j in range(plan.least):
+        column = h[begun + j]
+        w1, w2 = w1 * _ODD + column, (w2 + _mix(column)) * _OTHER
+    left, right = _around(h, at, plan)
+    sizes = ok.sum(axis=1)
+    return matched, {"hash": own["hash"][met[ends]], "start": at, "left": left, "right": right, "starts": (begun, sizes), "w1": (_mix(w1), sizes), "w2": (_mix(w2), sizes)}, hubs
+
+
+_COLUMNS = {"hash": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "left": pa.list_(pa.int64()), "right": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "w1": pa.list_(pa.int64()), "w2": pa.list_(pa.int64())}
+
+
+def _batch(kind: int, held: list[tuple[int, int, dict]]) -> pa.RecordBatch:
+    """Rows of one kind from several documents; columns that the kind lacks are null."""
+    first = next(iter(held[0][2]))
+    counts = [len(x[first]) for _, _, x in held]
+    n = sum(counts)
+    columns = [pa.array(np.repeat(np.array([x[i] for x in held], np.int64), counts)) for i in (0, 1)] + [pa.array(np.full(n, kind, np.int32))]
+    for name, dtype in _COLUMNS.items():
+        if name not in held[0][2]:
+            columns.append(pa.nulls(n, dtype))
+        elif pa.types.is_list(dtype):
+            values, sizes = (np.concatenate([x[name][i] for _, _, x in held]) for i in (0, 1))
+            values = values.view(np.int64) if dtype.value_type == pa.int64() else values.astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values)))
+        else:
+            columns.append(pa.array(np.concatenate([x[name] for _, _, x in held]).astype(np.int64)).cast(dtype))
+    return pa.RecordBatch.from_arrays(columns, ["doc", "version", "kind", *_COLUMNS])
 
 
 def matches(docs: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
@@ -159,21 +186,30 @@ def matches(docs: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
     fields = ["at", "n", "hash", "hub_doc", "hub_version", "hub_at"]
     led = found.join(hubs, "hash").select("doc", "version", F.struct("at", "n", "hash", F.col("hub.doc").alias("hub_doc"), F.col("hub.version").alias("hub_version"), F.col("hub.at").alias("hub_at")).alias("s"))
     stars = durable(led.groupBy("doc", "version").agg(F.collect_list("s").alias("s")), "stars")
-    names = [c.split()[0] for c in _ENDS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
+        held: tuple[list, list, list] = ([], [], [])
+        n = 0
+
+        def told():
+            for kind, rows in enumerate(held):
+                rows = [r for r in rows if len(next(iter(r[2].values())))]
+                if rows:
+                    yield _batch(kind, rows)
+
         for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                held = batch.column(3)[k].values
-                own = {f: held.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields}
-                rows += _ends(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), own, plan)
-                if len(rows) > 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            lists = batch.column(3)
+            edges = lists.offsets.to_numpy()
+            seeds_ = {f: lists.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields}
+            for k, (doc, version) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = {f: v[edges[k] : edges[k + 1]] for f, v in seeds_.items()}
+                for rows, x in zip(held, _ends(_hashes(batch.column(2)[k].as_py().split()), doc, version, own, plan), strict=True):
+                    rows.append((doc, version, x))
+                    n += len(next(iter(x.values())))
+                if n > 20_000:
+                    yield from told()
+                    held, n = ([], [], []), 0
+        yield from told()
 
     return docs.join(stars, ["doc", "version"]).select("doc", "version", "text", "s").mapInArrow(run, _ENDS)
 
