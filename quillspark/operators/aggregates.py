@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import NOT_FOUND, NOT_REPORTED
 from ..functions import text as tx
+from ..tables import numbered, stored
+from .blocks import matrix
 
 
 def frequency(rows: DataFrame, category: Column, value: Column, ordinal: str) -> DataFrame:
     """Category, token, n, first; a token repeated in a row counts each time; rank by count, then first seen."""
     tokens = rows.select(category.alias("category"), F.col(ordinal).alias("o"), F.posexplode(tx.multi_values(value)).alias("p", "token"))
     counted = tokens.groupBy("category", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "p")).alias("first"))
-    order = Window.partitionBy("category").orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(order)).select("category", "token", "n", "rank")
+    ranked = numbered(counted, ["category"], [F.desc("n"), F.asc("first")], "rank")
+    return ranked.select("category", "token", "n", F.col("rank").cast("int").alias("rank"))
 
 
 def unpivot(rows: DataFrame, ordinal: str, columns: list[str]) -> DataFrame:
@@ -65,34 +70,144 @@ def landscape(rows: DataFrame, category: str, value: str, most: int = 12) -> Dat
     return made.withColumn("at", F.row_number().over(order)).where((F.col("level") > 0) | (F.col("at") <= most)).drop("at")
 
 
+#: Items of a table that one task takes after each other; clusters of a block that they are held against.
+BATCH, BLOCK = 2048, 4096
+
+
 def cluster(items: DataFrame, table: str, ordinal: str, vector: str, least: float) -> DataFrame:
-    """Greedy clusters in order, one sequential pass per table: an item joins the first cluster whose
-    normalised running centroid it meets at `least` or more, else starts one. Adds `cluster`.
+    """Greedy clusters in order: an item joins the first cluster whose normalised running centroid it meets at
+    `least` or more, else starts one. Adds `cluster`, by which each table's clusters are numbered from 0.
 
-    Tables are statements per report (tens to hundreds each); work over many tables is parallel.
+    Tables of up to BATCH items are folded whole, in parallel. Those of more go in rounds of BATCH items: in parallel, the items
+    are held against all clusters as they stood before the round; then one task goes through the round's items in order, and needs
+    only the clusters that some of them met, and those that the round itself has changed, for a cluster is first changed by an item that
+    met it as it stood. So the order's result is exact, and no task holds more than a round.
     """
-    schema = T.StructType([*items.schema.fields, T.StructField("cluster", T.IntegerType())])
+    held = stored(items.withColumn("_table", F.coalesce(F.col(table).cast("string"), F.lit(""))), "items")
+    large = stored(held.groupBy("_table").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BATCH), "large")
+    schema = T.StructType([*held.schema.fields, T.StructField("cluster", T.IntegerType())])
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(ordinal)
-        sums = np.zeros((0, 0))
-        out = []
+        sums, found = _Clusters(), []
         for v in group[vector]:
-            v = np.asarray(v, dtype=np.float64)
-            if not len(sums):
-                sums = v[None, :].copy()
-                out.append(0)
-                continue
-            hits = np.flatnonzero((sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-8)) @ v >= least)
-            if len(hits):
-                sums[hits[0]] += v
-                out.append(int(hits[0]))
+            found.append(sums.take(np.asarray(v, dtype=np.float64), least))
+        return group.assign(cluster=np.array(found, dtype=np.int32))
+
+    done = held.join(large, "_table", "left_anti").groupBy("_table").applyInPandas(fold, schema)
+    most = large.agg(F.max("_n")).first()[0]
+    if most is not None:
+        done = done.unionByName(_rounds(held.join(large.select("_table"), "_table", "left_semi"), ordinal, vector, least, -(-most // BATCH)))
+    return done.drop("_table")
+
+
+class _Clusters:
+    """Running sums of clusters, some of which may be left out, each with its number."""
+
+    def __init__(self, first: int = 0):
+        self.n, self.next = 0, first
+        self.ids, self.sums = np.zeros(16, np.int64), np.zeros((16, 0))
+
+    def add(self, number: int, v: np.ndarray) -> None:
+        if self.sums.shape[1] < len(v):
+            self.sums = np.pad(self.sums, ((0, 0), (0, len(v) - self.sums.shape[1])))
+        if self.n == len(self.ids):
+            self.ids, self.sums = np.pad(self.ids, (0, self.n)), np.pad(self.sums, ((0, self.n), (0, 0)))
+        self.ids[self.n], self.sums[self.n, : len(v)] = number, v
+        self.n += 1
+        self.next = max(self.next, number + 1)
+
+    def meets(self, v: np.ndarray, least: float) -> int | None:
+        """The place of the first cluster, by number, that v meets."""
+        sums = self.sums[: self.n]
+        hits = np.flatnonzero((sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-8)) @ v >= least)
+        return int(hits[np.argmin(self.ids[hits])]) if len(hits) else None
+
+    def take(self, v: np.ndarray, least: float) -> int:
+        """The number of the cluster that v joins or starts."""
+        at = self.meets(v, least) if self.n else None
+        if at is None:
+            self.add(self.next, v)
+            return self.next - 1
+        self.sums[at] += v
+        return int(self.ids[at])
+
+
+_STEP = "_table string, kind int, rank long, cluster long, v array<double>"
+
+
+def _rounds(held: DataFrame, ordinal: str, vector: str, least: float, rounds: int) -> DataFrame:
+    """The clusters of tables of more than BATCH items, see cluster()."""
+    spark = held.sparkSession
+    ranked = stored(numbered(held, ["_table"], [ordinal], "_rank"), "ranked")
+    vectors = ranked.select("_table", F.col("_rank").alias("rank"), F.col(vector).cast("array<double>").alias("v"))
+    sums = spark.createDataFrame([], "_table string, cluster long, v array<double>")
+    found = []
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def against(asked: pa.Table, there: pa.Table) -> pa.Table:
+        """Clusters that items may meet as they stand; a little more than those that they do, so that the last digit decides nothing."""
+        name = asked.column("_table").slice(0, 1).to_pylist() if asked.num_rows else []
+        if not asked.num_rows or not there.num_rows:
+            return pa.table({"_table": pa.array([], pa.string()), "rank": pa.array([], pa.int64()), "cluster": pa.array([], pa.int64())})
+        a, b = matrix(asked.column("v")), matrix(there.column("v"))
+        width = max(a.shape[1], b.shape[1])
+        a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+        row, column = np.nonzero(a @ (b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-8)).T >= least - 1e-9 * max(1.0, abs(least)))
+        return pa.table({"_table": pa.array(name * len(row), pa.string()), "rank": asked.column("rank").take(pa.array(row)), "cluster": there.column("cluster").take(pa.array(column))})
+
+    def step(rows: pa.Table) -> pa.Table:
+        kinds, ranks, numbers, held_ = (rows.column(c).to_pylist() for c in ("kind", "rank", "cluster", "v"))
+        name = rows.column("_table")[0].as_py()
+        old, met, items_, first = {}, {}, [], 0
+        for kind, rank, number, v in zip(kinds, ranks, numbers, held_, strict=True):
+            v = np.array([x or 0.0 for x in v or ()])
+            if kind == 0:
+                items_.append((rank, v))
+            elif kind == 1:
+                met.setdefault(rank, []).append(number)
+            elif kind == 2:
+                old[number] = v
             else:
-                sums = np.concatenate([sums, v[None, :]])
-                out.append(len(sums) - 1)
-        return group.assign(cluster=np.array(out, dtype=np.int32))
-
-    return items.groupBy(table).applyInPandas(fold, schema)
+                first = number
+        changed, out = _Clusters(first), []
+        for rank, v in sorted(items_, key=lambda x: x[0]):
+            at = changed.meets(v, least) if changed.n else None
+            number = None if at is None else int(changed.ids[at])
+            for c in sorted(met.get(rank, [])):
+                if c in old and (number is None or c < number):
+                    one = _Clusters()
+                    one.add(c, old[c])
+                    if one.meets(v, least) is not None:
+                        changed.add(c, old.pop(c))
+                        number, at = c, changed.n - 1
+                        break
+            if number is None:
+                number = changed.next
+                changed.add(number, v)
+            else:
+                changed.sums[at, : len(v)] += v
+            out.append((name, 0, rank, number, None))
+        out += [(name, 2, None, int(c), s.tolist()) for c, s in zip(changed.ids[: changed.n], changed.sums[: changed.n], strict=True)]
+        cols = list(zip(*out, strict=True))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("_table", "kind", "rank", "cluster", "v"), cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)})
+
+    for r in range(rounds):
+        now = vectors.where((F.col("rank") > r * BATCH) & (F.col("rank") <= (r + 1) * BATCH))
+        blocks = sums.groupBy("_table").agg((F.floor(F.max("cluster") / BLOCK) + 1).cast("int").alias("_blocks"), (F.max("cluster") + 1).alias("_next"))
+        asked = now.join(blocks, "_table").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        hits = stored(asked.groupBy("_table", "_block").cogroup(sums.groupBy("_table", F.floor(F.col("cluster") / BLOCK).cast("int").alias("_block"))).applyInArrow(against, "_table string, rank long, cluster long"), "hits")
+        parts = [
+            now.select("_table", F.lit(0).alias("kind"), "rank", none("long").alias("cluster"), "v"),
+            hits.select("_table", F.lit(1).alias("kind"), "rank", "cluster", none("array<double>").alias("v")),
+            sums.join(hits.select("_table", "cluster").distinct(), ["_table", "cluster"], "left_semi").select("_table", F.lit(2).alias("kind"), none("long").alias("rank"), "cluster", "v"),
+            blocks.join(now.select("_table").distinct(), "_table", "left_semi").select("_table", F.lit(3).alias("kind"), none("long").alias("rank"), F.col("_next").alias("cluster"), none("array<double>").alias("v")),
+        ]
+        done = stored(reduce(DataFrame.unionByName, parts).groupBy("_table").applyInArrow(step, _STEP), "round")
+        fresh = done.where("kind = 2").select("_table", "cluster", "v")
+        found.append(done.where("kind = 0").select("_table", F.col("rank").alias("_rank"), F.col("cluster").cast("int").alias("cluster")))
+        sums = stored(sums.join(fresh, ["_table", "cluster"], "left_anti").unionByName(fresh), "clusters")
+    return ranked.join(reduce(DataFrame.unionByName, found), ["_table", "_rank"]).drop("_rank")
 
 
 def gap_table(clustered: DataFrame, keys: list[str], ordinal: str, text: str, paper: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import text as tx
-from .blocks import codes, matrix, within
+from ..tables import stored
+from .blocks import Cells, codes, matrix
 
 # Which way a term points.
 POSITIVE = ["increase", "increases", "increased", "improve", "improves", "improved", "boost", "raise", "higher", "better", "outperform", "surpass", "succeed"]
@@ -45,7 +46,8 @@ def _whole(items: DataFrame, *columns: str) -> DataFrame:
 def match_pairs(items: DataFrame, group: str, ordinal: str, vector: str, least: float, most: int | None = None) -> DataFrame:
     """Pairs a < b of different groups with inner product >= least; with `most`, the best only (ties by a, b).
 
-    Exact: blocks against blocks, a matrix product a task; what passes leaves it, of `most` its own best.
+    Exact: blocks against blocks, a matrix product a task; what passes leaves it, of `most` its own best. Blocks whose
+    directions are too far apart to reach `least` never meet (see Cells).
     """
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     schema = f"a {kinds[ordinal]}, b {kinds[ordinal]}, group_a {kinds[group]}, group_b {kinds[group]}, similarity double"
@@ -64,8 +66,8 @@ def match_pairs(items: DataFrame, group: str, ordinal: str, vector: str, least:
         mask = pa.chunked_array([pa.array(swap)])
         return pa.table({"a": low, "b": high, "group_a": pc.if_else(mask, h, g), "group_b": pc.if_else(mask, g, h), "similarity": product})
 
-    blocks = max(1, -(-items.count() // BLOCK))
-    found = within(_whole(items, ordinal, group, vector), F.pmod(F.xxhash64(ordinal), F.lit(blocks)), blocks, compare, schema)
+    cells = Cells(_whole(items, ordinal, group, vector), vector, ordinal, BLOCK)
+    found = cells.compare(cells.bounds()[1] >= least, compare, schema)
     return found if most is None else top_pairs(found, most)
 
 
@@ -168,18 +170,42 @@ def evidence_tree(rows: DataFrame) -> DataFrame:
     return rows.groupBy("classification", severity.alias("severity")).agg(F.sort_array(F.collect_list("comparison")).alias("comparisons"))
 
 
+def _pair_sums(items: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(sum of products, number) of all pairs of rows, each once, that differ in the last of keys and agree in the others, without making
+    pairs: the square of a sum, less the squares of its parts. Ordinals that occur once only are in no such pair."""
+    each = items.select(*keys, F.posexplode(vector).alias("_p", "_x"))
+    part = each.groupBy(*keys, "_p").agg(F.sum(F.coalesce(F.col("_x").cast("double"), F.lit(0.0))).alias("_s"))
+    total = part.groupBy(*keys[:-1], "_p").agg((F.pow(F.sum("_s"), 2) - F.sum(F.pow("_s", F.lit(2)))).alias("_d"))
+    counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = counts.groupBy(*keys[:-1]).agg((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))).alias("_d"))
+    return total.agg((F.sum("_d") / 2).alias("sum")).crossJoin(F.broadcast(pairs.agg((F.sum("_d") / 2).cast("long").alias("n"))))  # one row each
+
+
 def similarity_stats(items: DataFrame, group: str, ordinal: str, vector: str, least: float) -> DataFrame:
-    """Lowest, mean and highest inner product of all pairs of different groups, and how many reach `least`; each
-    task sums its blocks' pairs."""
+    """Lowest, mean and highest inner product of all pairs of different groups (and ordinals), and how many reach `least`.
+
+    The mean comes from sums. The extremes are first looked for inside the cells; then only those cells meet whose pairs
+    may lie beyond these, or reach `least`; each task keeps its own figures.
+    """
 
     def compare(left: pa.Table, right: pa.Table | None) -> pa.Table:
         product = _products(left, right, group, ordinal, vector)[2]
         none = not len(product)
-        return pa.table({"low": [None if none else float(product.min())], "sum": [float(product.sum())], "high": [None if none else float(product.max())], "n": [len(product)], "over": [int((product >= least).sum())]})
-
-    blocks = max(1, -(-items.count() // BLOCK))
-    parts = within(_whole(items, ordinal, group, vector), F.pmod(F.xxhash64(ordinal), F.lit(blocks)), blocks, compare, "low double, sum double, high double, n long, over long")
-    return parts.agg(F.min("low").alias("low"), F.try_divide(F.sum("sum"), F.sum("n")).alias("mean"), F.max("high").alias("high"), F.coalesce(F.sum("over"), F.lit(0)).alias("over"))
+        return pa.table({"low": pa.array([None if none else float(product.min())], pa.float64()), "high": pa.array([None if none else float(product.max())], pa.float64()), "over": [int((product >= least).sum())]})
+
+    held = stored(_whole(items, ordinal, group, vector), "items")
+    cells = Cells(held, vector, ordinal, BLOCK)
+    schema, own = "low double, high double, over long", np.eye(cells.cells.num_rows, dtype=bool)
+    inside = stored(cells.compare(own, compare, schema), "inside")
+    first = inside.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+    low, high = cells.bounds()
+    found = [unknown if x is None or np.isnan(x) else x for x, unknown in ((first.low, np.inf), (first.high, -np.inf))]
+    beyond = (high >= least) | (low < found[0]) | (high > found[1])
+    parts = inside.unionByName(cells.compare(beyond & ~own, compare, schema))
+    again = held.join(held.groupBy(ordinal).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(ordinal), ordinal, "left_semi")
+    mean = _pair_sums(held, [group], vector).alias("a").crossJoin(F.broadcast(_pair_sums(again, [ordinal, group], vector)).alias("b"))  # one row each
+    mean = mean.select(F.try_divide(F.coalesce("a.sum", F.lit(0.0)) - F.coalesce("b.sum", F.lit(0.0)), F.coalesce("a.n", F.lit(0)) - F.coalesce("b.n", F.lit(0))).alias("mean"))
+    return parts.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.coalesce(F.sum("over"), F.lit(0)).alias("over")).crossJoin(F.broadcast(mean)).select("low", "mean", "high", "over")
 
 
 def root_cause_edges(pairs: DataFrame) -> DataFrame:
