@@ -6,8 +6,8 @@
    phrase length, in which that place is the pivot: it ends at rarer and infrequent words and at the ends
    of a piece. Each fragment goes to its pivot, equal ones once with their number. A frequent word has
    rarer neighbours almost everywhere, so its fragments are few and short.
-3. A pivot's fragments hold all occurrences of its phrases. They are mined where they arrive: only
-   phrases that contain the pivot's place are made, so no phrase is counted by two pivots. A pivot with
+3. A pivot's fragments hold all occurrences of its phrases. They are mined where they arrive, pivot
+   after pivot: only phrases that contain the pivot's place are made, so no phrase is counted by two pivots. A pivot with
    more places than a task should take is dealt over several, whose sums are added up.
 4. Scores, containment and ranks are joins and groupings of the frequent phrases.
 
@@ -35,7 +35,9 @@ from .common import durable
 _END = b"."
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _END * 10 + b" ")
 #: Tokens that are rewritten at once; bytes of text that are split at once, ended at a piece's end; fragments of a row.
-TOKENS, BYTES, FRAGMENTS = 1_000_000, 4_000_000, 4096
+TOKENS, BYTES, FRAGMENTS = 500_000, 1_000_000, 4096
+_ROUTE = "lang string, pivot string, salt long, salts long, words string, shape binary, times binary"
+_ROUTE_NAMES = [c.split()[0] for c in _ROUTE.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,7 @@ def words(docs: DataFrame, lang: str = "lang") -> DataFrame:
                 counts.pop(_END, None)
                 for w, n in counts.items():
                     held[lang, w] += n
-            if len(held) > TOKENS:
+            if len(held) > TOKENS // 2:
                 yield told()
         yield told()
 
@@ -128,7 +130,7 @@ def _reach(rank: np.ndarray, step: int, longest: int) -> np.ndarray:
 
 
 def _fragments(tokens: list[bytes], lang: str, seed: int, table: np.ndarray, plan: Plan) -> pa.RecordBatch | None:
-    """Rows of pivots with their fragments: lines of the pivot's place, the number of such fragments, and the words."""
+    """Rows of pivots with their fragments: all their words; of each, how many stand left and right of the pivot's place, and how many such fragments there are."""
     known: dict[bytes, int] = {}
     codes = np.fromiter((known.setdefault(w, len(known)) for w in tokens), np.int32, len(tokens))
     vocabulary = list(known)
@@ -152,25 +154,27 @@ def _fragments(tokens: list[bytes], lang: str, seed: int, table: np.ndarray, pla
     window, left, right, pivot, salt, salts = (x[order] for x in (window, left, right, pivot, salt, salts))
     new = np.concatenate([[True], (window[1:] != window[:-1]).any(axis=1)])
     first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(new)))
+    times = np.diff(np.append(first, len(new))).astype(np.int64)
     window, left, right, pivot, salt, salts = (x[first] for x in (window, left, right, pivot, salt, salts))
-    dictionary = pa.array(vocabulary, pa.binary()).cast(pa.string())
-    spelled = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left + right + 1)]), pa.int32()), dictionary.take(pa.array(window[window >= 0])))
-    lines = pc.binary_join_element_wise(pa.array(left).cast(pa.string()), pa.array(times).cast(pa.string()), pc.binary_join(spelled, " "), " ")
     changed = np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (salt[1:] != salt[:-1])])
     begins = np.flatnonzero(changed)
     within = np.arange(len(changed)) - begins[np.cumsum(changed) - 1]
     rows = np.flatnonzero(changed | (within % FRAGMENTS == 0))
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(rows, len(changed)), pa.int32()), lines), "\n")
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), dictionary.take(pa.array(pivot[rows])), pa.array(salt[rows], pa.int64()), pa.array(salts[rows], pa.int64()), joined], ["lang", "pivot", "salt", "salts", "lines"])
+    edges = np.append(rows, len(changed))
+    placed = np.concatenate([[0], np.cumsum(left + right + 1)])[edges]
+    dictionary = pa.array(vocabulary, pa.binary()).cast(pa.string())
+    spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array(placed, pa.int32()), dictionary.take(pa.array(window[window >= 0]))), " ")
+    bytes_of = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), dictionary.take(pa.array(pivot[rows])), pa.array(salt[rows], pa.int64()), pa.array(salts[rows], pa.int64()), spelled, bytes_of(np.stack([left, right], axis=1).astype(np.uint8)), bytes_of(times)], _ROUTE_NAMES)
 
 
 def routed(docs: DataFrame, table: np.ndarray, plan: Plan, lang: str = "lang") -> DataFrame:
-    """lang, pivot, salt, salts, lines: fragments on the way to their pivots."""
+    """Fragments on the way to their pivots, see _fragments."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         held: dict[str, list[bytes]] = {}
+        n = 0
 
         def told(name):
             seed = xxhash.xxh64_intdigest(name.encode(), 42)  # a language's words hash as xxhash64(lang, word) does
@@ -182,28 +186,77 @@ def routed(docs: DataFrame, table: np.ndarray, plan: Plan, lang: str = "lang") -
                     own = held.setdefault(name, [])
                     own += part
                     own.append(_END)
-                    if len(own) >= TOKENS and (out := told(name)) is not None:
-                        yield out
-            while len(held) > 1 and sum(map(len, held.values())) > TOKENS:
-                if (out := told(max(held, key=lambda k: len(held[k])))) is not None:
-                    yield out
+                    n += len(part) + 1
+                    if n >= TOKENS:  # of all languages together; the largest goes
+                        most = max(held, key=lambda k: len(held[k]))
+                        n -= len(held[most])
+                        if (out := told(most)) is not None:
+                            yield out
         for name in list(held):
             if (out := told(name)) is not None:
                 yield out
 
-    return _own(docs, lang).mapInArrow(run, "lang string, pivot string, salt long, salts long, lines string")
+    return _own(docs, lang).mapInArrow(run, _ROUTE)
+
+
+def _mined(words: list[str], shape: bytes, times: bytes, salts: np.ndarray, plan: Plan) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(phrases, their sizes, how often) of whole groups of fragments: those that contain the pivot's place. salts: of each row of words."""
+    spelled = pc.split_pattern(pa.array(words, pa.large_string()), " ")
+    held = spelled.flatten().dictionary_encode()
+    codes = held.indices.to_numpy().astype(np.int64)
+    left, right = np.frombuffer(shape, np.uint8).reshape(-1, 2).astype(np.int64).T
+    n = np.frombuffer(times, np.int64)
+    at = np.cumsum(left + right + 1) - right - 1
+    dealt = salts[np.searchsorted(np.asarray(spelled.offsets), at, "right") - 1] > 1
+    keys, counts, open_ = [], [], []
+    for i in range(plan.longest):
+        for j in range(plan.longest - i):
+            if i + j:
+                own = np.flatnonzero((left >= i) & (right >= j))
+                key = np.full((len(own), plan.longest), -1, np.int32)
+                for k in range(i + j + 1):
+                    key[:, k] = codes[at[own] - i + k]
+                keys.append(key), counts.append(n[own]), open_.append(dealt[own])
+    key, count, open_ = np.concatenate(keys), np.concatenate(counts), np.concatenate(open_)
+    order = np.lexsort(key.T)
+    key, count, open_ = key[order], count[order], open_[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(count, first) if len(first) else count
+    keep = (total >= plan.least) | open_[first]
+    key, total = key[first][keep], total[keep]
+    sizes = (key >= 0).sum(axis=1)
+    texts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), held.dictionary.take(pa.array(key[key >= 0])).cast(pa.string()))
+    return pc.binary_join(texts, " "), sizes, total
 
 
 def frequent(routes: DataFrame, plan: Plan) -> DataFrame:
-    """lang, phrase, size, a: phrases of 2 words and more that occur often enough, mined pivot by pivot."""
-    lines = routes.repartition("lang", "pivot", "salt").select("lang", "pivot", "salt", "salts", F.explode(F.split("lines", "\n")).alias("line")).withColumn("w", F.split("line", " "))
-    parts = lines.select("lang", "pivot", "salt", "salts", F.get("w", 0).cast("int").alias("at"), F.get("w", 1).cast("long").alias("n"), "w")
-    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i + j + 1).alias("size")) for i in range(plan.longest) for j in range(plan.longest - i) if i + j])
-    owned = F.filter(spans, lambda s: (s["i"] <= F.col("at")) & (F.col("at") - s["i"] + s["size"] <= F.size("w") - 2))
-    made = F.transform(owned, lambda s: F.struct(F.array_join(F.slice("w", F.col("at") - s["i"] + 3, s["size"]), " ").alias("phrase"), s["size"].alias("size")))
-    mined = parts.select("lang", "pivot", "salt", "salts", "n", F.explode(made).alias("p")).select("lang", "pivot", "salt", "salts", "n", "p.*")
-    own = mined.groupBy("lang", "pivot", "salt", "salts", "phrase", "size").agg(F.sum("n").alias("a")).where((F.col("salts") > 1) | (F.col("a") >= plan.least))
-    return own.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= plan.least)
+    """lang, phrase, size, a: phrases of 2 words and more that occur often enough, mined pivot by pivot.
+
+    A task takes its pivots one after the other, whole, as many at once as hold about TOKENS fragments.
+    """
+
+    def run(batches):
+        held, seen, lang, last = [], 0, None, None
+
+        def told():
+            phrases, sizes, total = _mined([r[0] for r in held], b"".join(r[1] for r in held), b"".join(r[2] for r in held), np.array([r[3] for r in held]), plan)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(sizes), pa.string()), phrases, pa.array(sizes, pa.int32()), pa.array(total, pa.int64())], ["lang", "phrase", "size", "a"])
+
+        for batch in batches:
+            own, pivot, salt, salts, *rest = (c.to_pylist() for c in batch.columns)
+            for key, m, row in zip(zip(own, pivot, salt, strict=True), salts, zip(*rest, strict=True), strict=True):
+                if held and (key[0] != lang or (seen >= TOKENS and key != last)):
+                    yield told()
+                    held, seen = [], 0
+                lang, last = key[0], key
+                held.append((*row, m))
+                seen += len(row[2]) // 8
+        if held:
+            yield told()
+
+    ordered = routes.repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot", "salt")
+    mined = ordered.mapInArrow(run, "lang string, phrase string, size int, a long")
+    return mined.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= plan.least)
 
 
 def _joined(word: Column, start: Column, size: Column) -> Column:
