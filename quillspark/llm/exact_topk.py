@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,8 @@ def quantise(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
 
 def build(ids: np.ndarray, vectors: np.ndarray, top: float) -> list[Node]:
     """A tree over integer vectors (rows); top: the largest squared norm of all shards."""
-    held = np.concatenate([vectors, np.sqrt(np.maximum(top - (vectors**2).sum(axis=1), 0))[:, None]], axis=1)
+    held = vectors.astype(np.float64)
+    held = np.concatenate([held, np.sqrt(np.maximum(top - (held**2).sum(axis=1), 0))[:, None]], axis=1)
     nodes: list[Node] = []
     todo = [(np.arange(len(ids)), -1)]
     while todo:
@@ -88,8 +90,8 @@ def build(ids: np.ndarray, vectors: np.ndarray, top: float) -> list[Node]:
 
 def search(nodes: list[Node], query: np.ndarray, own_id: int, top: float, k: int) -> list[tuple[int, int]]:
     """The k best (score, vec_id) but those of own_id, best first; ties to the smaller id."""
-    norm = float((query**2).sum())
-    q = np.append(query, 0.0)
+    q = np.append(query.astype(np.float64), 0.0)
+    norm = float((q**2).sum())
     best: list[tuple[int, int]] = []  # heap; the worst kept comes first: (score, -id)
     slack = 1e-6 * (1 + norm + top)
 
@@ -122,7 +124,7 @@ def search(nodes: list[Node], query: np.ndarray, own_id: int, top: float, k: int
             keep = scores >= best[0][0]
             ids, scores = ids[keep], scores[keep]
         if len(ids) > k + 1:  # only the page's own best can enter; its ties stay
-            cut = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            cut = np.sort(scores)[-k - 1] if scores.dtype == object else np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
             ids, scores = ids[scores >= cut], scores[scores >= cut]
         for i, s in zip(ids.tolist(), scores.tolist(), strict=True):
             if i == own_id:
@@ -135,8 +137,17 @@ def search(nodes: list[Node], query: np.ndarray, own_id: int, top: float, k: int
     return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
+_WIDEST = 10**38 - 1
+
+
+def _kind(top: float) -> type:
+    """What inner products are exact in, given the largest squared norm, which bounds them all: doubles; int64, where
+    sums that pass 64 bits on the way come back, as the result does not; Python's integers."""
+    return np.float64 if top < 2.0**53 else np.int64 if top < 2.0**62 else object
+
+
+def _matrix(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
+    out = np.zeros((len(column), width), kind)
     for i, v in enumerate(column.to_pylist()):
         out[i, : len(v)] = v
     return out
@@ -144,11 +155,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def forest(vectors: DataFrame, count: int, width: int, top: float) -> DataFrame:
     """Pages of the trees of quantised vectors, a row per node."""
+    held = np.float64 if _kind(top) is np.float64 else np.int64
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        nodes = build(ids[order], _matrix(group.column("v"), width)[order], top)
+        nodes = build(ids[order], _matrix(group.column("v"), width, held)[order], top)
         shard = group.column("shard")[0].as_py()
         raw = lambda a: None if a is None else np.ascontiguousarray(a).tobytes()
         rows = [(shard, i, n.parent, n.ids is not None, n.radius, n.parent_distance, raw(n.routing), raw(n.ids), raw(n.vectors), raw(n.distances)) for i, n in enumerate(nodes)]
@@ -166,12 +178,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> D
     vectors: vec_id and embedding (array of numbers); other columns are ignored. is_query: a condition
     over vec_id. Vectors null or holding null or non-finite components, and rows of null id, take no part.
     Shorter vectors count as ending in zeros. Rows of the query's own id are not candidates; of queries
-    with equal id the smallest vector asks. Fewer candidates than k: all. An empty table: no rows.
+    with equal id the smallest vector asks. Fewer candidates than k: all. An empty table: no rows. Scores are exact
+    and ranked as such up to 38 digits; one beyond a long is returned as the nearest long, and so is a component
+    before products are made. Very long vectors, repeated rows and columns of any name are as others.
     """
     held = durable(quantise(vectors, scale), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
     whole = held.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(norm).alias("top"), F.count_if(is_query).alias("asked")).first()
     width, top = whole["width"] or 0, whole["top"] or 0.0
+    kind = _kind(top)
     shards, blocks = max(1, -(-whole["n"] // SHARD)), max(1, -(-whole["asked"] // BLOCK))
     pages = durable(forest(held, whole["n"], width, top), "pages")
     asked = held.where(is_query).groupBy("vec_id").agg(F.min("v").alias("q")).select(F.col("vec_id").alias("query_id"), "q")
@@ -182,21 +197,23 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> D
         out = []
         if len(left) and len(right):
             left = left.sort_by("node")
-            get = lambda b, shape, kind=np.float64: np.frombuffer(b, kind).reshape(shape)
+            get = lambda b, shape, of=np.float64: np.frombuffer(b, of).reshape(shape)
             nodes = []
             for r in left.to_pylist():
                 node = Node(get(r["routing"], -1), r["radius"], r["parent"], r["parent_distance"])
                 if r["leaf"]:
                     node.ids = get(r["ids"], -1, np.int64)
-                    node.vectors, node.distances = get(r["vectors"], (len(node.ids), width)), get(r["distances"], -1)
+                    node.vectors, node.distances = get(r["vectors"], (len(node.ids), width), np.float64 if kind is np.float64 else np.int64).astype(kind, copy=False), get(r["distances"], -1)
                 if node.parent >= 0:
                     nodes[node.parent].children.append(len(nodes))
                 nodes.append(node)
-            for query_id, q in zip(right.column("query_id").to_pylist(), _matrix(right.column("q"), width), strict=True):
-                out += [(query_id, i, s) for s, i in search(nodes, q, query_id, top, k)]
+            for query_id, q in zip(right.column("query_id").to_pylist(), _matrix(right.column("q"), width, kind), strict=True):
+                out += [(query_id, i, Decimal(min(max(s, -_WIDEST), _WIDEST))) for s, i in search(nodes, q, query_id, top, k)]
         cols = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)})
 
-    found = dealt.groupBy("shard", "part").cogroup(asked.groupBy("at", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
+    found = dealt.groupBy("shard", "part").cogroup(asked.groupBy("at", "block")).applyInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    score = F.least(F.greatest("score", F.lit(Decimal(-(1 << 63)))), F.lit(Decimal((1 << 63) - 1))).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))

@@ -3,6 +3,7 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat, exact_topk, queries
@@ -106,3 +107,19 @@ def test_chat_typed_parts(spark):
     assert r.formatted == "<|im_start|>user\nsee <\\|image|><|image|><|image|><|image|><|audio|>end<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [(a.turn, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, "image", "s3://a.png", 3), (1, "audio", "b.wav", 1)]
     assert [r.formatted[s.start : s.start + s.length] for s in r.spans] == ["", ""]
+
+
+@pytest.mark.parametrize("size", [3e5, 1e6, 1e9, 1e13])
+def test_scores_of_any_size_are_exact(spark, size):
+    import math
+    import random
+
+    rng = random.Random(int(size))
+    rows = [(i, [rng.uniform(-size, size) for _ in range(16)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=True))
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    want = [(q, k, i, clip(s)) for q in (0, 100, 200) for k, (s, i) in enumerate(sorted(((score(q, i), i) for i in whole if i != q), key=lambda x: (-x[0], x[1]))[:10], 1)]
+    got = exact_topk.top_k(df, F.col("vec_id") % 100 == 0, 10, 1024.0).collect()
+    assert sorted(map(tuple, got)) == want
