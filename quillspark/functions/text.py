@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -223,3 +225,9 @@ def terms(c: Column) -> Column:
     one = F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
     two = F.transform(F.arrays_zip(one.alias("a"), F.slice(one, 2, 1 << 30).alias("b")), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
     return F.concat(one, F.filter(two, lambda t: t.isNotNull()))
+
+
+def terms_of(text: str) -> list[str]:
+    """terms() of a text that is here."""
+    one = re.findall(r"\b\w\w+\b", text.lower())
+    return one + [f"{a} {b}" for a, b in zip(one, one[1:], strict=False)]

@@ -83,7 +83,7 @@ def cluster(items: DataFrame, table: str, ordinal: str, vector: str, least: floa
     only the clusters that some of them met, and those that the round itself has changed, for a cluster is first changed by an item that
     met it as it stood. So the order's result is exact, and no task holds more than a round.
     """
-    held = stored(items.withColumn("_table", F.coalesce(F.col(table).cast("string"), F.lit(""))), "items")
+    held = stored(items.withColumn("_table", F.to_json(F.struct(F.col(table)))), "items")  # a null table is one of its own
     large = stored(held.groupBy("_table").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BATCH), "large")
     schema = T.StructType([*held.schema.fields, T.StructField("cluster", T.IntegerType())])
 

@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Embedder = Callable[[], Callable[[list[str]], list]]
-_loaded: dict[int, object] = {}
+_loaded: dict[bytes, object] = {}
 
 
 def hashing_embedder(width: int = 4096) -> Embedder:
@@ -49,7 +50,8 @@ def first_working(chain: list[Embedder]) -> Embedder | None:
 
 
 def _once(factory: Embedder):
-    key = id(factory)
+    """The factory's model, made once per Python worker. Workers serve many queries, so factories are told apart by what they hold."""
+    key = cloudpickle.dumps(factory)
     if key not in _loaded:
         _loaded[key] = factory()
     return _loaded[key]

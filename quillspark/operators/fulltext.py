@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as tx
+from ..tables import stored
 
 # Canonical sections and the headings that name them.
 SECTION_ALIASES = {
@@ -178,6 +182,22 @@ def gate(ranked: DataFrame, rank: str, valid: Column, target: int) -> DataFrame:
     return out.withColumn("replaced", F.col("final") & (F.col("batch") > 0)).drop("before", "_v")
 
 
+def collect(ranked: DataFrame, rank: str, judge: Callable[[DataFrame], DataFrame], target: int) -> DataFrame:
+    """F3 with an early stop: judge(batch) adds `status` to a batch of max(target, 8) ranks; the next batch is judged only
+    while fewer than `target` are VALID. Rows that were attempted, with gate()'s columns. Each batch is written once judged.
+
+    ranked: at most as many rows as a short list has, ranks from 1; batches are read from it by rank.
+    """
+    size, last = max(target, 8), ranked.agg(F.max(rank)).first()[0] or 0
+    held = stored(ranked, "ranked")
+    batches, valid, at = [], 0, 0
+    while not batches or (valid < target and at < last):
+        batches.append(stored(judge(held.where((F.col(rank) > at) & (F.col(rank) <= at + size))), "batch"))
+        valid += batches[-1].where("status = 'VALID'").count()
+        at += size
+    return gate(reduce(DataFrame.unionByName, batches), rank, F.col("status") == "VALID", target)
+
+
 def gate_stats(gated: DataFrame, valid: Column) -> DataFrame:
     return gated.agg(
         F.count_if("attempted").alias("retrieved"), F.count_if(F.col("attempted") & ~valid).alias("rejected"), F.count_if("replaced").alias("replaced"), F.count_if("final").alias("final"), F.count_if(F.col("attempted") & valid & ~F.col("final")).alias("surplus")

@@ -19,7 +19,7 @@ def term_cosine(docs: DataFrame, key: str, text: Column, query: str) -> DataFram
     terms are literals. No shuffle, no join. key names the row and is left as it is.
     """
     asked: dict[str, int] = {}
-    for t in docs.sparkSession.range(1).select(tx.terms(F.lit(query)).alias("t")).first()["t"]:  # a literal: no job runs
+    for t in tx.terms_of(query):
         asked[t] = asked.get(t, 0) + 1
     length = sum(n * n for n in asked.values()) ** 0.5
     shared = F.lit(0.0)

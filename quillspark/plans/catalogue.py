@@ -249,9 +249,11 @@ def metadata_filter(spark, sf_dir):
     return cn.metadata_filter(papers, 1993, 1995, [" 1-URGENT", "2-high "])
 
 
-@query("SELECT 'C' AS title, 2023::INT AS year, 'Springer' AS publisher")
+@query("""SELECT doc_id::VARCHAR AS title, year::INT AS year, publisher FROM (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN 2020 + doc_id % 6 END AS year, CASE doc_id % 3 WHEN 0 THEN 'Springer' WHEN 1 THEN ' SPRINGER ' ELSE 'IEEE' END AS publisher FROM documents) WHERE year BETWEEN 2023 AND 2024 AND lower(trim(publisher)) = 'springer'""")
 def metadata_filter_small_case(spark, sf_dir):
-    rows = spark.createDataFrame([("A", 2022, "Springer"), ("B", 2024, "IEEE"), ("C", 2023, "Springer"), ("D", None, "Springer")], "title string, year int, publisher string")
+    """Years within both bounds, and publishers, whatever their case and blanks; unknown years fail."""
+    n = F.col("doc_id")
+    rows = t(spark, sf_dir, "documents").select(n.cast("string").alias("title"), F.when(n % 7 > 0, 2020 + n % 6).cast("int").alias("year"), F.when(n % 3 == 0, "Springer").when(n % 3 == 1, " SPRINGER ").otherwise("IEEE").alias("publisher"))
     return cn.metadata_filter(rows, 2023, 2024, ["springer"])
 
 
@@ -344,14 +346,14 @@ def clean_text_lines(spark, sf_dir):
     return ft.clean_text(docs, ["doc_id"], "text").select("doc_id", "kept_lines", "text")
 
 
-_FLAT = "regexp_replace(substr(text, 1, 60), '[^a-zA-Z ]', ' ', 'g')"
+_FLAT = "regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')"
 _PARTS = f"coalesce(nullif(trim({_FLAT}), ''), 'nothing') || ' 7'"
 
 
 @query(f"""WITH p AS (SELECT doc_id, {_PARTS} AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest([1, 2, 3, 4, 5])::INT AS section_ord, unnest(['Body', 'Introduction', 'Methodology', 'Abstract', 'References']) AS section_name,
 unnest([x, x || ' one' || chr(10) || 'again ' || x, '@' || x, 'run in ' || x || chr(10) || x || '!', 'x']) AS text FROM p""")
 def section_split(spark, sf_dir):
-    flat = F.trim(F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z ]", " "))
+    flat = F.trim(F.regexp_replace("text", "[^a-zA-Z ]", " "))
     x = F.concat(F.when(flat == "", "nothing").otherwise(flat), F.lit(" 7"))
     docs = t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", x.alias("x"))
     marks = ["\n1. Introduction\n", " one\nII. METHODS\n@", "\nAbstract: run in ", "\n", "!\nReferences\nx\nIntroduction\nagain "]
@@ -590,13 +592,17 @@ def citation_validation(spark, sf_dir):
     return sy.verified_citations(cited, t(spark, sf_dir, "events"), "event_type").select("cited")
 
 
-@query("""SELECT * FROM (VALUES (3, 'success', 'success', ''), (0, 'success', 'insufficient_evidence', 'Related evidence was found, but not enough to report a confident result here. This is a valid outcome, not a failure.'), (0, 'invalid_input', 'invalid_input', 'No valid papers were provided to analyze.')) v(n, claims, status, message)""")
+@query("""WITH e AS (SELECT event_id, (event_id % 3)::INT AS n, CASE WHEN event_id % 3 > 0 OR event_id % 2 = 0 THEN 'success' ELSE 'invalid_input' END AS claims FROM events)
+SELECT event_id, status, message FROM (SELECT event_id, CASE WHEN n > 0 THEN 'success' WHEN claims = 'success' THEN 'insufficient_evidence' ELSE claims END AS status FROM e)
+JOIN (VALUES ('success', ''), ('insufficient_evidence', 'Related evidence was found, but not enough to report a confident result here. This is a valid outcome, not a failure.'), ('invalid_input', 'No valid papers were provided to analyze.')) v(status, message) USING (status)""")
 def status_messages(spark, sf_dir):
-    rows = spark.createDataFrame([(3, "success"), (0, "success"), (0, "invalid_input")], "n int, claims string")
-    return rows.withColumn("status", sy.resolve_status(F.col("n"), F.col("claims"))).withColumn("message", sy.status_message(F.col("status")))
+    """An event counts as an analysis of so many comparisons."""
+    n = F.col("event_id") % 3
+    rows = t(spark, sf_dir, "events").select("event_id", n.cast("int").alias("n"), F.when((n > 0) | (F.col("event_id") % 2 == 0), "success").otherwise("invalid_input").alias("claims"))
+    return rows.withColumn("status", sy.resolve_status(F.col("n"), F.col("claims"))).select("event_id", "status", sy.status_message(F.col("status")).alias("message"))
 
 
-@query(f"SELECT doc_id, CASE WHEN {_STRIP.format(c='text')} = '' THEN 'No abstract available to summarize.' WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS summary FROM documents")
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'No abstract available to summarize.' WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS summary FROM documents")
 def summary_fallback(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", sy.summary_fallback(F.col("text")).alias("summary"))
 

@@ -241,10 +241,10 @@ def status_of_reports(spark, sf_dir):
     return rows.withColumn("message", sy.status_message(F.col("status")))
 
 
-@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT <= 6 AS kept FROM events WHERE value < 5")
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT <= 6 AS kept FROM events")
 def claims_cap(spark, sf_dir):
     """Six claims a paper."""
-    rows = t(spark, sf_dir, "events").where("value < 5").select("event_id", "event_type")
+    rows = t(spark, sf_dir, "events").select("event_id", "event_type")
     kept = cl.cap_per_group(rows, "event_type", "event_id", 6).select("event_id", F.lit(True).alias("kept"))
     return rows.join(kept, "event_id", "left").fillna({"kept": False})
 

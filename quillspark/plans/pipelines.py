@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,14 +49,19 @@ def search(papers: DataFrame, full_texts: DataFrame, query: str, target: int = 1
     short = stored(rk.top_k(ranked, top_k, "score", "ordinal").withColumnRenamed("score", "similarity_score"), "short-list")  # read more than once
     scored = rk.offline_rerank(short, "ordinal", F.col("_t"), query).drop("score", "_t")
     placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rerank_score"), "ordinal")))  # top_k rows
-    acquired = ft.acquire(placed, full_texts, "paper_id")
-    has = acquired.where("text IS NOT NULL")
-    cut = ft.keep_sections(ft.split_sections(has.where("source_kind = 'Full PDF'"), "paper_id", F.col("text")))
-    cleaned = ft.clean_text(cut, ["paper_id", "section_ord", "section_name"], "text").drop("kept_lines").select("paper_id", "section_ord", "section_name", "text")
-    abstracts = has.where("source_kind = 'Abstract fallback'").select("paper_id", F.lit(1).alias("section_ord"), F.lit("Abstract").alias("section_name"), "text")
-    sections = stored(cleaned.unionByName(abstracts), "sections")
-    validation = ft.validation_of_missing(placed, ft.validate(sections, "paper_id", how), "paper_id")
-    gated = ft.gate(placed.join(validation, "paper_id"), "rank", F.col("status") == "VALID", target)
+    taken: list[DataFrame] = []
+
+    def judge(batch: DataFrame) -> DataFrame:
+        acquired = ft.acquire(batch, full_texts, "paper_id")
+        has = acquired.where("text IS NOT NULL")
+        cut = ft.keep_sections(ft.split_sections(has.where("source_kind = 'Full PDF'"), "paper_id", F.col("text")))
+        cleaned = ft.clean_text(cut, ["paper_id", "section_ord", "section_name"], "text").drop("kept_lines").select("paper_id", "section_ord", "section_name", "text")
+        abstracts = has.where("source_kind = 'Abstract fallback'").select("paper_id", F.lit(1).alias("section_ord"), F.lit("Abstract").alias("section_name"), "text")
+        taken.append(stored(cleaned.unionByName(abstracts), "sections"))
+        return batch.join(ft.validation_of_missing(batch, ft.validate(taken[-1], "paper_id", how), "paper_id"), "paper_id")
+
+    gated = ft.collect(placed, "rank", judge, target)
+    sections, validation = reduce(DataFrame.unionByName, taken), gated.select("paper_id", "word_count", "unique_words", "sections_found", "status", "reasons")
     final = told(gated.where("final"), query, service or sv.Service())
     chunks = ft.chunk_sections(sections.join(final.select("paper_id"), "paper_id", "left_semi"), "paper_id", how)
     return SearchResult(final.orderBy("rank"), validation, ft.gate_stats(gated, F.col("status") == "VALID"), chunks)
@@ -68,15 +74,16 @@ def acquire_texts(papers: DataFrame, cache: str, fetch: Callable[[str], str | No
     cached in its place; papers with neither stay out, and are asked for again the next time.
     """
     spark = papers.sparkSession
-    missing = stored(papers.join(files.read_cache(spark, cache).select("paper_id"), "paper_id", "left_anti").dropDuplicates(["paper_id"]), "missing")
+    texts = files.text_cache(spark, cache)
+    missing = stored(papers.join(texts.get(papers).select("paper_id"), "paper_id", "left_anti").dropDuplicates(["paper_id"]), "missing")
     got = stored(files.fetched(missing, fetch).where("raw IS NOT NULL"), "fetched")  # asked for once
     cut = ft.keep_sections(ft.split_sections(got, "paper_id", F.col("raw")))
     cleaned = ft.clean_text(cut, ["paper_id", "section_ord", "section_name"], "text").where("text <> ''")
     full = ft.round_trip_text(cleaned.select("paper_id", "section_ord", "section_name", "text"), "paper_id").withColumnRenamed("text", "full_text")
     abstract = F.nullif(tx.strip(F.col("abstract")), F.lit(""))
     rest = missing.join(full.select("paper_id"), "paper_id", "left_anti").where(abstract.isNotNull()).select("paper_id", F.concat(F.lit("Abstract\n"), abstract).alias("full_text"))
-    files.append_cache(full.unionByName(rest), cache)
-    return files.read_cache(spark, cache)
+    texts.put(full.unionByName(rest))
+    return texts.read()
 
 
 def told(papers: DataFrame, query: str, service: sv.Service) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
+
 
 def documents(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]]) -> DataFrame:
     """paper_id, text of binary files that look like PDF; parse gives a file's pages, which are joined by
@@ -44,18 +46,19 @@ def fetched(papers: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
     return papers.where(F.coalesce("pdf_url", F.lit("")) != "").select("paper_id", "pdf_url").mapInPandas(run, "paper_id string, raw string")
 
 
+def text_cache(spark: SparkSession, path: str) -> Store:
+    """The store of full texts by paper."""
+    return Store(spark, path, "paper_id", "full_text")
+
+
 def append_cache(rows: DataFrame, path: str) -> None:
     """Adds rows of (paper_id, full_text) to the text cache."""
-    rows.select("paper_id", "full_text").write.mode("append").parquet(path)
+    text_cache(rows.sparkSession, path).put(rows)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache, one text per paper; empty where nothing was cached yet."""
-    schema = "paper_id string, full_text string"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).groupBy("paper_id").agg(F.max("full_text").alias("full_text"))
+    """The cache, one text per paper, the last that was written; empty where nothing was cached yet."""
+    return text_cache(spark, path).read()
 
 
 def write_table(rows: DataFrame, path: str, kind: str = "parquet") -> None:
