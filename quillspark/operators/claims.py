@@ -22,8 +22,8 @@ CLASSES = ["Agreement", "Different Context", "Insufficient Evidence", "Partial C
 FLAGGED = ["Contradiction", "Partial Contradiction"]
 
 
-#: Vectors of a block, on average: a task holds two blocks and the products of both.
-BLOCK = 2048
+#: Vectors of a block, on average: a task holds two blocks.
+BLOCK = 16_384
 
 
 def _products(left: pa.Table, right: pa.Table | None, group: str, ordinal: str, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
