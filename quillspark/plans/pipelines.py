@@ -24,7 +24,7 @@ from ..operators import resolution as rs
 from ..operators import synthesis as sy
 from ..operators.embedding import Embedder, embed, hashing_embedder
 from ..sources import connectors as cn
-from ..sources import files
+from ..sources import files, paged
 from ..tables import stored
 from . import service as sv
 
@@ -37,11 +37,11 @@ class SearchResult:
     chunks: DataFrame
 
 
-def search(papers: DataFrame, full_texts: DataFrame, query: str, target: int = 10, top_k: int = DEFAULT.top_k, year_from: int | None = None, year_to: int | None = None, publishers: list[str] | None = None, how: Config = DEFAULT, service: sv.Service | None = None) -> SearchResult:
+def search(papers: DataFrame, full_texts: DataFrame | Callable[[DataFrame], DataFrame], query: str, target: int = 10, top_k: int = DEFAULT.top_k, year_from: int | None = None, year_to: int | None = None, publishers: list[str] | None = None, how: Config = DEFAULT, service: sv.Service | None = None) -> SearchResult:
     """Merge duplicates, filter, rank, shorten, rerank, validate, collect until `target` are valid, chunk.
 
-    papers: connectors.fan_out's schema; full_texts: paper_id, full_text. The filter stays after merging,
-    which may change a record's year.
+    papers: connectors.fan_out's schema; full_texts: paper_id, full_text, or what gives them for a batch of papers that is
+    about to be judged. The filter stays after merging, which may change a record's year.
     """
     merged = cn.metadata_filter(rs.deduplicate(papers, how), year_from, year_to, publishers)
     merged = merged.withColumn("paper_id", tx.paper_id(F.col("doi"), F.col("title"))).withColumn("_t", tx.text_for_embedding(F.col("title"), F.col("abstract")))
@@ -52,7 +52,8 @@ def search(papers: DataFrame, full_texts: DataFrame, query: str, target: int = 1
     taken: list[DataFrame] = []
 
     def judge(batch: DataFrame) -> DataFrame:
-        acquired = ft.acquire(batch, full_texts, "paper_id")
+        batch = stored(batch, "batch")
+        acquired = ft.acquire(batch, full_texts(batch) if callable(full_texts) else full_texts, "paper_id")
         has = acquired.where("text IS NOT NULL")
         cut = ft.keep_sections(ft.split_sections(has.where("source_kind = 'Full PDF'"), "paper_id", F.col("text")))
         cleaned = ft.clean_text(cut, ["paper_id", "section_ord", "section_name"], "text").drop("kept_lines").select("paper_id", "section_ord", "section_name", "text")
@@ -333,6 +334,39 @@ def recommendation(papers: DataFrame, index: DataFrame, table: DataFrame, overal
     return Recommendation(sy.final_recommendation(answers, overall, covered), advice, improved, sy.NOTHING_TO_SAY if none else "")
 
 
+@dataclass
+class Run:
+    found: SearchResult
+    sources: DataFrame  # source, status
+    analysis: PaperAnalysis | None = None
+    problems: ProblemAnalysis | None = None
+    claims_status: str = ""
+    compared: DataFrame | None = None
+    advice: Recommendation | None = None
+
+
+def run_pipeline(spark: SparkSession, query: str, urls: dict[str, str | None], cache: str, fetch: Callable[[str], str | None], target: int = 10, queries: dict[str, str] | None = None, year_from: int | None = None, year_to: int | None = None, publishers: list[str] | None = None, top_k: int = DEFAULT.top_k, how: Config = DEFAULT, service: sv.Service | None = None, embedder: Embedder | None = None, **options: object) -> Run:
+    """2.P: from a query to papers, validation and all analyses. Pages are fetched by tasks (paged.search; options are the
+    source's); full texts through the cache, only of papers that are about to be judged; nothing is analysed where no paper is valid.
+
+    queries: what each source is asked, if not the query itself.
+    """
+    service = service or sv.Service()
+    papers, sources = paged.search(spark, queries or query, urls, year_from, year_to, limit=how.results_per_source, attempts=how.retry_attempts, delay=how.retry_delay, **options)
+    texts = lambda batch: acquire_texts(batch.select("paper_id", "pdf_url", "abstract"), cache, fetch)
+    run = Run(search(papers, texts, query, target, top_k, year_from, year_to, publishers, how, service), stored(sources, "sources"))
+    held = run.found.papers = stored(run.found.papers, "papers")
+    if held.isEmpty():
+        return run
+    index = build_index(run.found.chunks, embedder)
+    run.analysis = analyze_papers(held, index, service, embedder, how)
+    run.problems = analyze_problems_and_solutions(held, index, run.analysis.knowledge, run.analysis.overall, service, embedder, how)
+    run.claims_status, claims = claims_of(held, index, service, embedder, how)
+    run.compared = contradictions(claims.drop("vec"), claims.select("ordinal", "vec"), service, how) if run.claims_status == "success" else spark.createDataFrame([], COMPARED)
+    run.advice = recommendation(held, index, run.analysis.knowledge, run.analysis.overall, run.analysis.gaps, run.analysis.future_work, run.problems.table, run.problems.summary, run.compared, service, embedder, how)
+    return run
+
+
 def condensed(table: DataFrame) -> DataFrame:
     """The nine columns that a recommendation reads of the knowledge table."""
     metrics = [(m, F.col(COLUMN_OF[m])) for m in sy.METRIC_COLUMNS if COLUMN_OF[m] in table.columns]

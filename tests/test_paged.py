@@ -112,3 +112,24 @@ def test_stream_over_page_offsets(spark, server, tmp_path):
         query.stop()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.place for r in got.collect()) == list(range(N))
+
+
+def test_one_run_from_query_to_advice(spark, server, tmp_path):
+    from quillspark.config import Config
+    from quillspark.plans import pipelines as pl
+
+    base, _, _ = server
+    how = Config(results_per_source=20, retry_attempts=0, retry_delay=0.0, min_words=20, min_unique=5)
+    asked = str(tmp_path / "asked")
+
+    def fetch(url):
+        with open(asked, "a") as out:
+            out.write("x")
+        return "Introduction\n" + " ".join(f"word{chr(97 + i % 26)} graph model accuracy" for i in range(40)) + "."
+
+    run = pl.run_pipeline(spark, "graph work", {"arxiv": address(base, "arxiv"), "openalex": address(base, "openalex")}, str(tmp_path / "cache"), fetch, target=3, how=how, per_page=5)
+    assert run.found.papers.count() == 3 and {r.source: r.status for r in run.sources.collect()}["arxiv"] == "ok (20 results)"
+    assert run.found.validation.count() == 8 and len(open(asked).read()) <= 8  # one batch was judged, so no more was downloaded
+    assert run.analysis.knowledge.count() == 3 and run.problems.status == "llm_unavailable" and run.compared.isEmpty() and run.advice.final.count() == 9
+    none = pl.run_pipeline(spark, "x", {}, str(tmp_path / "cache"), fetch, how=how)
+    assert none.found.papers.isEmpty() and none.analysis is None
