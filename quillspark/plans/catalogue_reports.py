@@ -293,3 +293,24 @@ def projection(spark, sf_dir):
 def summaries(spark, sf_dir):
     """K2 without a model: short abstracts as they are, none by its own words."""
     return t(spark, sf_dir, "pages").select("page_id", sy.summary_fallback(F.col("url")).alias("abstract"), sy.summary_fallback(F.lit("")).alias("none"))
+
+
+RETRIEVED = [("energy of wireless networks", 2), ("the people and the market", 1)]
+
+
+@query()
+def retrieval_chain(spark, sf_dir):
+    """Documents chunked, embedded, indexed by paper, and each one's best chunks for two questions;
+    held against plain code in the tests."""
+    import uuid
+
+    from ..operators import fulltext as ft
+    from ..operators.index import PaperIndex
+    from ..tables import stored
+
+    sections = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.lit(1).alias("section_ord"), F.lit("Body").alias("section_name"), "text")
+    index = PaperIndex(spark, f"quillspark_chunks_{uuid.uuid4().hex}")
+    index.add(ft.chunk_sections(sections, "paper_id").select("paper_id", "chunk_ord", "chunk_text"))
+    found = stored(index.search(RETRIEVED, 2), "retrieved")
+    index.drop()
+    return found
