@@ -21,15 +21,19 @@ def _folder(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _writes(spark: SparkSession, path: str) -> list[str]:
-    """Folders of writes that are complete."""
+def complete(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Folders of writes under path that are complete."""
     where, files = _folder(spark, path)
     if not files.exists(where):
         return []
-    found = [f.getPath() for f in files.listStatus(where) if f.isDirectory() and f.getPath().getName().startswith("write=")]
+    found = [f.getPath() for f in files.listStatus(where) if f.isDirectory() and f.getPath().getName().startswith(prefix)]
     return sorted(p.toString() for p in found if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def _writes(spark: SparkSession, path: str) -> list[str]:
+    return complete(spark, path, "write=")
+
+
 class Store:
     """Text values under `path` by text key. key and value name the columns; a path is always used with the same number of buckets."""
 
