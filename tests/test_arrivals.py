@@ -38,3 +38,14 @@ def test_a_stream_in_any_order_gives_the_fold_of_all(spark, tmp_path):
     assert log.select("batch").distinct().count() == 2 and log.where("op = '-'").count() > 0
     left = log.where("op = '+'").drop("op", "batch").exceptAll(log.where("op = '-'").drop("op", "batch"))
     assert sorted(r.ordinal for r in left.collect()) == [g[0] for g in got]
+
+
+def test_settled_components_and_batches_run_again(spark, tmp_path):
+    """keep=1: papers of batch 2 do not join a component of batch 0. A batch run again, and a repeated ordinal, change nothing."""
+    row = lambda i, source: (i, "a survey of contradiction mining", ["B Kim"], 2021, source, None, "", None, None)
+    inbox = Arrivals(f"file://{tmp_path}/log", keep=1)
+    late = spark.createDataFrame([row(1, "y"), row(1, "z"), row(0, "w"), (2, " ", None, None, "x", None, None, None, None)], PAPER)
+    inbox.arrive(spark.createDataFrame([row(0, "x")], PAPER), 0)
+    for _ in range(2):
+        inbox.arrive(late, 2)
+        assert sorted((r.component, r.ordinal, r.source) for r in inbox.current(spark).collect()) == [(0, 0, "x"), (1, 1, "y")]
