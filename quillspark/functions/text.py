@@ -118,10 +118,9 @@ def alpha_tokens(c: Column) -> Column:
 
 
 def dedupe_terms(terms: Column) -> Column:
-    """First spelling of each term, case-insensitively, blanks dropped, order kept."""
+    """First spelling of each term, case-insensitively, blanks dropped, order kept. Terms are cleaned and lowered once a row."""
     clean = F.filter(F.transform(terms, strip), lambda t: F.coalesce(t, F.lit("")) != "")
-    lower = F.transform(clean, F.lower)
-    return F.filter(clean, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+    return let(clean, lambda held: let(F.transform(held, F.lower), lambda low: F.filter(held, lambda t, i: F.array_position(low, F.get(low, i)) == i + 1)))
 
 
 def quote_multiword(c: Column) -> Column:
@@ -131,21 +130,21 @@ def quote_multiword(c: Column) -> Column:
 
 def boolean_group(terms: Column, field: str = "", most: int = 5) -> Column:
     """The first distinct terms OR-joined, in parentheses if several."""
-    kept = F.slice(dedupe_terms(terms), 1, most)
-    joined = F.array_join(F.transform(kept, lambda t: F.concat(F.lit(f"{field}:" if field else ""), quote_multiword(t))), " OR ")
-    return F.when(F.size(kept) > 1, F.concat(F.lit("("), joined, F.lit(")"))).otherwise(joined)
+    joined = lambda kept: F.array_join(F.transform(kept, lambda t: F.concat(F.lit(f"{field}:" if field else ""), quote_multiword(t))), " OR ")
+    return let(F.slice(dedupe_terms(terms), 1, most), lambda kept: F.when(F.size(kept) > 1, F.concat(F.lit("("), joined(kept), F.lit(")"))).otherwise(joined(kept)))
 
 
-def source_queries(raw_title: Column, primary: Column, problem: Column, secondary: Column, synonyms: Column, alternatives: Column, domain: Column, keywords: Column, search_query: Column) -> dict[str, Column]:
-    """A query per source; each falls back to the raw title."""
+def source_queries(raw_title: Column, primary: Column, problem: Column, secondary: Column, synonyms: Column, alternatives: Column, domain: Column, keywords: Column, search_query: Column) -> Column:
+    """Source and query for each source, as an array of structs made once a row; each query falls back to the raw title."""
     none = F.array().cast("array<string>")
     arr = lambda c: F.array(c)
     many = lambda c: F.coalesce(c, none)
     groups = [F.concat(arr(primary), many(synonyms), many(alternatives)), F.concat(arr(problem), arr(domain), F.slice(many(keywords), 1, 3)), arr(secondary)]
     fielded = F.array_join(F.filter(F.array(*[boolean_group(g, "all") for g in groups]), lambda g: g != ""), " AND ")
     bag = F.array_join(dedupe_terms(F.concat(arr(primary), arr(problem), arr(secondary), F.slice(many(keywords), 1, 5))), " ")
-    first = lambda c: F.coalesce(F.nullif(c, F.lit("")), raw_title)
-    return {"arxiv": first(fielded), "core": first(search_query), **{s: first(bag) for s in ("openalex", "crossref", "semantic_scholar")}}
+    made = F.transform(F.array(fielded, search_query, bag), lambda c: F.coalesce(F.nullif(c, F.lit("")), raw_title))
+    kinds = {"arxiv": 0, "core": 1, "openalex": 2, "crossref": 2, "semantic_scholar": 2}
+    return let(made, lambda held: F.array(*[F.struct(F.lit(s).alias("source"), F.get(held, F.lit(i)).alias("query")) for s, i in kinds.items()]))
 
 
 def as_str_list(json: Column) -> Column:
