@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.operators import resolution
 from quillspark.plans import catalogue, catalogue_reports  # noqa: F401
 
 
@@ -19,3 +20,20 @@ def test_source_queries_clean_each_term_once(spark, sf):
     assert got[1] == {"arxiv": '(all:"a b" OR all:c) AND (all:d OR all:k) AND all:two', "core": "s"} | dict.fromkeys(bags, "a b two k")
     # terms of three groups and of the bag are stripped once, not again for each use of what is left
     assert plan(catalogue.QUERIES["source_query_compile"](spark, sf)).count("regexp_replace(") <= 4
+
+
+def test_overlaps_are_counted_without_pairs(spark, sf):
+    left = [(1, 0, ["Ann Lee", "B. Orr"]), (2, 0, ["C LEE "]), (3, 0, []), (4, 1, ["Ann Lee"]), (5, None, ["Ann Lee"]), (6, 2, ["Ann Lee"]), (7, 0, None), (8, 0, [None, "x orr"]), (1, 1, ["D Orr"])]
+    right = [(0, ["A Lee", "A Orr"]), (0, ["A Lee"]), (0, ["Lee"]), (0, ["Zed"]), (0, [" "]), (0, None), (1, ["E Orr"]), (1, ["E Orr"]), (None, ["Ann Lee"])]
+    last = lambda names: {n.split()[-1].lower() for n in names or [] if n and n.strip()}
+    want: dict = {}
+    for key, group, names in left:
+        for g, theirs in right:
+            if group is not None and g == group:
+                total, shared = want.get(key, (0, 0))
+                want[key] = (total + 1, shared + bool(last(names) & last(theirs)))
+    made = resolution.authors_overlap_counts(spark.createDataFrame(left, "k int, g int, authors array<string>"), spark.createDataFrame(right, "g int, authors array<string>"), "k", "g")
+    assert {r.k: (r.total, r.shared) for r in made.collect()} == want
+    # suppliers never meet customers by nation alone: every join of rows with names has the surname, too
+    joins = [line for line in plan(catalogue.QUERIES["authors_overlap_pairs"](spark, sf)).splitlines() if "Join" in line]
+    assert joins and not any("s_nationkey" in line and "c_nationkey" in line for line in joins)
