@@ -25,10 +25,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def inverted_index(words: Column) -> Column:
+    """B1's input: map word -> positions from 0, of a list of words. Within the row: sorted, a word's positions are neighbours."""
+    ordered = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["w"] != x["w"]), i)), lambda i: i.isNotNull())
+    entry = lambda s, at: lambda a, j: F.struct(F.get(s, a)["w"].alias("w"), F.transform(F.slice(s, a + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - a), lambda x: x["p"]).alias("ps"))
+    return let(ordered, lambda s: let(starts(s), lambda at: F.map_from_entries(F.transform(at, entry(s, at)))))
+
+
 def inverted_index_text(index: Column) -> Column:
     """B1: map word -> positions to text; null gives ''."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.coalesce(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(F.sort_array(pairs), lambda x: x["w"]), " "), F.lit(""))
 
 
 def strip_tags(c: Column) -> Column:

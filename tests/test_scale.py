@@ -37,3 +37,16 @@ def test_overlaps_are_counted_without_pairs(spark, sf):
     # suppliers never meet customers by nation alone: every join of rows with names has the surname, too
     joins = [line for line in plan(catalogue.QUERIES["authors_overlap_pairs"](spark, sf)).splitlines() if "Join" in line]
     assert joins and not any("s_nationkey" in line and "c_nationkey" in line for line in joins)
+
+
+def test_index_is_made_within_the_row(spark, sf):
+    rows = [(1, "b a b\n a  a"), (1, "a"), (2, ""), (3, None), (4, " \n "), (5, "x " * 3000)]
+    made = spark.createDataFrame(rows, "i int, t string").select("i", "t", tx.inverted_index(tx.words(F.col("t"))).alias("m")).withColumn("back", tx.inverted_index_text(F.col("m")))
+    got = made.collect()
+    assert sorted((r.i, r.back) for r in got) == sorted((i, " ".join((t or "").split())) for i, t in rows)
+    for r in got:
+        want: dict = {}
+        for at, w in enumerate((r.t or "").split()):
+            want.setdefault(w, []).append(at)
+        assert (r.m or {}) == want and (r.m is None) == (r.t is None)
+    assert not any(step in plan(catalogue.QUERIES["inverted_index_rebuild"](spark, sf)) for step in ("Aggregate", "Join", "Generate"))
