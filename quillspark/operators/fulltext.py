@@ -54,9 +54,13 @@ def split_sections(docs: DataFrame, key: str, text: Column) -> DataFrame:
     parts = "array<struct<name:string,lines:array<string>>>"
 
     def marked(line: Column, at: Column) -> Column:
-        own, run_in = _canonical(F.nullif(F.regexp_extract(line, HEADING, 1), F.lit(""))), _canonical(F.nullif(F.regexp_extract(line, RUN_IN_HEADING, 1), F.lit("")))
-        rest = F.when(own.isNull() & run_in.isNotNull(), F.regexp_extract(line, RUN_IN_HEADING, 2))
-        return F.struct(at.alias("at"), F.coalesce(own, run_in).alias("name"), rest.alias("rest"))
+        own, run_in = (_canonical(F.regexp_extract(line, pattern, 1)) for pattern in (HEADING, RUN_IN_HEADING))
+
+        def said(h: Column) -> Column:
+            rest = F.when(h["own"].isNull() & h["run_in"].isNotNull(), F.regexp_extract(line, RUN_IN_HEADING, 2))
+            return F.struct(at.alias("at"), F.coalesce(h["own"], h["run_in"]).alias("name"), rest.alias("rest"))
+
+        return tx.let(F.struct(own.alias("own"), run_in.alias("run_in")), said)  # either pattern reads the line once
 
     def cut(lines: Column) -> Column:
         start = F.array(F.struct(F.lit(-1).alias("at"), F.lit("Body").alias("name"), F.lit(None).cast("string").alias("rest")))
@@ -79,7 +83,7 @@ def split_sections(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
     cuts = tx.let(F.split(text, "\n"), lambda lines: tx.let(cut(lines), with_abstract))
     sections = F.filter(F.transform(cuts, lambda c: F.struct(c["name"].alias("name"), tx.strip(F.array_join(c["lines"], "\n")).alias("text"))), lambda x: x["text"] != "")
-    made = docs.where(text.isNotNull()).select(key, F.posexplode(sections).alias("at", "s"))
+    made = docs.select(key, F.posexplode_outer(sections).alias("at", "s")).where("s IS NOT NULL")  # a text without sections, or none, has no row
     return made.select(key, F.col("s.name").alias("section_name"), F.col("s.text").alias("text"), (F.col("at") + 1).alias("section_ord"))
 
 

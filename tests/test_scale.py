@@ -50,3 +50,18 @@ def test_index_is_made_within_the_row(spark, sf):
             want.setdefault(w, []).append(at)
         assert (r.m or {}) == want and (r.m is None) == (r.t is None)
     assert not any(step in plan(catalogue.QUERIES["inverted_index_rebuild"](spark, sf)) for step in ("Aggregate", "Join", "Generate"))
+
+
+def test_sections_in_one_pass(spark, sf):
+    import random
+    import time
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(" \t\n\r\x0b\f\x85 \xa0ab") for _ in range(draw.randrange(9))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~tx.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"^\s+|\s+$", ""))).count() == 0
+    began = time.time()
+    long = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b ")).alias("t"))
+    assert long.select(F.length(tx.strip(F.col("t")))).first()[0] == 300_002
+    assert time.time() - began < 20  # 45 thousand million steps, if each blank of a run starts a new attempt
+    assert plan(catalogue.QUERIES["section_split"](spark, sf)).count("regexp_extract(") == 3
