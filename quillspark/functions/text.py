@@ -179,6 +179,15 @@ def duration_seconds(c: Column) -> Column:
     return F.nullif(part(1) * 3600 + part(2) * 60 + part(3) + part(4) / 1000, F.lit(0.0))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded as SQL's round() does it: scaled by a power of ten, then half away from zero. F.round goes by the shortest
+    decimal instead, and what stands at half there need not do so once scaled. Negative ones keep their sign, also at zero."""
+    scaled = F.abs(c) * 10.0**digits
+    whole = F.floor(scaled)
+    up = (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)).cast("double") / 10.0**digits
+    return F.when(scaled < 2.0**52, F.when(c < 0, -up).otherwise(up)).otherwise(c)
+
+
 def token_estimate(chars: Column, max_tokens: int) -> Column:
     """B25."""
     return F.floor(chars / 4) + max_tokens

@@ -113,7 +113,7 @@ def index_label(chunks: DataFrame, key: str, source: str = "Full PDF") -> DataFr
 
 def transparency(found: DataFrame, text: Column) -> DataFrame:
     """Similarity rounded to 3 and a preview of 200 characters."""
-    return found.withColumn("similarity", F.round("similarity", 3)).withColumn("preview", tx.truncate(text, 200))
+    return found.withColumn("similarity", tx.rounded(F.col("similarity"), 3)).withColumn("preview", tx.truncate(text, 200))
 
 
 def pca(rows: DataFrame, vector: str, k: int = 2) -> DataFrame:

@@ -175,7 +175,7 @@ _HITS = "h AS (SELECT query_id, label, vec_id, round(s, 6) AS similarity, rank F
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    found = _knn(spark, sf_dir, 3).withColumn("similarity", F.round("similarity", 6))
+    found = _knn(spark, sf_dir, 3).withColumn("similarity", tx.rounded(F.col("similarity"), 6))
     return found.select("query_id", F.col("label").alias("paper_id"), F.col("vec_id").alias("chunk_ord"), "similarity", F.lit("Body").alias("section_name"), F.repeat(F.concat(F.lit("chunk "), F.col("vec_id").cast("string"), F.lit(" ")), 30).alias("chunk_text"))
 
 

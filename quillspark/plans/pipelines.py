@@ -388,4 +388,4 @@ def supplementary(found: DataFrame, text: str) -> DataFrame:
 def chunks_by_paper(found: DataFrame) -> DataFrame:
     """paper_id and its retrieved chunks, best first."""
     listed = F.sort_array(F.collect_list(F.struct("similarity", (-F.col("chunk_ord")).alias("back"), "section_name", "chunk_text")), False)
-    return found.groupBy("paper_id").agg(F.transform(listed, lambda c: F.struct(F.round(c["similarity"], 3).alias("similarity"), c["section_name"].alias("section_name"), c["chunk_text"].alias("chunk_text"))).alias("chunks"))
+    return found.groupBy("paper_id").agg(F.transform(listed, lambda c: F.struct(tx.rounded(c["similarity"], 3).alias("similarity"), c["section_name"].alias("section_name"), c["chunk_text"].alias("chunk_text"))).alias("chunks"))

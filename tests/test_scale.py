@@ -65,3 +65,12 @@ def test_sections_in_one_pass(spark, sf):
     assert long.select(F.length(tx.strip(F.col("t")))).first()[0] == 300_002
     assert time.time() - began < 20  # 45 thousand million steps, if each blank of a run starts a new attempt
     assert plan(catalogue.QUERIES["section_split"](spark, sf)).count("regexp_extract(") == 3
+
+
+def test_doubles_round_as_sql_rounds_them(spark):
+    import duckdb
+
+    values = [k / 1e6 * sign for k in range(500, 1_000_000, 1000) for sign in (1, -1)] + [0.0, -0.0001, 0.1235, 1e17, 0.49999999999999994, float("nan"), float("inf")]
+    got = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.format_number(tx.rounded(F.col("v"), 3), 3).alias("v")).collect()]
+    want = [r[0] for r in duckdb.connect().execute("SELECT printf('%.3f', round(v, 3)) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()]
+    assert got[:-3] == [w if "e" in w or float(w) < 1000 else f"{float(w):,.3f}" for w in want[:-3]]
