@@ -38,6 +38,30 @@ def _products(left: pa.Table, right: pa.Table | None, group: str, ordinal: str,
     return rows, columns, (vectors[a] @ vectors[b].T)[rows, columns], ids[a], ids[b]
 
 
+#: Rows of a tile whose products are held at once where only figures of them are kept.
+STRIP = 128
+
+
+def _figures(left: pa.Table, right: pa.Table | None, group: str, ordinal: str, vector: str, least: float) -> pa.Table:
+    """Lowest and highest inner product of the pairs of _products, null if there are none, and how many reach `least`; never more than STRIP rows of products are held."""
+    other = left if right is None else right
+    both = codes(pa.chunked_array([*left.column(group).chunks, *(right.column(group).chunks if right is not None else [])], left.schema.field(group).type))
+    groups, others = both[: left.num_rows], both[-other.num_rows :] if other.num_rows else both[:0]
+    ids, theirs, a, b = left.column(ordinal).to_numpy(), other.column(ordinal).to_numpy(), matrix(left.column(vector)), matrix(other.column(vector))
+    width = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (a, b))
+    low, high, over, some = np.inf, -np.inf, 0, False
+    for at in range(0, len(a), STRIP):
+        own = slice(at, at + STRIP)
+        ok = groups[own][:, None] != others[None, :]
+        ok &= ids[own][:, None] != theirs[None, :] if right is not None else ids[own][:, None] < theirs[None, :]
+        if ok.any():
+            product, some = a[own] @ b.T, True
+            low, high = np.minimum(low, product.min(where=ok, initial=np.inf)), np.maximum(high, product.max(where=ok, initial=-np.inf))
+            over += int(((product >= least) & ok).sum())
+    return pa.table({"low": pa.array([float(low) if some else None], pa.float64()), "high": pa.array([float(high) if some else None], pa.float64()), "over": [over]})
+
+
 def _whole(items: DataFrame, *columns: str) -> DataFrame:
     """These columns; rows that lack one pair with nothing."""
     return items.select(*columns).dropna()
@@ -189,9 +213,7 @@ def similarity_stats(items: DataFrame, group: str, ordinal: str, vector: str, le
     """
 
     def compare(left: pa.Table, right: pa.Table | None) -> pa.Table:
-        product = _products(left, right, group, ordinal, vector)[2]
-        none = not len(product)
-        return pa.table({"low": pa.array([None if none else float(product.min())], pa.float64()), "high": pa.array([None if none else float(product.max())], pa.float64()), "over": [int((product >= least).sum())]})
+        return _figures(left, right, group, ordinal, vector, least)
 
     held = stored(_whole(items, ordinal, group, vector), "items")
     cells = Cells(held, vector, ordinal, BLOCK)

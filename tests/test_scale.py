@@ -74,3 +74,27 @@ def test_doubles_round_as_sql_rounds_them(spark):
     got = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.format_number(tx.rounded(F.col("v"), 3), 3).alias("v")).collect()]
     want = [r[0] for r in duckdb.connect().execute("SELECT printf('%.3f', round(v, 3)) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()]
     assert got[:-3] == [w if "e" in w or float(w) < 1000 else f"{float(w):,.3f}" for w in want[:-3]]
+
+
+def test_figures_of_pairs_hold_few_products(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.operators import claims
+
+    draw = np.random.default_rng(5)
+
+    def table(n, first):
+        return pa.table({"g": pa.array(draw.integers(0, 4, n), pa.int32()), "i": pa.array(np.arange(first, first + n)), "v": pa.array(list(draw.normal(size=(n, 8)).astype(np.float32)), pa.list_(pa.float32()))})
+
+    for left, right in ((table(300, 0), None), (table(300, 0), table(170, 200)), (table(1, 0), None), (table(3, 0), table(0, 0)), (table(2048, 0), table(2048, 2048))):
+        product = claims._products(left, right, "g", "i", "v")[2]
+        tracemalloc.start()
+        got = claims._figures(left, right, "g", "i", "v", 0.3).to_pylist()[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got["over"] == (product >= 0.3).sum()
+        assert (got["low"] is None and got["high"] is None and not len(product)) or np.allclose([got["low"], got["high"]], [product.min(), product.max()])
+        assert peak < 8e6  # all products of two tiles, and their places, took 130 MB
