@@ -76,6 +76,22 @@ def test_doubles_round_as_sql_rounds_them(spark):
     assert got[:-3] == [w if "e" in w or float(w) < 1000 else f"{float(w):,.3f}" for w in want[:-3]]
 
 
+def test_vectors_of_chunks_are_small(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    from quillspark.operators import index
+
+    texts = pd.Series([" ".join(f"w{(i * 7 + j * 13) % 5000}x" for j in range(500)) for i in range(300)])
+    tracemalloc.start()
+    made = index._vectors(texts, index.WIDTH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [dict(zip(a.tolist(), n.tolist(), strict=True)) for a, n in zip(made["at"], made["n"], strict=True)] == [index.hashed(t) for t in texts]
+    assert peak < 300 * 12_000  # as dicts and lists some 100 KB a text
+
+
 def test_figures_of_pairs_hold_few_products(spark):
     import tracemalloc
 
