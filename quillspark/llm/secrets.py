@@ -41,10 +41,14 @@ _WORDS = "the and report about people water which system other after house numbe
 _WORD = rf"(?<![{_RUN}])[A-Za-z]{{2,19}}(?![{_RUN}])"
 
 
+#: Hash ranges over which counts of words are summed.
+RANGES = 4096
+
+
 @dataclass(frozen=True)
 class Battery:
     """False-discovery rate; least score; bins of the score; decoys built a class, and their greatest length (longer
-    ones only look less random); corpus words in expectation that decoys are made of."""
+    ones only look less random); places among all corpus words whose words decoys are made of."""
 
     rate: float = 0.05
     least: float = 0.001
@@ -114,19 +118,30 @@ def _scored(tokens: DataFrame, how: Battery) -> DataFrame:
     return tokens.withColumn("score", score(F.col("value"))).withColumn("bin", F.least(F.lit(how.bins - 1), F.floor(F.col("score") * how.bins)).cast("int"))
 
 
+def places(docs: DataFrame, how: Battery) -> DataFrame:
+    """w: the words at how.words even places of all words of all texts (all words, each as often, where there are fewer), ordered by hash.
+
+    Every occurrence counts: a word of n of N occurrences has n * how.words / N places, rounded up or down. Running sums go over hash ranges, and over words within one.
+    """
+    word = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(_WORD), F.lit(0))).alias("w"))
+    counts = word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.pmod(F.xxhash64("w"), F.lit(RANGES)).cast("int"))
+    counts = durable(counts, "words")
+    sums = counts.groupBy("range").agg(F.sum("n").alias("of"))
+    before = sums.select("range", (F.sum("of").over(Window.orderBy("range")) - F.col("of")).alias("before"), F.sum("of").over(Window.partitionBy()).alias("all"))  # at most RANGES rows
+    ended = F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy(F.xxhash64("w"), "w"))
+    held = counts.join(F.broadcast(before), "range").select("w", "n", "all", ended.alias("end")).withColumn("many", F.least(F.lit(how.words), F.col("all")))
+    upto = lambda end: F.expr(f"({end} * many) div all")  # noqa: E731  places that end before
+    return held.select("w", (upto("end") - upto("(end - n)")).cast("int").alias("k")).where("k > 0").select("w", F.explode(F.sequence(F.lit(1), F.col("k")))).select("w")
+
+
 def decoys(docs: DataFrame, total: int, targets: DataFrame, how: Battery) -> DataFrame:
     """size, code, value: how.decoys tokens a class of targets, less those that fall outside the class.
 
     They are corpus words and numbers, joined as the class's characters allow; hex classes get the hex code of
-    words. Parts of tokens are no words. Base64 of plain text is not among the decoys: up to some 60
+    words. Words are those of all texts, see places; total is not needed for them. Parts of tokens are no words. Base64 of plain text is not among the decoys: up to some 60
     characters the battery cannot tell it from keys, so it may be added.
     """
-    each = max(8, -(-how.words // max(1, total)))  # words a document
-    share = min(1.0, how.words / each / max(1, total))
-    text = F.col("text").cast("string")
-    held = docs.where(text.isNotNull() & (unit_hash(F.col("doc_id").cast("long"), text) < share)).select(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("w"), F.xxhash64(text).alias("h")).where(F.size("w") > 0)
-    some = held.select(F.slice("w", (F.pmod("h", F.greatest(F.lit(1), F.size("w") - each + 1)) + 1).cast("int"), each).alias("w")).distinct()
-    pool = some.agg(F.concat(F.sort_array(F.flatten(F.collect_list("w"))), F.array(*map(F.lit, _WORDS))).alias("pool"))
+    pool = places(docs, how).agg(F.concat(F.sort_array(F.collect_list("w")), F.array(*map(F.lit, _WORDS))).alias("pool"))
     lengths = targets.groupBy("size", "code").agg(F.percentile_approx(F.length("value"), [k / 16 for k in range(17)]).alias("lengths"))
     made = docs.sparkSession.range(how.decoys).crossJoin(F.broadcast(lengths)).crossJoin(F.broadcast(pool))
 

@@ -114,3 +114,17 @@ def test_figures_of_pairs_hold_few_products(spark):
         assert got["over"] == (product >= 0.3).sum()
         assert (got["low"] is None and got["high"] is None and not len(product)) or np.allclose([got["low"], got["high"]], [product.min(), product.max()])
         assert peak < 8e6  # all products of two tiles, and their places, took 130 MB
+
+
+def test_decoys_are_made_of_the_words_of_all_texts(spark):
+    from collections import Counter
+
+    from quillspark.llm import secrets
+
+    texts = ["alpha beta " * 300, None, "", "12 x"] + [f"gamma {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}word" for i in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = Counter(w for t in texts for w in (t or "").split() if len(w) > 1 and w.isalpha())
+    assert Counter(r.w for r in secrets.places(docs, secrets.Battery()).collect()) == whole
+    few = Counter(r.w for r in secrets.places(docs, secrets.Battery(words=400)).collect())
+    total = sum(whole.values())
+    assert sum(few.values()) == 400 and all(abs(few[w] - n * 400 / total) < 1 for w, n in whole.items())
