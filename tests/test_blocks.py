@@ -2,6 +2,7 @@
 
 import os
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -122,3 +123,40 @@ def test_records_merge_as_in_one_fold(spark, monkeypatch):
     assert got == fold(rows)
     sizes = sorted(r["count"] for r in resolution.groups(df).groupBy("component").count().collect())
     assert sizes[-1] < 220  # groups stay apart that titles alone would join
+
+
+def long_titles(n, seed):
+    """Titles around and above the length from which difflib leaves out popular signs, with near copies, and short and wide ones."""
+    rng = random.Random(seed)
+    parts = "the ing on er an re qu ly zo th en de la ver jo ex ku tion ment".split()
+    out = []
+    for _ in range(n):
+        one = "".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.choice([20, 60, 75, 110, 260]))).strip()
+        other = list(one)
+        for _ in range(rng.choice([1, len(one) // 20, len(one) // 8])):
+            other[rng.randrange(len(other))] = rng.choice("aexyz 1")
+        cut = rng.randrange(len(one) // 3)
+        out += [one, " ".join("".join(other).split()), one[cut:].strip(), one[: len(one) - cut].strip()]
+    return list(enumerate(dict.fromkeys(out)))
+
+
+@pytest.mark.parametrize("least,either", [(0.75, False), (0.75, True), (0.88, True), (0.5, False)])
+def test_long_titles_found_by_seeds_are_all_pairs(least, either):
+    rows = long_titles(12, 5)
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    want = {(u, v) for u, a in rows for v, b in rows if u < v and (ratio(b, a) >= least or (either and ratio(a, b) >= least))}
+    assert set(resolution._alike(rows, None, least, either)) == want and len(want) > 15
+    random.Random(1).shuffle(rows)
+    half = {u for u, _ in rows[::2]}
+    assert set(resolution._alike(rows[::2], rows[1::2], least, either)) == {(u, v) for u, v in want if (u in half) != (v in half)}
+    assert (resolution._seeds([t for _, t in rows], least)[1] > 0).sum() > 15
+
+
+def test_many_long_titles_meet_by_their_grams_only(monkeypatch):
+    """Titles of like counts of signs and no common gram at a seed are not compared sign by sign."""
+    rng = random.Random(7)
+    parts = [a + b for a in "aeioutnrsl" for b in "aeioutnrsl"] + ["z", "k"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(300))) for i in range(40)]
+    seen = []
+    monkeypatch.setattr(resolution, "_common_long", lambda a, b: seen.append((a, b)) or 0)
+    assert resolution._alike(rows, None, 0.75) == [] and len(seen) < 20
