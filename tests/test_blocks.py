@@ -5,6 +5,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,11 @@ def test_many_long_titles_meet_by_their_grams_only(monkeypatch):
     seen = []
     monkeypatch.setattr(resolution, "_common_long", lambda a, b: seen.append((a, b)) or 0)
     assert resolution._alike(rows, None, 0.75) == [] and len(seen) < 20
+
+
+def test_pairs_that_are_not_new_or_do_not_lead_are_left_out():
+    rows = [(i, f"a title of some length number {i}", bool(i % 2), bool(i % 3)) for i in range(9)]
+    table = lambda rs: pa.table({"ordinal": [r[0] for r in rs], "t": [r[1] for r in rs], "new": [r[2] for r in rs], "leads": [r[3] for r in rs], "least": [0.75] * len(rs)})
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[2] or b[2]) and (a[3] or b[3])}
+    assert set(resolution._meet(table(rows), None, True)) == want
+    assert set(resolution._meet(table(rows[:4]), table(rows[4:]), True)) == {(u, v) for u, v in want if u < 4 <= v}
