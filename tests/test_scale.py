@@ -128,3 +128,15 @@ def test_decoys_are_made_of_the_words_of_all_texts(spark):
     few = Counter(r.w for r in secrets.places(docs, secrets.Battery(words=400)).collect())
     total = sum(whole.values())
     assert sum(few.values()) == 400 and all(abs(few[w] - n * 400 / total) < 1 for w, n in whole.items())
+
+
+def test_sections_of_odd_texts_as_their_sql_says(spark, tmp_path):
+    import duckdb
+
+    texts = ["Introduction", "a\nResults: b\nc", "Methods\n\nb\n1. Conclusion\n", " \n lead", "trail \t\r\n\f", " \n ", "", None, "\x0b", "\x0ba\x0b", "a\n \x0b\n\x0bSummary\nb", "\xa0a\x85", "\nReferences\nx",
+             "II. METHODS \u20ac\U0001f600\n\U0001f600\n\n\nSummary - \u00e9", "a\r\nDataset\r\nb", "@\nAbstract\n@", "x\u2028Results\u2028y", "plain text. Of two lines\n here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["section_split_documents"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLE["section_split_documents"]).fetchall()) and len(got) == len(texts) - 3
