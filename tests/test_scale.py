@@ -140,3 +140,20 @@ def test_sections_of_odd_texts_as_their_sql_says(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLE["section_split_documents"]).fetchall()) and len(got) == len(texts) - 3
+
+
+def test_first_sentence_and_pairs_left_early(spark):
+    import numpy as np
+
+    texts = ["A b. C d. E", " \n a! B", "", " \n ", None, ".  X", "one", "a?\n\nB. c", "a. b. C"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~tx.first_sentence(F.col("t")).eqNullSafe(F.get(tx.sentences(F.col("t")), 0))).count() == 0
+    draw = np.random.default_rng(2)
+    titles = ["".join(draw.choice(list("abcde "), draw.integers(1, 140))) for _ in range(60)]
+    titles += [t[:-3] + "x" for t in titles if len(t) > 9]
+    coded, _ = resolution._coded(titles)
+    n, masks = np.array([len(t) for t in titles]), resolution._masks(coded)
+    a, b = (x.ravel() for x in np.indices((len(titles), len(titles))))
+    whole, early = resolution._common_lengths(masks, n, coded, n, a, b), resolution._common_lengths(masks, n, coded, n, a, b, 0.75)
+    hit = 2 * whole >= 0.75 * (n[a] + n[b]) - 1e-9
+    assert (early[hit] == whole[hit]).all() and (2 * early[~hit] < 0.75 * (n[a] + n[b])[~hit]).all() and (early[~hit] != whole[~hit]).any()
